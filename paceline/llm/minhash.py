@@ -8,8 +8,9 @@ none of the 48 buckets with a probability of 5e-7.
 
 Equal sets are one node, so copies cost nothing further. In a bucket, edges go from its least node to the others
 (a star), are confirmed on the full sets, and joined to components. Only buckets that still hold several
-components go on: to stars around two, then four other nodes, and what then remains is compared in full, under
-conditions that links must meet. So no pair of a bucket that could change the result goes unseen.
+components go on: to stars around two, then four other nodes. What then remains is compared exactly: nodes of
+different components that share one of their rarest shingles, as similar sets must. So no pair of a bucket that
+could change the result goes unseen, and no bucket is expanded into all its pairs.
 
 Nulls: a null text is an empty one and links with nothing. Ties: rows with one doc_id are one document with the
 rows' least node. Empty tables give empty results; further columns are not looked at.
@@ -162,6 +163,21 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return x.filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """nodes with each of their n - ceil(threshold % of n) + 1 rarest shingles that another node has too.
+
+    Rarity is the count among these nodes, ties by hash. Two sets that are similar enough share one of these, so
+    documents whose own passages make up the rest of the share meet nobody.
+    """
+    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), n - F.ceil(n * threshold / 100).cast("int") + 1)
+    found = materialize(ranked.select("node", F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", F.col("r.shingle").alias("shingle")), "rare")
+    return found.join(nodes, "node")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text); see the head of the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -183,15 +199,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         several = x.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         return materialize(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
 
-    def pairs(x: DataFrame, y: DataFrame, directed: bool) -> DataFrame:
-        x = x.select("key", *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "bits")))
-        y = y.select("key", *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "bits")))
+    def pairs(x: DataFrame, y: DataFrame, on: str, directed: bool) -> DataFrame:
+        x = x.select(on, *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "bits")))
+        y = y.select(on, *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "bits")))
         differ = sum((F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range((BINS + 63) // 64)), F.lit(0))
         # of BINS bits a share of (1 - J) / 2 differ; 0.275 is more than six deviations above 0.1
         may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 64))
         if not directed:
             may &= F.col("node_x") > F.col("node_y")
-        return x.join(y, (x["key"] == y["key"]) & may).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+        return x.join(y, (x[on] == y[on]) & may).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
     for pivots in (2, 4, None):
         left = labelled()
@@ -200,13 +216,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         if pivots:
             orders = [F.min(F.struct(F.xxhash64("node", F.lit(10 * pivots + i)).alias("h"), "node")).alias(f"p{i}") for i in range(pivots)]
             chosen = left.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.node") for i in range(pivots))))).alias("node"))
-            centres = left.join(chosen, ["key", "node"], "left_semi")
+            open_pairs = pairs(left, left.join(chosen, ["key", "node"], "left_semi"), "key", True)
         else:
-            centres = left
-        links = _confirmed(pairs(left, centres, bool(pivots)), sets, threshold)
-        old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        links = materialize(links, "links")
+            rare = _rare_shingles(left.drop("key").dropDuplicates(["node"]), sets, threshold)
+            open_pairs = pairs(rare, rare, "shingle", False)
+        links = materialize(_confirmed(open_pairs, sets, threshold), "links")
         if not links.isEmpty():
+            old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = materialize(components(old.unionByName(links)), "roots")
 
     found = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left").join(roots, "node", "left")
