@@ -15,9 +15,92 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op10_minhash_near_dedup,)}
+#: Rules of the URL query: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Host labels that put a host on the URL query's blocklist.
+BLOCKED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op3_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(rf"(^|\.)({'|'.join(BLOCKED_LABELS)})\."))
+
+
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.edits import apply_edits, build, sample_edits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", sample_edits())
+    return apply_edits(build(docs)).select("doc_id", "n_tokens", "edited_tokens", "n_pieces", "recoded_pieces")
+
+
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.packing import packed
+
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.chat import digests, formatted
+
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"))
+    return digests(formatted(conversations.unionByName(own)))
+
+
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.encoding import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.fingerprints import against_edits
+
+    return against_edits(table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mcd_quality, op3_url_bloom_cascade, op4_edit_token_counts, op5_bm25_packing, op6_chat_round_trip, op8_trie_bpe, op9_exact_digest, op10_minhash_near_dedup)
+}
 
 ORACLES = {
+    "op3_url_bloom_cascade": r"""
+WITH a AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, split_part(split_part(rest, '#', 1), '?', 1) AS rest FROM a),
+c AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  CASE WHEN position('/' IN rest) > 0 THEN substr(rest, position('/' IN rest)) ELSE '' END AS path FROM b),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(verdict, length(h || p)) AS verdict
+  FROM c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT c.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, m.rule,
+  coalesce(m.verdict, CASE WHEN regexp_matches(host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM c LEFT JOIN m ON m.page_id = c.page_id""",
+    "op6_chat_round_trip": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, regexp_replace(text, '(\\*)(<<SYS>>|<</SYS>>|\[INST\]|\[/INST\]|<s>|</s>|\[ROLE|\[/ROLE\])', '\1\1\\\2', 'g') AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum(length(escaped) + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 15 WHEN 'assistant' THEN 9 ELSE 16 + length(role) END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op10_minhash_near_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
