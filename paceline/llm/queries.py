@@ -27,6 +27,13 @@ def op1_mcd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.detect(docs, pii.fit(docs)))
+
+
 def op3_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paceline.llm.urls import judge
 
@@ -55,6 +62,14 @@ def op6_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(formatted(conversations.unionByName(own)))
 
 
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.toxicity import fit, held_out, score
+
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = score(docs, fit(docs, labels.filter(~held_out())))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paceline.llm.encoding import round_trip
 
@@ -76,7 +91,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mcd_quality, op3_url_bloom_cascade, op4_edit_token_counts, op5_bm25_packing, op6_chat_round_trip, op8_trie_bpe, op9_exact_digest, op10_minhash_near_dedup)
+    for f in (op1_mcd_quality, op2_weak_supervision_pii, op3_url_bloom_cascade, op4_edit_token_counts, op5_bm25_packing, op6_chat_round_trip, op7_toxicity_grammar, op8_trie_bpe, op9_exact_digest, op10_minhash_near_dedup)
 }
 
 ORACLES = {
