@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from paceline.llm.store import materialize
 UNIT = 1024
 #: The transformed statistics, and the least standard deviation of each, in their own unit; it keeps rules with
 #: no spread among usual documents from rejecting a trace.
-FEATURES = {"log_words": 0.5, "word_length": 0.6, "symbols": 0.08, "dup_lines": 0.10, "repeats": 0.06, "upper": 0.06, "long_words": 0.12}
+FEATURES = {"log_words": 0.5, "word_length": 0.6, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.10, "upper": 0.06, "long_words": 0.12}
 P = len(FEATURES)
 SHARE = 0.75
 STEPS = 4
@@ -47,6 +48,7 @@ _HEAD = ~((np.arange(256) & 0xC0) == 0x80)
 _SPACES = " \t\n\x0b\x0c\r"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = (*BASE, "upper", "long_words")
 
 
 def repeated_words(words: list[str], k: int = 8) -> int:
@@ -66,7 +68,7 @@ def duplicate_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], drop: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
         data, offsets = bytewise.utf8(column)
@@ -93,15 +95,15 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if twice:  # equal hashes only say where to look
                         rep[r] = repeated_words([x.decode() for x in (w.data[p:q].tobytes() for p, q in zip(w.starts[a:b], w.ends[a:b], strict=True))])
             out |= {"n_dup_lines": dup, "n_repeat_words": rep, "upper": upper, "long_words": long_words}
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in batch.schema.names if c != "text"), *(pa.array(x, pa.int64()) for x in out.values())], names=[*(c for c in batch.schema.names if c != "text"), *out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in batch.schema.names if c != drop), *(pa.array(x, pa.int64()) for x in out.values())], names=[*(c for c in batch.schema.names if c != drop), *out])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of each text."""
-    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text")
-    kind = dict(docs.dtypes)["doc_id"]
-    names = [*BASE, "upper", "long_words"]
-    return docs.mapInArrow(_statistics, f"doc_id {kind}, lang string, source string, {', '.join(f'{n} long' for n in names)}")
+def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """docs without text, if it isn't to be kept, and the counts of each text. docs: doc_id, lang, source, text and more."""
+    rest = [c for c in docs.columns if keep_text or c != "text"]
+    kinds = dict(docs.dtypes)
+    columns = [f"`{c}` {kinds[c]}" for c in rest] + [f"{n} long" for n in COUNTS]
+    return docs.select(*rest, *(() if keep_text else ("text",))).mapInArrow(partial(_statistics, drop="" if keep_text else "text"), ", ".join(columns))
 
 
 def vector(c: Column | None = None) -> list[Column]:
@@ -163,14 +165,17 @@ def _with(points: DataFrame, estimates: DataFrame) -> DataFrame:
     return points.join(e, F.col("g_lang").eqNullSafe(F.col("e_lang")) & F.col("g_source").eqNullSafe(F.col("e_source")), "left").drop("e_lang", "e_source")
 
 
-def grouped(points: DataFrame) -> DataFrame:
-    """points with g_lang and g_source: the group whose estimate a document is held against."""
+def groups(points: DataFrame) -> DataFrame:
+    """t_lang, t_source, and g_lang, g_source: the group whose estimate documents of that language and source are held against."""
     sizes = points.groupBy("lang", "source").agg(F.count("*").alias("n"))
     small = F.lit("\x00small")
     by_lang = sizes.filter(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("m"))
     to = sizes.join(by_lang.withColumnRenamed("lang", "b_lang"), F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    alone, pooled = F.col("n") >= MIN_GROUP, F.col("m") >= MIN_GROUP
-    to = materialize(to.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.when(alone | pooled, F.col("lang")).otherwise(small).alias("g_lang"), F.when(alone, F.col("source")).otherwise(small).alias("g_source")), "groups")
+    alone, pooled = F.col("n") >= MIN_GROUP, F.coalesce(F.col("m") >= MIN_GROUP, F.lit(False))
+    return materialize(to.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.when(alone | pooled, F.col("lang")).otherwise(small).alias("g_lang"), F.when(alone, F.col("source")).otherwise(small).alias("g_source")), "groups")
+
+
+def _in_groups(points: DataFrame, to: DataFrame) -> DataFrame:
     return points.join(to, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source"))).drop("t_lang", "t_source")
 
 
@@ -203,11 +208,27 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def _points(docs: DataFrame, keep_text: bool) -> DataFrame:
+    docs = docs.withColumns({c: F.col(c).cast("string") for c in ("lang", "source")})
+    return statistics(docs, keep_text).select("*", *vector())
+
+
+def _judged(points: DataFrame, estimates: DataFrame) -> DataFrame:
+    """points with base_failed, distance (squared; 0 where there is no estimate) and kept."""
+    x = _with(points, estimates).withColumns({"distance": F.round(F.coalesce(_distance(), F.lit(0.0)), 6), "base_failed": base_failed()})
+    return x.withColumn("kept", ~F.col("base_failed") & (F.col("distance") <= LIMIT))
+
+
 def quality(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, distance (squared) and kept of each row of docs (doc_id, text, lang, source)."""
-    points = materialize(statistics(docs).select("*", *vector()), "statistics")
-    points = grouped(points)
-    usual = points.filter(~base_failed())
-    judged = _with(points, fit(usual)).withColumn("distance", F.coalesce(_distance(), F.lit(0.0)))
-    failed = base_failed()
-    return judged.select("doc_id", *BASE, failed.alias("base_failed"), F.round("distance", 6).alias("distance"), (~failed & (F.col("distance") <= LIMIT)).alias("kept"))
+    """doc_id, the base counts, base_failed, distance and kept of each row of docs (doc_id, text, lang, source)."""
+    points = materialize(_points(docs.select("doc_id", "lang", "source", "text"), False), "statistics")
+    points = _in_groups(points, groups(points))
+    return _judged(points, fit(points.filter(~base_failed()))).select("doc_id", *BASE, "base_failed", "distance", "kept")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of docs that quality() keeps, with their columns; texts are read twice but not shuffled."""
+    points = materialize(_points(docs.select("doc_id", "lang", "source", "text"), False), "statistics")
+    to = groups(points)
+    estimates = fit(_in_groups(points.filter(~base_failed()), to))
+    return _judged(_in_groups(_points(docs, True), to), estimates).filter("kept").select(docs.columns)

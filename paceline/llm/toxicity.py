@@ -151,9 +151,9 @@ class Finder:
         return np.flatnonzero(hits[w.row[1:]] > hits[w.row[:-1]])
 
 
-def features(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text, and total and highest, the clause features of each text."""
-    rest = [c for c in docs.columns if c != "text"]
+def features(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """docs, without text if it isn't to be kept, and total and highest, the clause features of each text."""
+    rest = [c for c in docs.columns if keep_text or c != "text"]
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +167,8 @@ def features(docs: DataFrame, model: Model) -> DataFrame:
                     total[r], highest[r] = grammar.document(texts[int(r)].as_py())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(total), pa.array(highest)], names=[*rest, "total", "highest"])
 
-    return docs.select(*rest, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", total double, highest double")
+    docs = docs if keep_text else docs.select(*rest, "text")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", total double, highest double")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,10 +228,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without text, and score (0 to 1) of each text."""
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """docs, without text if it isn't to be kept, and score (0 to 1) of each text."""
     a, b, c = model.coefficients
-    scored = features(docs, model).withColumn("score", F.round(1 / (1 + F.exp(-(F.lit(a) + b * F.col("total") + c * F.col("highest")))), 12))
+    scored = features(docs, model, keep_text).withColumn("score", F.round(1 / (1 + F.exp(-(F.lit(a) + b * F.col("total") + c * F.col("highest")))), 12))
     return scored.drop("total", "highest")
 
 
