@@ -8,7 +8,7 @@ none of the 48 buckets with a probability of 5e-7.
 
 Equal sets are one node, so copies cost nothing further. In a bucket, edges go from its least node to the others
 (a star), are confirmed on the full sets, and joined to components. Only buckets that still hold several
-components go on: to stars around two, then four other nodes. What then remains is compared exactly: nodes of
+components go on: to stars around two other nodes. What then remains is compared exactly: nodes of
 different components that share one of their rarest shingles, as similar sets must. So no pair of a bucket that
 could change the result goes unseen, and no bucket is expanded into all its pairs.
 
@@ -32,6 +32,8 @@ BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: Bits of the filter that tells which nodes stand in shared buckets; beyond some millions of such nodes it lets more through.
 FILTER_BITS = 1 << 23
+#: A shingle of more nodes than this is common among those that are left to compare.
+COMMON = 32
 _PROBES = 64
 _U = np.random.Generator(np.random.PCG64(7)).integers(0, BINS, (_PROBES, BINS))
 _BAND_SALT = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS, dtype=np.uint64)
@@ -164,17 +166,21 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """nodes with each of their n - ceil(threshold % of n) + 1 rarest shingles that another node has too.
+    """nodes with common, how many of their shingles more than COMMON nodes have, and a row (shingle, df) for each of their rarest shingles.
 
-    Rarity is the count among these nodes, ties by hash. Two sets that are similar enough share one of these, so
-    documents whose own passages make up the rest of the share meet nobody.
+    Rarity is the count df among these nodes, ties by hash. Two sets that are similar enough share one of the
+    n - ceil(threshold % of n) + 1 rarest shingles of each. If the rarest that they share is common, so are all, and
+    the lesser number of common shingles bounds their intersection. So only what few nodes have makes candidates,
+    unless both sides are common nearly through.
     """
     each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("shingle"))
     counts = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    n = F.size("s")
-    first = F.slice("s", F.lit(1), n - F.ceil(n * threshold / 100).cast("int") + 1)
-    found = materialize(ranked.select("node", F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", F.col("r.shingle").alias("shingle")), "rare")
+    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    n = F.size("all")
+    shared = ranked.filter(100 * F.size(F.filter("all", lambda x: x["df"] > 1)) >= threshold * n)
+    first = F.slice("all", F.lit(1), n - F.ceil(n * threshold / 100).cast("int") + 1)
+    common = F.size(F.filter("all", lambda x: x["df"] > COMMON)).alias("common")
+    found = materialize(shared.select("node", common, F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", "common", "r.*"), "rare")
     return found.join(nodes, "node")
 
 
@@ -200,16 +206,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         return materialize(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
 
     def pairs(x: DataFrame, y: DataFrame, on: str, directed: bool) -> DataFrame:
-        x = x.select(on, *(F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", "bits")))
-        y = y.select(on, *(F.col(c).alias(f"{c}_y") for c in ("node", "root", "n", "bits")))
+        names = ("node", "root", "n", "bits") if directed else ("node", "root", "n", "bits", "df", "common")
+        x = x.select(on, *(F.col(c).alias(f"{c}_x") for c in names))
+        y = y.select(on, *(F.col(c).alias(f"{c}_y") for c in names))
         differ = sum((F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range((BINS + 63) // 64)), F.lit(0))
         # of BINS bits a share of (1 - J) / 2 differ; 0.275 is more than six deviations above 0.1
         may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 64))
         if not directed:
-            may &= F.col("node_x") > F.col("node_y")
+            enough = (100 + threshold) * F.least("common_x", "common_y") >= threshold * (F.col("n_x") + F.col("n_y"))
+            may &= (F.col("node_x") > F.col("node_y")) & ((F.col("df_x") <= COMMON) | enough)
         return x.join(y, (x[on] == y[on]) & may).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
 
-    for pivots in (2, 4, None):
+    for pivots in (2, None):
         left = labelled()
         if left.isEmpty():
             break
