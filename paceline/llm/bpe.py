@@ -21,7 +21,7 @@ import public_tokenizers
 import regex
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: What the plain pattern below may be used on: characters whose classes are the same for it and the full one.
 _PLAIN_TEXT = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -58,7 +58,7 @@ class Vocabulary:
             self.parts.setdefault(vocab[a + b], pair)
         self._first = {i: self.rank[p] for i, p in self.parts.items()}
         self._special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def fits(self, a: int, b: int) -> bool:
@@ -67,10 +67,7 @@ class Vocabulary:
         Merges are taken apart from the last made; a merge across the border of what is left, made before both
         sides were, says no.
         """
-        known = self._fits.get((a, b))
-        if known is not None:
-            return known
-        key, limit, answer = (a, b), float("inf"), True
+        key, limit, answer = a << 20 | b, float("inf"), True
         first, parts, rank = self._first, self.parts, self.rank
         while True:
             across = rank.get((a, b))
@@ -93,7 +90,7 @@ class Vocabulary:
     def add(self, words: Iterable[str]) -> None:
         """Settle the words that the cache lacks, in one walk of their trie."""
         new = sorted((w.encode("utf-8"), w) for w in set(words) if w not in self.cache)
-        ids, fits, longest, cache = self.ids, self.fits, self.longest, self.cache
+        ids, fits, known, longest, cache = self.ids, self.fits, self._fits, self.longest, self.cache
         last: list[int] = [-1]  # the last token of each prefix of path
         size: list[int] = [0]  # and its bytes
         path = b""
@@ -104,15 +101,29 @@ class Vocabulary:
                     break
                 n += 1
             del last[n + 1 :], size[n + 1 :]
+            grown = size[n] + 1
             for end in range(n + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
+                # one token only can be the last, so the order of trying is free: the grown one, then short ones
+                begin, k = end - grown, 0
+                while True:
                     token = ids.get(word[begin:end])
-                    if token is not None and (begin == 0 or fits(last[begin], token)):
-                        last.append(token)
-                        size.append(end - begin)
-                        break
-                else:
-                    raise ValueError(f"no token for {word[:end]!r}")
+                    if token is not None:
+                        if not begin:
+                            break
+                        pair = last[begin] << 20 | token
+                        fit = known.get(pair)
+                        if fit is None:
+                            fit = fits(last[begin], token)
+                        if fit:
+                            break
+                    k += 1
+                    if k > end or k > longest:
+                        raise ValueError(f"no token for {word[:end]!r}")
+                    begin = end - k
+                last.append(token)
+                grown = end - begin
+                size.append(grown)
+                grown += 1
             path, out, end = word, [], len(word)
             while end:
                 out.append(last[end])
