@@ -1,4 +1,6 @@
 """All queries over the relational tables by name, each with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paceline.plans import queries
+
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES
