@@ -13,6 +13,7 @@ text. An empty table gives an empty result; further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -115,7 +116,13 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     first range to the last one. The driver sees the quantiles and one id for each range.
     """
     cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    # found in two steps: the block of cuts, then the place in it
+    size = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    at = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
+    block = at(F.array(*(F.lit(b[0]) for b in blocks)))
+    inner = F.get(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), block - 1)
+    part = F.when(block == 0, 0).otherwise((block - 1) * size + at(inner)) if cuts else F.lit(0)
     dealt = docs.select("doc_id", "text", part.alias("part"))
     heads = dealt.groupBy("part").agg(F.min("doc_id")).orderBy("part").collect()
     before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
@@ -163,7 +170,8 @@ def against_edits(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_next(docs.filter("doc_id is not null"), parts)
+    # more ranges than partitions: what falls together by hash evens out
+    dealt = with_next(docs.filter("doc_id is not null"), 4 * parts)
     dealt = dealt.unionByName(docs.filter("doc_id is null").withColumn("part", -1 - F.spark_partition_id().cast("long")).withColumn("own", F.lit(True)))
     rows = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
