@@ -55,20 +55,23 @@ def decoded(d: Column, o: Column) -> Column:
     return running(F.when(o == 2, F.coalesce(second, d)).otherwise(d))
 
 
-def decode_column(chunks: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """keys, pos, v of chunk columns STRUCT<m, o, d, x, r>: raw values, or sums of differences over m with nulls at x."""
-    c = F.col(column)
+def column_values(c: Column) -> Column:
+    """The doubles of a compact column STRUCT<m, o, d, x, r>: raw values, or sums of differences over m with nulls at x."""
     values = F.transform(decoded(c["d"], c["o"]), lambda i: i.cast("double") / c["m"])
+    nulls = F.coalesce(c["x"], F.array().cast("array<int>"))
 
-    def place(x: Column, i: Column) -> Column:
+    def place(i: Column) -> Column:
         """Entry i of the column: null where x lists it, else the next value."""
-        before = F.size(F.filter(c["x"], lambda n: n < i))
-        return F.when(F.array_contains(c["x"], i), F.lit(None)).otherwise(F.get(values, (i - before).cast("int")))
+        return F.when(F.array_contains(nulls, i), F.lit(None)).otherwise(F.get(values, (i - F.size(F.filter(nulls, lambda n: n < i))).cast("int")))
+
+    n = F.size(c["d"]) + F.size(nulls)
+    with_nulls = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), place))
+    return F.when(c["r"].isNotNull(), c["r"]).when(F.size(nulls) == 0, values).otherwise(with_nulls)
 
-    n = F.size(c["d"]) + F.coalesce(F.size(c["x"]), F.lit(0))
-    with_nulls = F.transform(F.sequence(F.lit(0), n - 1), lambda i: place(i, i))
-    whole = F.when(c["r"].isNotNull(), c["r"]).when(F.size(F.coalesce(c["x"], F.array().cast("array<int>"))) == 0, values).otherwise(with_nulls)
-    return chunks.select(*keys, F.posexplode(whole).alias("pos", "v"))
+
+def decode_column(chunks: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """keys, pos, v of chunks with a compact column."""
+    return chunks.select(*keys, F.posexplode(column_values(F.col(column))).alias("pos", "v"))
 
 
 def chunk_number(by: list[str], order: str, size: int = CHUNK) -> Column:

@@ -63,13 +63,13 @@ def splits(dist: DataFrame, by: list[str], unit: float, least: float = 0.1) -> D
     """
     total = dist.groupBy(*by).agg(F.max("d").alias("total")).filter("total > 0")
     last = (F.ceil(F.col("total") / unit) - 1).cast("int")
-    x = total.withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumns({"from_m": F.col("k") * F.lit(float(unit)), "to_m": F.least((F.col("k") + 1) * F.lit(float(unit)), "total")})
-    x = x.filter(((F.col("to_m") - F.col("from_m")) >= unit * least) | (F.col("k") == 0))
+    x = total.withColumn("_k", F.explode(F.sequence(F.lit(0), last))).withColumns({"from_m": F.col("_k") * F.lit(float(unit)), "to_m": F.least((F.col("_k") + 1) * F.lit(float(unit)), "total")})
+    x = x.filter(((F.col("to_m") - F.col("from_m")) >= unit * least) | (F.col("_k") == 0))
     edges = x.select(*by, F.explode(F.array("from_m", "to_m")).alias("d")).distinct()
     times = asof.at(dist, edges, by, "d", "t", "at")
     start, stop = times.withColumnsRenamed({"d": "from_m", "at": "t0"}), times.withColumnsRenamed({"d": "to_m", "at": "t1"})
     x = x.join(start, [*by, "from_m"]).join(stop, [*by, "to_m"])
-    return x.select(*by, (F.col("k") + 1).alias("split"), "from_m", (F.col("to_m") - F.col("from_m")).alias("length_m"), "t0", "t1")
+    return x.select(*by, (F.col("_k") + 1).alias("split"), "from_m", (F.col("to_m") - F.col("from_m")).alias("length_m"), "t0", "t1")
 
 
 def moving(spans: DataFrame, by: list[str], pauses: DataFrame, a: str = "t0", b: str = "t1") -> DataFrame:

@@ -91,19 +91,16 @@ def _rows(x: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _decoded(x: DataFrame, time: str, values: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """keep, pos, time and values of chunk records, plain (arrays) or compact (enc = 1)."""
+    """keep, t and values of chunk records, plain (arrays) or compact (enc = 1)."""
     plain_schema = f"{time} array<long>, " + ", ".join(f"{v} array<double>" for v in values)
     column = "struct<m:long,o:int,d:array<long>,x:array<int>,r:array<double>>"
     packed_schema = ", ".join(f"{v} {column}" for v in (time, *values))
-    compact = F.get_json_object("value", "$.enc") == "1"
-    x = x.withColumn("_chunk", F.monotonically_increasing_id())
-    plain = codec.rows_of_chunks(x.filter(F.coalesce(~compact, F.lit(True))).select(*keep, "_chunk", F.from_json("value", plain_schema).alias("p")).select(*keep, "_chunk", "p.*").filter(F.size(time) <= MAX_POINTS), [*keep, "_chunk"], time, list(values))
-    packed = x.filter(F.coalesce(compact, F.lit(False))).select(*keep, "_chunk", F.from_json("value", packed_schema).alias("p")).select(*keep, "_chunk", "p.*")
-    out = codec.decode_column(packed.filter(F.col(time).isNotNull()), time, [*keep, "_chunk"]).withColumn("t", F.col("v").cast("long")).drop("v")
-    for v in values:
-        one = codec.decode_column(packed.filter(F.col(v).isNotNull()), v, [*keep, "_chunk"]).select("_chunk", "pos", F.col("v").alias(v))
-        out = out.join(one, ["_chunk", "pos"], "left")
-    return plain.select(*keep, "t", *values).unionByName(out.select(*keep, "t", *values))
+    compact = F.coalesce(F.get_json_object("value", "$.enc") == "1", F.lit(False))
+    plain = x.filter(~compact).select(*keep, F.from_json("value", plain_schema).alias("p")).select(*keep, "p.*")
+    packed = x.filter(compact).select(*keep, F.from_json("value", packed_schema).alias("p")).select(*keep, "p.*").filter(F.col(time).isNotNull())
+    unpacked = packed.select(*keep, F.transform(codec.column_values(F.col(time)), lambda t: t.cast("long")).alias(time), *(codec.column_values(F.col(v)).alias(v) for v in values))
+    both = plain.unionByName(unpacked).filter(F.size(time) <= MAX_POINTS)
+    return codec.rows_of_chunks(both, keep, time, list(values))
 
 
 _HEAD = ["subject", "type", "k", "seq", "batchId", "reconcileId"]

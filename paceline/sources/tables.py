@@ -54,7 +54,7 @@ def fragmented(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
 def bounded_json(df: DataFrame, limit: int = 60_000) -> str:
     """A result as a JSON list, refused beyond limit bytes; no more rows are fetched than could fit."""
     out, size = [], 2
-    for row in df.toJSON().toLocalIterator():
+    for (row,) in df.select(F.to_json(F.struct("*"))).toLocalIterator():
         size += len(row.encode()) + 1
         if size > limit:
             raise ValueError(f"the result is larger than {limit} bytes; ask for less")
