@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from paceline.llm.store import text_batches
 
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
 CONTROL = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE", "[/ROLE]"]
@@ -105,7 +106,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
     x = conversations.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")))
     kinds = dict(x.dtypes)
-    return x.mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, rendered string, loss_start long, loss_end long")
+    return text_batches(x).mapInArrow(run, f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, role string, text string, rendered string, loss_start long, loss_end long")
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -151,4 +152,4 @@ def digests(turns: DataFrame) -> DataFrame:
             yield batch_of(key_type)
 
     x = turns.select("conv_id", "turn", "role", "text", "rendered").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return x.select("conv_id", "rendered").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return text_batches(x.select("conv_id", "rendered")).mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

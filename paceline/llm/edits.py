@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm import bpe
 from paceline.llm.encoding import texts_of
+from paceline.llm.store import text_batches
 
 LEAF = 32
 EDITS = "array<struct<at:long,removed:long,inserted:string>>"
@@ -108,7 +109,7 @@ def build(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "n_pieces", "chars", "tokens"])
 
     kinds = dict(docs.dtypes)
-    return docs.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in docs.columns) + ", n_pieces long, chars array<int>, tokens array<int>")
+    return text_batches(docs).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in docs.columns) + ", n_pieces long, chars array<int>, tokens array<int>")
 
 
 def apply_edits(trees: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
@@ -134,7 +135,7 @@ def apply_edits(trees: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=names)
 
-    return trees.select("doc_id", "text", "edits", "n_pieces", "chars", "tokens").mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, edited_tokens long, n_pieces long, recoded_pieces long, chars array<int>, tokens array<int>")
+    return text_batches(trees.select("doc_id", "text", "edits", "n_pieces", "chars", "tokens")).mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, edited_tokens long, n_pieces long, recoded_pieces long, chars array<int>, tokens array<int>")
 
 
 def sample_edits() -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from paceline.llm import bpe
+from paceline.llm.store import text_batches
 
 
 def texts_of(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
@@ -40,7 +41,7 @@ def encode(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), ids], names=["doc_id", "ids"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
+    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
@@ -53,7 +54,7 @@ def decode(encoded: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], names=["doc_id", "text"])
 
     encoded = encoded.select("doc_id", "ids")
-    return encoded.mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
+    return text_batches(encoded).mapInArrow(run, f"doc_id {dict(encoded.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
@@ -80,4 +81,4 @@ def round_trip(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

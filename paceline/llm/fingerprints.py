@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.llm.store import materialize
+from paceline.llm.store import materialize, text_batches
 
 #: Bits that tell which fingerprints are shared; a constant, whatever the input.
 FILTER_BITS = 1 << 22
@@ -54,11 +54,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], names=["doc_id", "fingerprint"])
 
     docs = docs.select("doc_id", "text")
-    plain = materialize(docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string"), "prints")
+    plain = materialize(text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string"), "prints")
     clashes = collisions(docs, plain)
     if clashes.isEmpty():
         return plain
-    told = docs.mapInArrow(_contents, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, content binary")
+    told = text_batches(docs).mapInArrow(_contents, f"doc_id {dict(docs.dtypes)['doc_id']}, fingerprint string, content binary")
     told = told.join(clashes.withColumnRenamed("fingerprint", "f"), (F.col("fingerprint") == F.col("f")) & (F.col("content") == F.col("c")))
     numbers = told.select(F.col("doc_id").alias("d"), F.concat("fingerprint", F.lit("-"), "number").alias("longer"), F.col("fingerprint").alias("f2")).distinct()
     x = plain.join(numbers, (F.col("doc_id") == F.col("d")) & (F.col("fingerprint") == F.col("f2")), "left")
@@ -99,7 +99,7 @@ def collisions(docs: DataFrame, plain: DataFrame) -> DataFrame:
                 f, content = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(content, pa.binary())], names=["fingerprint", "content"])
 
-    texts = docs.select("text").mapInArrow(run, "fingerprint string, content binary")
+    texts = text_batches(docs.select("text")).mapInArrow(run, "fingerprint string, content binary")
     differ = texts.groupBy("fingerprint").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("fingerprint")
     differ = materialize(differ, "differ")
     if differ.isEmpty():
@@ -175,7 +175,7 @@ def against_edits(docs: DataFrame) -> DataFrame:
     dealt = dealt.unionByName(docs.filter("doc_id is null").withColumn("part", -1 - F.spark_partition_id().cast("long")).withColumn("own", F.lit(True)))
     rows = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), "doc_id", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    compared = materialize(rows.mapInArrow(_compare, schema), "compared")
+    compared = materialize(text_batches(rows).mapInArrow(_compare, schema), "compared")
     clashes = collisions(docs, compared)
     if clashes.isEmpty():
         return compared

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
-from paceline.llm.store import materialize
+from paceline.llm.store import materialize, text_batches
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
@@ -187,7 +187,7 @@ def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFra
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text); see the head of the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(docs.mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
+    sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
     some = sketches.filter("n > 0 and doc_id is not null")
     nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     firsts = some.join(nodes.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
     members = materialize(nodes_bands.join(shared, "key"), "members")
     keep = _filter_of(members.select("node").distinct())
-    sets = materialize(docs.filter("doc_id is not null").mapInArrow(_sets(k, keep), "node long, hashes array<long>").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = materialize(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, hashes array<long>").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
     stars = members.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     roots = materialize(components(_confirmed(stars, sets, threshold)), "roots")
 

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from paceline.llm.store import text_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("email_words", "phone_local", "account")
@@ -193,7 +194,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([list(v) for _, v in keys], pa.list_(pa.int32())), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "votes", "n"])
 
-    return docs.select("text").mapInArrow(run, "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
+    return text_batches(docs.select("text")).mapInArrow(run, "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
 
 
 def train(rows: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> Model:
@@ -254,7 +255,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPAN}")
+    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, spans {SPAN}")
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    out = text_batches(docs).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
     return out.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else out
 
 

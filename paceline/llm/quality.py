@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
-from paceline.llm.store import materialize
+from paceline.llm.store import materialize, text_batches
 
 #: Fixed point: units to one.
 UNIT = 1024
@@ -103,7 +103,7 @@ def statistics(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     rest = [c for c in docs.columns if keep_text or c != "text"]
     kinds = dict(docs.dtypes)
     columns = [f"`{c}` {kinds[c]}" for c in rest] + [f"{n} long" for n in COUNTS]
-    return docs.select(*rest, *(() if keep_text else ("text",))).mapInArrow(partial(_statistics, drop="" if keep_text else "text"), ", ".join(columns))
+    return text_batches(docs.select(*rest, *(() if keep_text else ("text",)))).mapInArrow(partial(_statistics, drop="" if keep_text else "text"), ", ".join(columns))
 
 
 def vector(c: Column | None = None) -> list[Column]:

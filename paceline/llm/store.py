@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of a batch that goes to Python.
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 _own: dict[str, str] = {}
 
 
@@ -36,5 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in batches of ARROW_ROWS and about ARROW_BYTES unless the session has smaller ones.
+
+    Texts are long; batches of the usual 10,000 rows would fill a worker's memory.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < _number(conf.get(key, None)) <= most:
+            conf.set(key, most)
+    return df
+
+
+def _number(text: str | None) -> int:
+    return int(text) if text and text.isdigit() else 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
+from paceline.llm.store import text_batches
 
 MAX_TRAINING = 10_000
 MAX_LEXICON = 4_000
@@ -168,7 +169,7 @@ def features(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(total), pa.array(highest)], names=[*rest, "total", "highest"])
 
     docs = docs if keep_text else docs.select(*rest, "text")
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", total double, highest double")
+    return text_batches(docs).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", total double, highest double")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
     share = min(1.0, max_training / n)
     some = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
-    counted = sample.mapInArrow(_entries, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counted = text_batches(sample).mapInArrow(_entries, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     least = max(MIN_DOCS, int(MIN_SHARE * positive * share))
     good = counted.filter((F.col("toxic") >= least) & (F.col("toxic") >= MIN_PURITY * (F.col("toxic") + F.col("other"))))
     learned = good.orderBy(F.desc(F.col("toxic") - 4 * F.col("other")), "entry").limit(MAX_LEXICON).collect()
