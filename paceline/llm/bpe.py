@@ -87,9 +87,9 @@ class Vocabulary:
         self._fits[key] = answer
         return answer
 
-    def add(self, words: Iterable[str]) -> None:
+    def add(self, words: set[str]) -> None:
         """Settle the words that the cache lacks, in one walk of their trie."""
-        new = sorted((w.encode("utf-8"), w) for w in set(words) if w not in self.cache)
+        new = sorted((w.encode("utf-8"), w) for w in words if w not in self.cache)
         ids, fits, known, longest, cache = self.ids, self.fits, self._fits, self.longest, self.cache
         last: list[int] = [-1]  # the last token of each prefix of path
         size: list[int] = [0]  # and its bytes
@@ -141,13 +141,15 @@ class Vocabulary:
             at = m.end()
         return out + split(text[at:])
 
-    def prepare(self, pieces: Iterable[list[str]]) -> None:
-        """Make sure that the cache holds every word of some texts."""
+    def prepare(self, pieces: Iterable[list[str]]) -> set[str]:
+        """Make sure that the cache holds every word of some texts; these words."""
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
         for s, i in self.added.items():
             self.cache[s] = (i,)
-        self.add(chain.from_iterable(pieces))
+        words = set().union(*pieces)
+        self.add(words)
+        return words
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         split_up = [self.pieces(t) for t in texts]

@@ -16,7 +16,7 @@ from paceline.llm import bpe
 from paceline.llm.store import text_batches
 
 
-def texts_of(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def texts_of(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """Ranges of some MB of texts and where they begin."""
     begin, held, out = 0, 0, []
     for i, x in enumerate(column):
@@ -68,8 +68,7 @@ def round_trip(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
         for batch in batches:
             for at, texts in texts_of(batch.column("text")):
                 pieces = [v.pieces(t) for t in texts]
-                v.prepare(pieces)
-                words = set().union(*pieces)
+                words = v.prepare(pieces)
                 shown = {w: ",".join(map(str, v.cache[w])) for w in words}
                 back = {w: b"".join(map(v.bytes.__getitem__, v.cache[w])) for w in words}
                 n, ids, decoded = [], [], []
