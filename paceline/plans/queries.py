@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paceline.functions import physics
 from paceline.functions.clock import local_day, monday, wall_ms
 from paceline.functions.numbers import half_up, hms, normal_cdf, pace, tidy
-from paceline.operators import asof, codec, daily, dedup, device, folds, intervals, product, series
+from paceline.operators import asof, codec, daily, dedup, device, folds, intervals, product, selection, series
 
 HOUR, DAY = 3_600_000, 86_400_000
 QUERIES: dict = {}
@@ -494,3 +494,87 @@ def slot_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir).filter("v > 0").select(F.col("kind").alias("subject"), F.col("t").alias("start"), (F.col("t") + 60000 * F.ceil("v")).alias("end"), F.col("v").alias("value"))
     x = device.slot_shares(r).groupBy("subject", F.floor(F.col("slot") / DAY).alias("day")).agg(half_up(F.sum("share"), 3).alias("amount"))
     return x
+
+
+# folds, with recursive twins ----------------------------------------------------------------------------------
+
+NUMBERED = f"{R}, n AS (SELECT subject, t, v, id, row_number() OVER (PARTITION BY subject ORDER BY t) AS n FROM r)"
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, f AS (SELECT subject, n, v AS ref, 0.0::DOUBLE AS gain, 0.0::DOUBLE AS loss FROM n WHERE n = 1
+  UNION ALL SELECT f.subject, n.n, CASE WHEN abs(n.v - f.ref) >= 20 THEN n.v ELSE f.ref END, f.gain + CASE WHEN n.v - f.ref >= 20 THEN n.v - f.ref ELSE 0 END, f.loss + CASE WHEN f.ref - n.v >= 20 THEN f.ref - n.v ELSE 0 END
+  FROM f JOIN n ON n.subject = f.subject AND n.n = f.n + 1)
+SELECT subject, {up('arg_max(gain, n)', 4)} AS gain, {up('arg_max(loss, n)', 4)} AS loss FROM f GROUP BY subject""")
+def climb_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = folds.climb(readings(spark, sf_dir), ["subject"], 20.0)
+    return x.select("subject", half_up(F.col("gain"), 4).alias("gain"), half_up(F.col("loss"), 4).alias("loss"))
+
+
+@query(f"""WITH RECURSIVE {NUMBERED}, f AS (SELECT subject, n, t, t AS kept FROM n WHERE n = 1
+  UNION ALL SELECT f.subject, n.n, n.t, CASE WHEN n.t - f.kept >= 43200000 THEN n.t ELSE f.kept END FROM f JOIN n ON n.subject = f.subject AND n.n = f.n + 1)
+SELECT DISTINCT subject, t FROM (SELECT subject, t FROM f WHERE t = kept UNION ALL SELECT subject, max(t) FROM f GROUP BY subject)""")
+def spaced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.spaced(readings(spark, sf_dir), ["subject"], 12 * HOUR)
+
+
+@query(f"""WITH RECURSIVE {R}, d AS (SELECT subject, t, v, sum(CAST(floor(v * 100 + 0.5) AS BIGINT)) OVER (PARTITION BY subject ORDER BY t ROWS UNBOUNDED PRECEDING)::DOUBLE AS d FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY d, v) AS n FROM d),
+f AS (SELECT subject, n, d AS d0, v AS a0, NULL::DOUBLE AS grade, 0.0::DOUBLE AS dd FROM n WHERE n = 1
+  UNION ALL SELECT f.subject, n.n, CASE WHEN n.d - f.d0 >= 20000 THEN n.d ELSE f.d0 END, CASE WHEN n.d - f.d0 >= 20000 THEN n.v ELSE f.a0 END, CASE WHEN n.d - f.d0 >= 20000 THEN (n.v - f.a0) / (n.d - f.d0) * 100 END, n.d - f.d0 FROM f JOIN n ON n.subject = f.subject AND n.n = f.n + 1)
+SELECT subject, coalesce(sum(dd) FILTER (WHERE grade > 0.1), 0) AS up, coalesce(sum(dd) FILTER (WHERE grade BETWEEN -0.1 AND 0.1), 0) AS level, coalesce(sum(dd) FILTER (WHERE grade < -0.1), 0) AS down, {up('max(grade)', 4)} AS steepest, {up('min(grade)', 4)} AS lowest FROM f GROUP BY subject""")
+def grade_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    w = Window.partitionBy("subject").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    x = folds.grades(r.select("subject", F.sum(cents(F.col("v"))).over(w).alias("d"), F.col("v").alias("a")), ["subject"], 20000.0, 0.1)
+    return x.select("subject", "up", "level", "down", half_up(F.col("steepest"), 4).alias("steepest"), half_up(F.col("lowest"), 4).alias("lowest"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS subject, o_orderkey AS id, epoch_us(o_orderdate) // 1000 AS s, epoch_us(o_orderdate) // 1000 + 86400000 * (5 + o_orderkey % 40) AS e FROM orders),
+p AS (SELECT a.subject, a.id, min(b.id) AS first FROM o a JOIN o b ON b.subject = a.subject AND (b.s, b.e, b.id) <= (a.s, a.e, a.id) AND (b.id = a.id OR least(a.e, b.e) - greatest(a.s, b.s) > 0.5 * least(a.e - a.s, b.e - b.s)) GROUP BY 1, 2),
+c AS (SELECT a.subject, a.id, count(*) - 1 AS earlier FROM o a JOIN o b ON b.subject = a.subject AND (b.s, b.e, b.id) <= (a.s, a.e, a.id) AND (b.id = a.id OR least(a.e, b.e) - greatest(a.s, b.s) > 0.5 * least(a.e - a.s, b.e - b.s)) GROUP BY 1, 2)
+SELECT subject, count(*) FILTER (WHERE earlier = 0) AS chains, count(*) AS runs FROM c GROUP BY subject""")
+def duplicate_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as spans of days: those that overlap an earlier one join its chain."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("id"), wall_ms(F.col("o_orderdate")).alias("s"))
+    x = folds.duplicate_chains(o.withColumn("e", F.col("s") + DAY * (5 + F.col("id") % 40)), ["subject"])
+    return x.groupBy("subject").agg(F.countDistinct("chain").alias("chains"), F.count("*").alias("runs"))
+
+
+@query(f"""WITH {R}, x AS (SELECT subject, t // 3600000 AS k, t AS a, t + 60000 AS b, v FROM r WHERE t // 3600000 = (t + 60000) // 3600000),
+w AS (SELECT *, lag(b + 22500) OVER o AS hi0, lead(a - 22500) OVER o AS lo1 FROM x WINDOW o AS (PARTITION BY subject, k ORDER BY a, b, v)),
+y AS (SELECT *, greatest(a - 22500, k * 3600000 - 22500, CASE WHEN a - 22500 < hi0 THEN (a - 22500 + hi0) / 2.0::DOUBLE ELSE a - 22500 END) AS s, least(b + 22500, (k + 1) * 3600000 + 22500, CASE WHEN lo1 < b + 22500 THEN (lo1 + b + 22500) / 2.0::DOUBLE ELSE b + 22500 END) AS e FROM w)
+SELECT subject, k * 3600000 AS bucket, {up('sum(v * greatest(e - s, 0)) / sum(greatest(e - s, 0))', 4)} AS mean FROM y GROUP BY 1, 2""")
+def time_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of a minute within an hour."""
+    r = readings(spark, sf_dir).filter("floor(t / 3600000) = floor((t + 60000) / 3600000)")
+    x = r.select("subject", F.col("t").alias("start"), (F.col("t") + 60_000).alias("end"), F.col("v").alias("value"), F.lit(1).alias("n"))
+    return device.time_weighted(x).withColumn("mean", half_up(F.col("mean"), 4))
+
+
+@query(f"""WITH {R}, m AS (SELECT subject, day, CAST(floor(max(v) * 100 + 0.5) AS BIGINT) AS value FROM r GROUP BY 1, 2)
+SELECT subject, day, {up('avg(value) OVER (PARTITION BY subject ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)', 3)} AS trailing FROM m""")
+def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = readings(spark, sf_dir).groupBy("subject", "day").agg(cents(F.max("v")).alias("value"))
+    return m.select("subject", "day", half_up(daily.trailing_mean(m, ["subject"], 7), 3).alias("trailing"))
+
+
+@query(f"WITH {R}, s AS (SELECT DISTINCT subject FROM r), h AS (SELECT subject, unnest(range(473352, 473376)) AS hour FROM s) SELECT subject, hour FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.subject = h.subject AND r.t // 3600000 = h.hour)")
+def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return daily.missing_hours(readings(spark, sf_dir), ["subject"], 473352 * HOUR, 473376 * HOUR)
+
+
+@query(f"WITH {R}, a AS (SELECT subject, day, sum(CAST(floor(v * 100 + 0.5) AS BIGINT)) AS x FROM r WHERE kind = 'view' GROUP BY 1, 2), b AS (SELECT subject, day, sum(CAST(floor(v * 100 + 0.5) AS BIGINT)) AS y FROM r WHERE kind = 'click' GROUP BY 1, 2) SELECT a.subject, {up('median(abs(y - x)::DOUBLE / x)', 4)} AS median, {up('max(abs(y - x)::DOUBLE / x)', 4)} AS greatest, count(*) AS days FROM a JOIN b ON b.subject = a.subject AND b.day = a.day GROUP BY a.subject")
+def shared_day_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    of = lambda kind: r.filter(F.col("kind") == kind).groupBy("subject", "day").agg(F.sum(cents(F.col("v"))).alias("value"))
+    x = device.shared_day_difference(of("view"), of("click"))
+    return x.select("subject", half_up(F.col("median"), 4).alias("median"), half_up(F.col("greatest"), 4).alias("greatest"), "days")
+
+
+@query(f"""WITH {R}, o AS (SELECT subject, id, kind, v, row_number() OVER (PARTITION BY subject ORDER BY v DESC, id) AS rn FROM r WHERE kind = 'purchase'),
+a AS (SELECT subject, id, 'best purchase' AS why, 0 AS c, rn FROM o WHERE rn <= 3),
+p AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY t DESC, id) AS rn FROM r WHERE id NOT IN (SELECT id FROM a)),
+u AS (SELECT * FROM a UNION ALL SELECT subject, id, 'recent', 1, rn FROM p WHERE rn <= 5),
+w AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY c, rn) AS n FROM u) SELECT subject, id, why FROM w WHERE n <= 6""")
+def ranked_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    return selection.shortlist([("best purchase", r.filter("kind = 'purchase'"), [F.desc("v")], 3), ("recent", r, [F.desc("t")], 5)], 6)
