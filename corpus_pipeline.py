@@ -16,7 +16,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar scores under 0.5; it learns from labels that are not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model, keep_text=True).filter("score < 0.5").select(docs.columns)
+    return toxicity.below(docs, model)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -227,8 +227,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that quality() keeps, with their columns; texts are read twice but not shuffled."""
+    """The rows of docs that quality() keeps, with their columns, whatever these are called; texts are read twice but not shuffled."""
     points = materialize(_points(docs.select("doc_id", "lang", "source", "text"), False), "statistics")
     to = groups(points)
     estimates = fit(_in_groups(points.filter(~base_failed()), to))
-    return _judged(_in_groups(_points(docs, True), to), estimates).filter("kept").select(docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "lang", "source", "text")]
+    carried = docs.select("doc_id", "lang", "source", "text", F.struct(*rest, F.lit(None).cast("int").alias("_none")).alias("carried"))
+    x = _judged(_in_groups(_points(carried, True), to), estimates).filter("kept")
+    return x.select("doc_id", "lang", "source", "text", "carried.*").select(docs.columns)

@@ -152,9 +152,9 @@ class Finder:
         return np.flatnonzero(hits[w.row[1:]] > hits[w.row[:-1]])
 
 
-def features(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """docs, without text if it isn't to be kept, and total and highest, the clause features of each text."""
-    rest = [c for c in docs.columns if keep_text or c != "text"]
+def features(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """doc_id, total and highest, the clause features of each text; with carry, also text and the column of that name."""
+    names = ["doc_id", *(("text", carry) if carry else ())]
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +166,10 @@ def features(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFram
             for i, j in bytewise.chunks(offsets):
                 for r in finder.rows(data, offsets[i : j + 1]) + i:
                     total[r], highest[r] = grammar.document(texts[int(r)].as_py())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(total), pa.array(highest)], names=[*rest, "total", "highest"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total), pa.array(highest)], names=[*names, "total", "highest"])
 
-    docs = docs if keep_text else docs.select(*rest, "text")
-    return text_batches(docs).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in rest) + ", total double, highest double")
+    docs = docs.select("doc_id", "text", *([carry] if carry else []))
+    return text_batches(docs).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", total double, highest double")
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) -> Model:
     """The model of labelled documents. docs: doc_id, text; labels: doc_id, toxic (0, 1), only rows that may be learned from."""
-    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
     model = Model()
     n, positive = labels.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not positive or positive == n:
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
     for entry, toxic, other in learned:
         weight = min(4.0, max(1.0, 0.6 * math.log((toxic + 0.5) / (other + 0.5))))
         (model.words if entry[0] == "w" else model.beginnings)[entry[1:]] = weight
-    rows = features(sample, model).select("total", "highest", "toxic").toPandas()
+    rows = features(sample.select("doc_id", "text", "toxic"), model, "toxic").select("total", "highest", "toxic").toPandas()
     x = np.column_stack([np.ones(len(rows)), rows["total"], rows["highest"]])
     y = rows["toxic"].to_numpy(float)
     model.coefficients = tuple(float(c) for c in _logistic(x, y))
@@ -229,11 +229,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
-def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """docs, without text if it isn't to be kept, and score (0 to 1) of each text."""
+def _score(model: Model) -> Column:
     a, b, c = model.coefficients
-    scored = features(docs, model, keep_text).withColumn("score", F.round(1 / (1 + F.exp(-(F.lit(a) + b * F.col("total") + c * F.col("highest")))), 12))
-    return scored.drop("total", "highest")
+    return F.round(1 / (1 + F.exp(-(F.lit(a) + b * F.col("total") + c * F.col("highest")))), 12)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1) of each row of docs (doc_id, text)."""
+    return features(docs, model).select("doc_id", _score(model).alias("score"))
+
+
+def below(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
+    """The rows of docs with a score under the limit, with their columns, whatever these are called."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    x = docs.select("doc_id", "text", F.struct(*rest, F.lit(None).cast("int").alias("_none")).alias("carried"))
+    x = features(x, model, "carried").filter(_score(model) < limit)
+    return x.select("doc_id", "text", "carried.*").select(docs.columns)
 
 
 def held_out() -> Column:

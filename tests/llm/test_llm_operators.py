@@ -376,19 +376,32 @@ def test_finder_misses_no_document_with_a_score(spark):
     rng = random.Random(14)
     model = toxicity.Model(beginnings={"krum": 2.0, "éäöü": 1.5})
     texts = EDGES + [prose(rng, 30) + rng.choice([" Krumpf!", " ÉÄÖÜx", " IDIOT", " no", "'idiot'"]) for _ in range(200)]
-    got = {r.doc_id: (r.total, r.highest) for r in toxicity.features(frame(spark, texts).drop("score"), model).collect()}
+    got = {r.doc_id: (r.total, r.highest) for r in toxicity.features(frame(spark, texts), model).collect()}
     g = toxicity.Grammar(model)
     for i, t in enumerate(texts):
         assert got[i] == g.document((t or "").lower())
 
 
 def test_toxicity_without_labels_scores_all(spark):
-    docs = frame(spark, EDGES).drop("score")
+    docs = frame(spark, EDGES)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     scores = [r.score for r in toxicity.score(docs, toxicity.fit(docs, empty)).collect()]
     assert len(scores) == len(EDGES) and all(0 <= s < 0.5 for s in scores)
 
 
+def test_filters_keep_columns_with_any_names(spark):
+    rng = random.Random(20)
+    docs = frame(spark, EDGES + [prose(rng, 90) for _ in range(60)] + ["you are a stupid worthless idiot. " * 4]).withColumns({"n_words": F.lit("mine"), "x0": F.lit(1.5), "total": F.lit(7), "carried": F.lit("c")})
+    a = toxicity.below(docs, toxicity.Model())
+    b = quality.kept(docs)
+    assert a.dtypes == docs.dtypes == b.dtypes
+    want = {r.doc_id for r in toxicity.score(docs, toxicity.Model()).collect() if r.score < 0.5}
+    assert {r.doc_id for r in a.collect()} == want and len(EDGES) + 60 not in want
+    rows = b.collect()
+    assert {r.doc_id for r in rows} == {r.doc_id for r in quality.quality(docs).collect() if r.kept}
+    assert all((r.n_words, r.x0, r.total, r.carried, r.node) == ("mine", 1.5, 7, "c", 1) for r in rows)
+
+
 # op 9 -------------------------------------------------------------------------------------------------------
 
 
