@@ -34,6 +34,8 @@ BINS = BANDS * ROWS
 FILTER_BITS = 1 << 23
 #: A shingle of more nodes than this is common among those that are left to compare.
 COMMON = 32
+#: Parts that the copies of one set are dealt into.
+SALTS = 32
 _PROBES = 64
 _U = np.random.Generator(np.random.PCG64(7)).integers(0, BINS, (_PROBES, BINS))
 _BAND_SALT = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, BANDS, dtype=np.uint64)
@@ -189,8 +191,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
     some = sketches.filter("n > 0 and doc_id is not null")
-    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    firsts = some.join(nodes.withColumnRenamed("node", "doc_id"), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     nodes_bands = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
     members = materialize(nodes_bands.join(shared, "key"), "members")
@@ -233,5 +235,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = materialize(components(old.unionByName(links)), "roots")
 
-    found = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b").join(nodes, ["set_a", "set_b"], "left").join(roots, "node", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
+    # copies meet their set's root by digest and salt, so that the copies of one text are spread; other documents are their own nodes
+    copied = nodes.filter("copies > 1").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("of_set"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = found.join(copied, ["set_a", "set_b", "salt"], "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("of_set", "root", "doc_id").alias("component_id"))
