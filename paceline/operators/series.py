@@ -61,15 +61,16 @@ def splits(dist: DataFrame, by: list[str], unit: float, least: float = 0.1) -> D
 
     dist (by, t, d). A last part under least of a unit goes, unless it is the first.
     """
-    total = dist.groupBy(*by).agg(F.max("d").alias("total")).filter("total > 0")
-    last = (F.ceil(F.col("total") / unit) - 1).cast("int")
-    x = total.withColumn("_k", F.explode(F.sequence(F.lit(0), last))).withColumns({"from_m": F.col("_k") * F.lit(float(unit)), "to_m": F.least((F.col("_k") + 1) * F.lit(float(unit)), "total")})
-    x = x.filter(((F.col("to_m") - F.col("from_m")) >= unit * least) | (F.col("_k") == 0))
-    edges = x.select(*by, F.explode(F.array("from_m", "to_m")).alias("d")).distinct()
-    times = asof.at(dist, edges, by, "d", "t", "at")
-    start, stop = times.withColumnsRenamed({"d": "from_m", "at": "t0"}), times.withColumnsRenamed({"d": "to_m", "at": "t1"})
-    x = x.join(start, [*by, "from_m"]).join(stop, [*by, "to_m"])
-    return x.select(*by, (F.col("_k") + 1).alias("split"), "from_m", (F.col("to_m") - F.col("from_m")).alias("length_m"), "t0", "t1")
+    step = F.lit(float(unit))
+    total = dist.groupBy(*by).agg(F.max("d").alias("_total")).filter("_total > 0")
+    whole = F.transform(F.sequence(F.lit(0), (F.ceil(F.col("_total") / unit) - 1).cast("int")), lambda k: k * step)
+    edges = total.select(*by, F.explode(F.concat(whole, F.array("_total"))).alias("d"))
+    w = Window.partitionBy(*by).orderBy("d")
+    # each edge but the last begins a part that ends at the next one
+    x = asof.at(dist, edges, by, "d", "t", "t0").withColumns({"_to": F.lead("d").over(w), "t1": F.lead("t0").over(w), "split": F.row_number().over(w)})
+    length = F.col("_to") - F.col("d")
+    x = x.filter(F.col("_to").isNotNull() & ((length >= unit * least) | (F.col("split") == 1)))
+    return x.select(*by, "split", F.col("d").alias("from_m"), length.alias("length_m"), "t0", "t1")
 
 
 def moving(spans: DataFrame, by: list[str], pauses: DataFrame, a: str = "t0", b: str = "t1") -> DataFrame:

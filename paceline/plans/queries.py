@@ -125,9 +125,8 @@ b AS (SELECT subject, v, CASE WHEN t1 > t0 THEN least(19, CAST(floor((t - t0) /
 SELECT subject, bucket, count(*) AS n, {up("avg(CAST(floor(v * 100 + 0.5) AS BIGINT)) / 100", 4)} AS mean, min(v) AS low, max(v) AS high FROM b GROUP BY 1, 2""")
 def downsample_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
-    x = series.downsample(r, ["subject"], 20)
-    exact = series.downsample(r.withColumn("v", cents(F.col("v"))), ["subject"], 20).select("subject", "bucket", half_up(F.col("mean") / 100, 4).alias("mean"))
-    return x.drop("mean").join(exact, ["subject", "bucket"]).select("subject", "bucket", "n", "mean", "low", "high")
+    x = series.downsample(r.withColumn("v", cents(F.col("v"))), ["subject"], 20)
+    return x.select("subject", "bucket", "n", half_up(F.col("mean") / 100, 4).alias("mean"), (F.col("low") / 100.0).alias("low"), (F.col("high") / 100.0).alias("high"))
 
 
 @query(f"""WITH {R}, {DAYS},
