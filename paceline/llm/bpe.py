@@ -23,7 +23,7 @@ import regex
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 CACHE_WORDS = 600_000
 #: What the plain pattern below may be used on: characters whose classes are the same for it and the full one.
-_PLAIN_TEXT = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7fÀ-ÖØ-öø-ÿ]*")
+PLAIN_TEXT = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+")
 _FULL = regex.compile(public_tokenizers.PATTERN)
@@ -167,7 +167,7 @@ class Vocabulary:
 
 
 def split(text: str) -> list[str]:
-    return (_PLAIN if _PLAIN_TEXT.fullmatch(text) else _FULL).findall(text)
+    return (_PLAIN if PLAIN_TEXT.fullmatch(text) else _FULL).findall(text)
 
 
 _loaded: dict[str, Vocabulary] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
-from paceline.llm.store import materialize, text_batches
+from paceline.llm.store import Scratch, materialize, text_batches
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
@@ -137,13 +137,13 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of each node of the edges (a, b): the least node that can be reached.
 
     Large-star and small-star steps in turn, which keep the components and end with stars around the least nodes.
     Self-loops and repeated edges do no harm. No edges: no rows.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     while True:
         before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not before[0]:
@@ -153,7 +153,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = materialize(small, "edges")
+        now = scratch.table(small, "edges")
         if now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == before:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -167,7 +167,7 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return x.filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """nodes with common, how many of their shingles more than COMMON nodes have, and a row (shingle, df) for each of their rarest shingles.
 
     Rarity is the count df among these nodes, ties by hash. Two sets that are similar enough share one of the
@@ -182,30 +182,23 @@ def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     shared = ranked.filter(100 * F.size(F.filter("all", lambda x: x["df"] > 1)) >= threshold * n)
     first = F.slice("all", F.lit(1), n - F.ceil(n * threshold / 100).cast("int") + 1)
     common = F.size(F.filter("all", lambda x: x["df"] > COMMON)).alias("common")
-    found = materialize(shared.select("node", common, F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", "common", "r.*"), "rare")
+    found = scratch.table(shared.select("node", common, F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", "common", "r.*"), "rare")
     return found.join(nodes, "node")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); see the head of the module."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
-    some = sketches.filter("n > 0 and doc_id is not null")
-    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    nodes_bands = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
-    members = materialize(nodes_bands.join(shared, "key"), "members")
+def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
+    """node, root of the nodes that are linked to another."""
+    members = scratch.table(nodes_bands.join(shared, "key"), "members")
     keep = _filter_of(members.select("node").distinct())
-    sets = materialize(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, hashes array<long>").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = scratch.table(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, hashes array<long>").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
     stars = members.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
-    roots = materialize(components(_confirmed(stars, sets, threshold)), "roots")
+    roots = scratch.table(components(_confirmed(stars, sets, threshold), scratch), "roots")
 
     def labelled() -> DataFrame:
         """The buckets that hold several components, with what a link must meet."""
         x = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = x.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        return materialize(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
+        return scratch.table(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
 
     def pairs(x: DataFrame, y: DataFrame, on: str, directed: bool) -> DataFrame:
         names = ("node", "root", "n", "bits") if directed else ("node", "root", "n", "bits", "df", "common")
@@ -213,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
         y = y.select(on, *(F.col(c).alias(f"{c}_y") for c in names))
         differ = sum((F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range((BINS + 63) // 64)), F.lit(0))
         # of BINS bits a share of (1 - J) / 2 differ; 0.275 is more than six deviations above 0.1
-        may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 64))
+        may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 128))
         if not directed:
             enough = (100 + threshold) * F.least("common_x", "common_y") >= threshold * (F.col("n_x") + F.col("n_y"))
             may &= (F.col("node_x") > F.col("node_y")) & ((F.col("df_x") <= COMMON) | enough)
@@ -228,12 +221,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
             chosen = left.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.node") for i in range(pivots))))).alias("node"))
             open_pairs = pairs(left, left.join(chosen, ["key", "node"], "left_semi"), "key", True)
         else:
-            rare = _rare_shingles(left.drop("key").dropDuplicates(["node"]), sets, threshold)
+            rare = _rare_shingles(left.drop("key").dropDuplicates(["node"]), sets, threshold, scratch)
             open_pairs = pairs(rare, rare, "shingle", False)
-        links = materialize(_confirmed(open_pairs, sets, threshold), "links")
+        links = scratch.table(_confirmed(open_pairs, sets, threshold), "links")
         if not links.isEmpty():
             old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = materialize(components(old.unionByName(links)), "roots")
+            roots = scratch.table(components(old.unionByName(links), scratch), "roots")
+
+    return roots
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text); see the head of the module."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
+    some = sketches.filter("n > 0 and doc_id is not null")
+    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    nodes_bands = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
+    with Scratch(docs.sparkSession) as scratch:
+        roots = materialize(_roots(docs, firsts, nodes_bands, shared, k, threshold, scratch), "roots")
 
     # copies meet their set's root by digest and salt, so that the copies of one text are spread; other documents are their own nodes
     copied = nodes.filter("copies > 1").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("of_set"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

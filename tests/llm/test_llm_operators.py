@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paceline.llm import bpe, bytewise, chat, edits, encoding, fingerprints, minhash, packing, pii, quality, queries, toxicity, urls
+from paceline.llm.store import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = [None, "", " \n\t ", "a", "one two three", "é " * 40, "x\x1cy\x85z", "word " * 5000, "<|endoftext|>", "中文 🙂 ½ ²", "mail bob@site.example.com now"]
@@ -498,7 +499,8 @@ def test_residual_pairs_are_found_without_buckets(spark):
     sets = [shingles(t, 4) for t in texts]
     hashed = [[hash(x) for x in s] for s in sets]
     nodes = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "node long, root long, n long")
-    rare = minhash._rare_shingles(nodes, spark.createDataFrame(list(enumerate(hashed)), "node long, hashes array<long>"), 80).collect()
+    with Scratch(spark) as scratch:
+        rare = minhash._rare_shingles(nodes, spark.createDataFrame(list(enumerate(hashed)), "node long, hashes array<long>"), 80, scratch).collect()
     common = minhash.COMMON
     by = {}
     for r in rare:
@@ -512,7 +514,8 @@ def test_residual_pairs_are_found_without_buckets(spark):
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 120)] + [(7, 7)]
-    got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    with Scratch(spark) as scratch:
+        got = {r.node: r.root for r in minhash.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 120)} == {100}
 
 
