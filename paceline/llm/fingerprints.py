@@ -169,8 +169,8 @@ def against_edits(docs: DataFrame) -> DataFrame:
     Rows without a doc_id have no place in the order: an empty text follows them, and they follow none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # more ranges than partitions: what falls together by hash evens out
+    # whole texts move here: twice the usual partitions, and more ranges than that, so that what falls together by hash evens out
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = with_next(docs.filter("doc_id is not null"), 4 * parts)
     dealt = dealt.unionByName(docs.filter("doc_id is null").withColumn("part", -1 - F.spark_partition_id().cast("long")).withColumn("own", F.lit(True)))
     rows = dealt.repartition(parts, "part").sortWithinPartitions("part", F.desc("own"), "doc_id", "text")
