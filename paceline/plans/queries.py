@@ -211,7 +211,7 @@ def interpolated(probes: str, column: str = "d") -> str:
        (SELECT max(t) AS t0, max(d) AS d0 FROM p WHERE p.subject = b.subject AND p.d = (SELECT max(d) FROM p q WHERE q.subject = b.subject AND q.d < b.{column})) a0) AS tt FROM {probes} b)"""
 
 
-@query(f"WITH {R}, {DIST}, b AS (SELECT subject, unnest(range(1, CAST(floor(max(d) / 50000) AS BIGINT) + 1)) * 50000.0 AS d FROM p GROUP BY subject), {interpolated('b')} SELECT subject, d, {up('tt')} AS at FROM b_t")
+@query(f"WITH {R}, {DIST}, b AS (SELECT subject, unnest(range(1, CAST(floor(max(d) / 50000) AS BIGINT) + 1)) * 50000.0::DOUBLE AS d FROM p GROUP BY subject), {interpolated('b')} SELECT subject, d, {up('tt')} AS at FROM b_t")
 def interpolate_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _distance(readings(spark, sf_dir))
     probes = p.groupBy("subject").agg(F.floor(F.max("d") / 50000).alias("k")).filter("k >= 1").select("subject", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "k"), lambda k: k * 50000.0)).alias("d"))
@@ -220,7 +220,7 @@ def interpolate_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {R}, {DIST}, tot AS (SELECT subject, max(d) AS total FROM p GROUP BY subject),
 k AS (SELECT subject, total, unnest(range(0, CAST(ceil(total / 50000) AS BIGINT))) AS k FROM tot),
-f AS (SELECT subject, k + 1 AS split, k * 50000.0 AS from_m, least((k + 1) * 50000.0, total) AS to_m FROM k WHERE least((k + 1) * 50000.0, total) - k * 50000.0 >= 5000 OR k = 0),
+f AS (SELECT subject, CAST(k + 1 AS INT) AS split, k * 50000.0::DOUBLE AS from_m, least((k + 1) * 50000.0::DOUBLE, total) AS to_m FROM k WHERE least((k + 1) * 50000.0::DOUBLE, total) - k * 50000.0::DOUBLE >= 5000 OR k = 0),
 b AS (SELECT DISTINCT subject, d FROM (SELECT subject, from_m AS d FROM f UNION ALL SELECT subject, to_m FROM f)), {interpolated('b')}
 SELECT f.subject, f.split, f.from_m, f.to_m - f.from_m AS length_m, {up('(y.tt - x.tt) / 1000', 1)} AS seconds, f.to_m - f.from_m < 50000 AS partial FROM f JOIN b_t x ON x.subject = f.subject AND x.d = f.from_m JOIN b_t y ON y.subject = f.subject AND y.d = f.to_m""")
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,7 +348,7 @@ def column_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.exact_divisor(readings(spark, sf_dir), ["subject", "kind"])
 
 
-@query(f"WITH {R} SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS pos, CAST(floor(v * 100 + 0.5) AS BIGINT) AS i FROM r")
+@query(f"WITH {R} SELECT subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS INT) AS pos, CAST(floor(v * 100 + 0.5) AS BIGINT) AS i FROM r")
 def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoded as the cheaper differences, then decoded."""
     r = readings(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("subject").orderBy("t")) - 1).withColumn("i", cents(F.col("v")))
@@ -556,7 +556,7 @@ def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("subject", "day", half_up(daily.trailing_mean(m, ["subject"], 7), 3).alias("trailing"))
 
 
-@query(f"WITH {R}, s AS (SELECT DISTINCT subject FROM r), h AS (SELECT subject, unnest(range(473352, 473376)) AS hour FROM s) SELECT subject, hour FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.subject = h.subject AND r.t // 3600000 = h.hour)")
+@query(f"WITH {R}, s AS (SELECT DISTINCT subject FROM r), h AS (SELECT subject, unnest(range(473352, 473376)) AS hour FROM s) SELECT subject, CAST(hour AS INT) AS hour FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.subject = h.subject AND r.t // 3600000 = h.hour)")
 def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily.missing_hours(readings(spark, sf_dir), ["subject"], 473352 * HOUR, 473376 * HOUR)
 
