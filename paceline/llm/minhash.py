@@ -102,14 +102,15 @@ def _sketches(k: int):
     return run
 
 
-def _sets(k: int, keep: np.ndarray | None):
+def _sets(k: int, keep: np.ndarray):
     """The full sets of the documents whose place in the filter is set."""
     schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            wanted = keep[_place(ids.fill_null(0).to_numpy(zero_copy_only=False))] & ids.is_valid().to_numpy(zero_copy_only=False)
+            at = _place(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            wanted = (keep[at >> 6] >> (at & 63) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(wanted))
             data, offsets = bytewise.utf8(batch.column("text"))
             for i, j in bytewise.chunks(offsets):
@@ -124,7 +125,7 @@ def _place(ids: np.ndarray) -> np.ndarray:
 
 
 def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node; FILTER_BITS bits whatever the input."""
+    """A bit for each node, in words of 64; FILTER_BITS bits whatever the input."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,7 +135,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
     words = nodes.select("node").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
