@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a run of words between stops. Small transducers read its words and are composed into one machine:
+A clause is a run of words between stops. Small transducers read its words and are composed into one machine, whose
+states are the reachable tuples of theirs and whose weights are products:
 
     insult          a lexicon entry (a word, or a word with a given beginning) gives its weight
     threat          an intention (will, going to, ...) followed within WINDOW words by a harming verb
@@ -26,7 +27,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -72,41 +73,87 @@ class Model:
         return found
 
 
+#: Classes of words that move the transducers; a word's symbol is the sum of its classes.
+NEG, INTEND, AIM, SAY = 1, 2, 4, 8
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A small weighted machine over word symbols.
+
+    step gives the next state, and what the word's insult weight and its harm weight are multiplied by; final what the
+    whole clause is multiplied by.
+    """
+
+    start: int
+    step: Callable[[int, int], tuple[int, float, float]]
+    final: Callable[[int], float] = lambda state: 1.0
+
+
+def _negation(since: int, symbol: int) -> tuple[int, float, float]:
+    if symbol & NEG:
+        return 0, 0.0, 0.0
+    weight = 0.15 if since <= NEAR else 1.0
+    return min(since + 1, NEAR + 1), weight, weight
+
+
+def _threat(since: int, symbol: int) -> tuple[int, float, float]:
+    if symbol & NEG:
+        return since, 1.0, 0.0
+    since = 0 if symbol & INTEND else since
+    return min(since + 1, WINDOW + 1), 1.0, 1.0 if since <= WINDOW else 0.0
+
+
+NEGATED = Transducer(NEAR + 1, _negation)
+THREAT = Transducer(WINDOW + 1, _threat)
+AIMED = Transducer(0, lambda state, symbol: (state | bool(symbol & AIM), 1.0, 1.0), lambda state: 1.25 if state else 1.0)
+#: State 1: the clause before reported speech; 2: this one does.
+SAID = Transducer(0, lambda state, symbol: (state | (2 if symbol & SAY else 0), 1.0, 1.0), lambda state: 0.7 if state else 1.0)
+
+
+class Machine:
+    """The composition of transducers: one state for each reachable tuple of theirs, weights multiplied."""
+
+    def __init__(self, parts: tuple[Transducer, ...], starts: list[tuple[int, ...]]):
+        ids: dict[tuple[int, ...], int] = {s: i for i, s in enumerate(starts)}
+        order, self.moves = list(starts), []
+        for state in order:  # grows as states are reached
+            row = []
+            for symbol in range(16):
+                steps = [t.step(q, symbol) for t, q in zip(parts, state, strict=True)]
+                to = tuple(x[0] for x in steps)
+                if to not in ids:
+                    ids[to] = len(order)
+                    order.append(to)
+                row.append((ids[to], math.prod(x[1] for x in steps), math.prod(x[2] for x in steps)))
+            self.moves.append(row)
+        self.final = [math.prod(t.final(q) for t, q in zip(parts, state, strict=True)) for state in order]
+        self.states = order
+
+
 class Grammar:
-    """The composed machine: one pass over a clause's words."""
+    """The lexicon's weights through the composed machine: one pass over a clause's words."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.harm, self.intent, self.target = set(HARM), set(INTENT), set(TARGET)
-        self.negation, self.reported = set(NEGATION), set(REPORTED)
+        self.harm = set(HARM)
+        self.symbols: dict[str, int] = {}
+        for words, symbol in ((NEGATION, NEG), (INTENT, INTEND), (TARGET, AIM), (REPORTED, SAY)):
+            for w in words:
+                self.symbols[w] = self.symbols.get(w, 0) | symbol
+        parts = (NEGATED, THREAT, AIMED, SAID)
+        start = tuple(t.start for t in parts)
+        self.machine = Machine(parts, [start, (*start[:-1], 1)])
 
     def clause(self, words: list[str], reported: bool) -> tuple[float, bool]:
         """The clause's score, and whether it reports speech itself."""
-        total, since_intent, since_negation = 0.0, WINDOW + 1, NEAR + 1
-        target = says = False
+        moves, symbols, total, state = self.machine.moves, self.symbols, 0.0, int(reported)
         for w in words:
-            gain = 0.0
-            if w in self.negation:
-                since_negation = 0
-                continue
-            if w in self.intent:
-                since_intent = 0
-            if w in self.target:
-                target = True
-            if w in self.reported:
-                says = True
-            gain = self.model.weight(w)
-            if w in self.harm and since_intent <= WINDOW:
-                gain += 2.0
-            if gain:
-                total += gain * (0.15 if since_negation <= NEAR else 1.0)
-            since_intent += 1
-            since_negation += 1
-        if target:
-            total *= 1.25
-        if reported or says:
-            total *= 0.7
-        return total, says
+            state, insult, harm = moves[state][symbols.get(w, 0)]
+            total += insult * self.model.weight(w)
+            if w in self.harm:
+                total += 2.0 * harm
+        return total * self.machine.final[state], self.machine.states[state][-1] >= 2
 
     def document(self, text: str) -> tuple[float, float]:
         """Log of one plus the sum, and the highest, of its clauses' scores."""

@@ -373,6 +373,35 @@ def test_grammar_weighs_clauses():
     assert g.document("") == (0.0, 0.0)
 
 
+def plain_clause(model, words, reported):
+    """The grammar's rules as one loop."""
+    total, intent, negation, aimed, said = 0.0, 99, 99, False, False
+    for w in words:
+        if w in toxicity.NEGATION:
+            negation = 0
+            continue
+        intent = 0 if w in toxicity.INTENT else intent
+        aimed |= w in toxicity.TARGET
+        said |= w in toxicity.REPORTED
+        gain = model.weight(w) + (2.0 if w in toxicity.HARM and intent <= toxicity.WINDOW else 0.0)
+        total += gain * (0.15 if negation <= toxicity.NEAR else 1.0)
+        intent, negation = intent + 1, negation + 1
+    return total * (1.25 if aimed else 1.0) * (0.7 if reported or said else 1.0), said
+
+
+def test_composed_machine_follows_the_rules():
+    rng = random.Random(21)
+    model = toxicity.Model()
+    g = toxicity.Grammar(model)
+    pool = ["word", "thing", "idiot", "scum", "kill", "hurt", "will", "must", "you", "they", "not", "never", "said", "says"]
+    for _ in range(3000):
+        words, reported = [rng.choice(pool) for _ in range(rng.randrange(1, 14))], rng.random() < 0.3
+        score, said = g.clause(words, reported)
+        want, want_said = plain_clause(model, words, reported)
+        assert said == want_said and score == pytest.approx(want)
+    assert len(g.machine.states) <= (toxicity.NEAR + 2) * (toxicity.WINDOW + 2) * 2 * 4
+
+
 def test_finder_misses_no_document_with_a_score(spark):
     rng = random.Random(14)
     model = toxicity.Model(beginnings={"krum": 2.0, "éäöü": 1.5})
