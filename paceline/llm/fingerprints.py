@@ -13,6 +13,7 @@ text. An empty table gives an empty result; further columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import unicodedata
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.llm.store import materialize, text_batches
@@ -120,19 +121,25 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     size = max(1, math.isqrt(len(cuts)))
     blocks = [cuts[i : i + size] for i in range(0, len(cuts), size)]
     at = lambda values: F.size(F.filter(values, lambda c: c <= F.col("doc_id")))
-    block = at(F.array(*(F.lit(b[0]) for b in blocks)))
-    inner = F.get(F.array(*(F.array(*map(F.lit, b)) for b in blocks)), block - 1)
+    block = at(_constant([b[0] for b in blocks], "array<bigint>"))
+    inner = F.get(_constant(blocks, "array<array<bigint>>"), block - 1)
     part = F.when(block == 0, 0).otherwise((block - 1) * size + at(inner)) if cuts else F.lit(0)
-    dealt = docs.select("doc_id", "text", part.alias("part"))
-    heads = dealt.groupBy("part").agg(F.min("doc_id")).orderBy("part").collect()
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    if not before:
-        return dealt.withColumn("own", F.lit(True))
-    to = F.try_element_at(F.create_map(*(F.lit(x).cast("long") for pair in before for x in pair)), F.col("doc_id"))
-    places = F.array_compact(F.array(F.struct(F.col("part").cast("long").alias("to"), F.lit(True).alias("own")), F.when(to.isNotNull(), F.struct(to.alias("to"), F.lit(False).alias("own")))))
+    dealt = docs.select("doc_id", "text", part.cast("long").alias("part"))
+    first = dict(dealt.groupBy("part").agg(F.min("doc_id")).collect())
+    order = sorted(first)
+    before = {p: order[i - 1] for i, p in enumerate(order)}  # in a ring
+    every = range(len(cuts) + 1)
+    heads, targets = (F.get(_constant([d.get(p) for p in every], "array<bigint>"), F.col("part").cast("int")) for d in (first, before))
+    copy = F.when(F.col("doc_id") == heads, F.struct(targets.alias("to"), F.lit(False).alias("own")))
+    places = F.array_compact(F.array(F.struct(F.col("part").alias("to"), F.lit(True).alias("own")), copy))
     return dealt.select("doc_id", "text", F.explode(places).alias("c")).select("doc_id", "text", F.col("c.to").alias("part"), F.col("c.own").alias("own"))
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A list as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of with_next() in order; each own row meets the row after it."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
