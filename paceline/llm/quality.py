@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from paceline.llm import bytewise
 from paceline.llm.store import materialize, text_batches
 
-#: Fixed point: units to one.
-UNIT = 1024
+#: Fixed point: units to one. Sums of squares of 4e10 documents in one group still fit a long.
+UNIT = 256
 #: The transformed statistics, and the least standard deviation of each, in their own unit; it keeps rules with
 #: no spread among usual documents from rejecting a trace.
 FEATURES = {"log_words": 0.5, "word_length": 0.6, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.10, "upper": 0.06, "long_words": 0.12}
