@@ -304,9 +304,9 @@ def confidence(x: DataFrame) -> DataFrame:
     return x.withColumn("confidence", F.floor(sum((F.coalesce(k, F.lit(0)) for k in (race, continuity, long_runs, coverage, prior, max_hr, decoupling, fueling, near)), F.lit(0.0)) + 0.5))
 
 
-def status(x: DataFrame) -> Column:
+def status(weeks: Column, own_data: Column) -> Column:
     """Whether there is enough: six of sixteen weeks with runs, and an estimate other than the training formula."""
-    return F.when((F.col("weeks") < 6) | ~F.col("has_race_or_prior"), "insufficient_data").otherwise("ok")
+    return F.when(F.coalesce((weeks >= 6) & own_data, F.lit(False)), "ok").otherwise("insufficient_data")
 
 
 def backtest(forecasts: DataFrame) -> DataFrame:
@@ -314,3 +314,52 @@ def backtest(forecasts: DataFrame) -> DataFrame:
     error = 100 * F.abs(F.col("forecast") - F.col("actual")) / F.col("actual")
     pit = normal_cdf((F.col("actual") - F.col("forecast")) / F.col("forecast_sigma"))
     return forecasts.agg(F.count("*").alias("n"), F.median(error).alias("error"), F.avg(F.col("actual").between(F.col("low"), F.col("high")).cast("double")).alias("inside"), F.avg(pit).alias("pit"))
+
+
+def speed_ratios(splits: DataFrame, runs: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """subject, r75, r87: speed now over the prior block's at two fractions of the maximum heart rate; null where a fit fails."""
+    out = None
+    for name, band, at, sd, least in (("r75", c.fit_band, c.fit_at, c.fit_hr_sd, 1), ("r87", c.marathon_band, c.marathon_at, c.marathon_hr_sd, c.marathon_stretch)):
+        fit = speed_at(efficiency_points(splits, runs, band, least, c), at, c.fit_splits, sd)
+        of = lambda block: F.max(F.when(F.col("block") == block, F.col("speed")))
+        x = fit.groupBy("subject").agg((of("now") / of("then")).alias(name))
+        out = x if out is None else out.join(x, "subject", "full")
+    return out
+
+
+def training_effort(efforts: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """Of each runner's efforts that do not qualify, the one that implies the fastest marathon."""
+    x = efforts.filter(~F.col("qualifies") & (F.col("age_weeks") <= c.max_age))
+    implied = to_marathon(F.col("seconds"), F.col("metres"), F.lit(c.r_default), c)
+    return x.withColumn("_n", F.row_number().over(Window.partitionBy("subject").orderBy(implied, "age_weeks"))).filter("_n = 1").drop("_n")
+
+
+def assess(runs: DataFrame, efforts: DataFrame, splits: DataFrame, run_info: DataFrame, prior: DataFrame, durability: DataFrame, goals: DataFrame, as_of: str, c: Config = CONFIG) -> DataFrame:
+    """One row for each runner with a goal: the forecast, its range, probability and label, and status.
+
+    runs: subject, wid, day, km, seconds, indoor. efforts: subject, kind, metres, seconds, hr_fraction, tagged, run_m, age_weeks,
+    temp. splits, run_info: as in efficiency_points(), blocks 'now' and 'then'. prior: subject, prior_seconds, representative.
+    durability: subject, decoupling, n_decoupling, goal_km, late_hr. goals: subject, goal (seconds), weeks_to_race, temp,
+    course, shoes, fat, sex.
+    """
+    day = F.lit(as_of).cast("date")
+    block, recent = training_indices(runs, day, 16), training_indices(runs, day, 8)
+    e = efforts.withColumn("qualifies", qualifies(F.col("kind"), F.col("hr_fraction"), F.col("tagged"), F.col("run_m"), F.col("metres"), c))
+    volume = block.select("subject", "weekly_km", "long_runs").withColumn("own_r", F.lit(None).cast("double"))
+    source = race_source(e, c)
+    race = race_estimate(source.join(volume, "subject"), c)
+    fallback = training_effort(e.join(source.select("subject"), "subject", "left_anti"), c).join(volume, "subject")
+    estimates = race.withColumn("name", F.lit("race")).unionByName(race_estimate(fallback, c, training=True).withColumn("name", F.lit("training effort")))
+    repeat = prior_marathon_estimate(prior.join(speed_ratios(splits, run_info, c), "subject"), c)
+    estimates = estimates.unionByName(repeat.withColumn("name", F.lit("prior marathon")))
+    formula = training_estimate(recent.select("subject", "weekly_km", "pace", "weeks").join(goals.select("subject", "fat", "sex"), "subject"), c)
+    estimates = estimates.unionByName(formula.withColumn("name", F.lit("training")))
+    used = estimates.groupBy("subject").agg(F.sort_array(F.collect_set("name")).alias("estimators"))
+    central = combine(estimates, goals.select("subject", "weeks_to_race"), c)
+    x = goals.join(central, "subject", "left").join(used, "subject", "left").join(block.select("subject", "weeks", "gap", "long_runs"), "subject", "left")
+    x = modifiers(x.join(durability, "subject", "left").withColumns({"long_runs": F.coalesce("long_runs", F.lit(0)), "n_decoupling": F.coalesce("n_decoupling", F.lit(0))}), c)
+    own = F.arrays_overlap(F.coalesce("estimators", F.array().cast("array<string>")), F.array(F.lit("race"), F.lit("training effort"), F.lit("prior marathon")))
+    x = x.withColumn("status", status(F.col("weeks"), own))
+    out = likelihood(adjusted(x, c), c)
+    ok = F.col("status") == "ok"
+    return out.select("subject", "goal", "status", "estimators", "penalty", *(F.when(ok, F.col(k)).alias(k) for k in ("forecast", "forecast_sigma", "low", "high", "probability", "score", "label")))

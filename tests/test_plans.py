@@ -138,3 +138,20 @@ def test_product_events_are_checked(spark):
     rows = [("sync_finished", "1.2", "success", 500), ("evil", None, None, None), ("sync_finished", "bad version!", None, None), ("connected", None, None, -1)]
     good, bad = product.checked_events(spark.createDataFrame(rows, "name string, app_version string, outcome string, duration_ms long"))
     assert good.count() == 1 and bad.count() == 3
+
+
+def test_an_assessment_from_tables(spark):
+    end = date(2024, 6, 30)
+    runs = [("u", f"r{i}", end - timedelta(days=2 * i), 12.0 if i % 4 else 30.0, (12.0 if i % 4 else 30.0) * 310, False) for i in range(50)] + [("new", "n1", end, 5.0, 1500.0, False)]
+    r = spark.createDataFrame(runs, "subject string, wid string, day date, km double, seconds double, indoor boolean")
+    e = spark.createDataFrame([("u", "half", 21_097.5, 5400.0, 0.9, False, 21_200.0, 4.0, 12.0), ("u", "ten_k", 10_000.0, 2500.0, 0.8, False, 15_000.0, 1.0, None)], "subject string, kind string, metres double, seconds double, hr_fraction double, tagged boolean, run_m double, age_weeks double, temp double")
+    s = spark.createDataFrame([], "subject string, block string, wid string, split int, pace double, hr double, gain double, partial boolean")
+    info = spark.createDataFrame([], "subject string, wid string, max_hr double, temp double, gain_per_km double")
+    prior = spark.createDataFrame([], "subject string, prior_seconds double, representative boolean")
+    d = spark.createDataFrame([("u", 4.0, 3, 20.0, 0.85)], "subject string, decoupling double, n_decoupling int, goal_km double, late_hr double")
+    g = spark.createDataFrame([(s, 11_900.0, 4.0, 12.0, "flat", False, None, None) for s in ("u", "new")], "subject string, goal double, weeks_to_race double, temp double, course string, shoes boolean, fat double, sex string")
+    rows = {x.subject: x for x in forecast.assess(r, e, s, info, prior, d, g, str(end)).collect()}
+    assert rows["new"].status == "insufficient_data" and rows["new"].forecast is None
+    u = rows["u"]
+    assert u.status == "ok" and u.estimators == ["race", "training"] and u.penalty == 0.0
+    assert 5400 * 2.0 < u.forecast < 5400 * 2.3 and u.low < u.forecast < u.high and u.label
