@@ -30,11 +30,12 @@ from paceline.llm.store import text_batches
 MARKS = {"system": ("<<SYS>> ", " <</SYS>>"), "user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>")}
 CONTROL = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[ROLE", "[/ROLE]"]
 _ANY = "|".join(map(re.escape, CONTROL))
-_CONFLICT = re.compile(rf"(\\*)({_ANY})")
-_ESCAPED = re.compile(rf"(\\+)({_ANY})")
+# runs of backslashes are taken whole, from their start: linear on long ones
+_CONFLICT = re.compile(rf"(?<!\\)(\\*+)({_ANY})")
+_ESCAPED = re.compile(rf"(?<!\\)(\\++)({_ANY})")
 _ROLE_OPEN = re.compile(r"\[ROLE ((?:[^\\\]]|\\.)*)\] ", re.S)
 #: A control string that no odd run of backslashes stands before.
-_FREE = re.compile(rf"(?<!\\)(?:\\\\)*({_ANY})")
+_FREE = re.compile(rf"(?<!\\)(?:\\\\)*+({_ANY})")
 
 
 def escape(text: str) -> str:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -156,6 +157,25 @@ def test_em_finds_which_labelers_to_trust():
     assert pii.train([]).kinds.keys() == set(pii.KINDS)
 
 
+def test_base_spans_match_the_patterns_on_noise():
+    rng = random.Random(22)
+    for _ in range(4000):
+        text = "".join(rng.choice("a1.@-_+ ()é2345") for _ in range(rng.randrange(40)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_very_long_runs_take_linear_time():
+    n = 300_000
+    began = time.time()
+    for text in ("a" * n + " @", "1" * n, "@" * n, "1." * n, "+" * n, "+1" + "-" * n, "\\" * n, "<" * n, "x" * n):
+        pii.candidates(text)
+        chat.render("user", text)
+        quality.repeated_words(text.split())
+        toxicity.Grammar(toxicity.Model()).document(text)
+        fingerprints.canonical(text)
+    assert time.time() - began < 60
+
+
 def test_redaction_leaves_no_base_span(spark):
     docs = frame(spark, PII_TEXTS)
     out = pii.redact(docs, pii.fit(docs))
