@@ -12,8 +12,8 @@ components go on: to stars around two other nodes. What then remains is compared
 different components that share one of their rarest shingles, as similar sets must. So no pair of a bucket that
 could change the result goes unseen, and no bucket is expanded into all its pairs.
 
-Nulls: a null text is an empty one and links with nothing. Ties: rows with one doc_id are one document with the
-rows' least node. Empty tables give empty results; further columns are not looked at.
+Nulls: a null text is an empty one and links with nothing; rows without a doc_id get the component of their set, if any.
+Ties: rows with one doc_id and different texts are one node, with the set whose digest is least. Empty tables give empty results; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def _sketches(k: int):
 
 def _sets(k: int, keep: np.ndarray):
     """The full sets of the documents whose place in the filter is set."""
-    schema = pa.schema([("node", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +114,9 @@ def _sets(k: int, keep: np.ndarray):
             batch = batch.filter(pa.array(wanted))
             data, offsets = bytewise.utf8(batch.column("text"))
             for i, j in bytewise.chunks(offsets):
-                sets = [s.view(np.int64) for s in bytewise.shingle_sets(bytewise.Words(data, offsets[i : j + 1], lower=True), k)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                sets = list(bytewise.shingle_sets(bytewise.Words(data, offsets[i : j + 1], lower=True), k))
+                a, b = zip(*map(_digests, sets), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -191,7 +192,8 @@ def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: D
     """node, root of the nodes that are linked to another."""
     members = scratch.table(nodes_bands.join(shared, "key"), "members")
     keep = _filter_of(members.select("node").distinct())
-    sets = scratch.table(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, hashes array<long>").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    wanted = firsts.select(F.col("doc_id").alias("node"), "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
+    sets = scratch.table(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, set_a long, set_b long, hashes array<long>").join(wanted, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
     stars = members.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     roots = scratch.table(components(_confirmed(stars, sets, threshold), scratch), "roots")
 
@@ -238,7 +240,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
     some = sketches.filter("n > 0 and doc_id is not null")
     nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
+    firsts = firsts.groupBy("doc_id").agg(F.min_by(F.struct("n", "set_a", "set_b", "keys", "bits"), F.struct("set_a", "set_b")).alias("r")).select("doc_id", "r.*")
     nodes_bands = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
     with Scratch(docs.sparkSession) as scratch:

@@ -568,6 +568,17 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 120)} == {100}
 
 
+def test_repeated_ids_give_one_answer(spark):
+    rng = random.Random(23)
+    base = prose(rng, 80)
+    texts = [base, base + " end", prose(rng, 50), prose(rng, 50), base, None]
+    ids = [4, 9, 9, 9, 2, None]
+    first = sorted(map(tuple, minhash.near_duplicates(frame(spark, texts, ids)).collect()), key=str)
+    again = sorted(map(tuple, minhash.near_duplicates(frame(spark, texts[::-1], ids[::-1]).repartition(3)).collect()), key=str)
+    assert first == again and len(first) == 6
+    assert {c for d, _, c in first if d in (2, 4)} == {2}
+
+
 def test_near_duplicate_edge_tables(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, [None, "", " "])).collect()}
