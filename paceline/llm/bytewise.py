@@ -28,7 +28,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(19, (n - 1).bit_length())
         out = []
         for base in (BASE, _INV):
             x = np.full(size, base, np.uint64)
@@ -63,7 +63,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, size: int = (1 << 19) - 1) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about size bytes; a longer row is a range of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
