@@ -1,11 +1,18 @@
 """Lexical retrieval packing: neighbours from a sharded BM25 inverted index fill the windows of seed documents.
 
-A shard is a run of documents of one input partition with about SHARD_TOKENS tokens; it has an inverted index over
-all its token ids. A document that is not used yet is the next seed. It is cut into full windows, and the rest of
+Document frequencies and the mean length are those of all documents. Documents are sorted through a shuffle by their
+route: the ROUTE terms that come first in a fixed random order in which a term's chance grows with its squared BM25 weight
+(weighted MinHash), so that two documents have the same first term with about the likeness of their weighty terms, wherever
+they lie in the input. A shard is a run of about SHARD_TOKENS tokens in that order; it has an inverted index over
+all its token ids. Rows with one route stand in order of a hash of their id, so a common route or a large group of copies
+fills as many shards as its size asks for. Neighbours with other routes in other shards are not found; the README has
+the measured share of those that are.
+
+A document that is not used yet is the next seed. It is cut into full windows, and the rest of
 its last one is filled with the unused documents of the shard that BM25 ranks highest for its QUERY_TERMS
 weightiest terms, whole if they fit; the one that doesn't is cut, and what is left of it is the next seed. What
-is left at the end of a shard makes sequences of powers of two. So no sequence has padding, no row is shuffled and
-a shard's memory is bounded; a single longer document makes a shard of its own.
+is left at the end of a shard makes sequences of powers of two. So no sequence has padding and a shard's memory is
+bounded; a single longer document makes a shard of its own.
 
 A document's ids are those of its text (null: empty) and the separator. Rows are packed each for itself, so rows that
 repeat are packed as often. An empty table gives an empty result.
@@ -16,6 +23,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import public_tokenizers
@@ -23,9 +31,10 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from paceline.llm import bpe
-from paceline.llm.store import text_batches
+from paceline.llm import bpe, bytewise
+from paceline.llm.store import materialize, text_batches
 
 WINDOW = 1024
 SEPARATOR = 0
@@ -33,6 +42,10 @@ SHARD_TOKENS = 1_000_000
 QUERY_TERMS = 8
 K1, B = 1.2, 0.75
 _TERM = 21  # bits for the document in an index key
+#: Terms of a route, and bits of each.
+ROUTE, _ROUTE_BITS = 3, 21
+#: Shards of one task of the shuffle.
+TASK_SHARDS = 4
 
 
 class Ids:
@@ -63,10 +76,39 @@ class Ids:
 _ids: dict[tuple[str, str], Ids] = {}
 
 
+@dataclass
+class Corpus:
+    """Of all documents: how many, their mean length, and by term how many have it. Its size is the vocabulary's."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, size: int) -> np.ndarray:
+        return self.idf(terms) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean))
+
+    def route(self, ids: np.ndarray) -> int:
+        """The ROUTE terms that weighted MinHash chooses, as one number; terms of no other document are left out."""
+        terms, tf = np.unique(ids.astype(np.int64), return_counts=True)
+        shared = self.df[terms] > 1
+        terms, weights = terms[shared], self.weights(terms, tf, len(ids))[shared]
+        uniform = ((bytewise.mix(terms.astype(np.uint64) + np.uint64(0x5D17)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+        at = -np.log(uniform) / weights**2
+        first = np.argpartition(at, ROUTE)[:ROUTE] if len(at) > ROUTE else np.arange(len(at))
+        out = 0
+        for t in [*terms[first[np.argsort(at[first], kind="stable")]].tolist(), *[-1] * ROUTE][:ROUTE]:
+            out = out << _ROUTE_BITS | t + 1
+        return out
+
+
 class Index:
-    """BM25 postings of a shard's documents, and of each document its terms."""
+    """BM25 postings of a shard's documents, and of each document its terms; without a corpus, the shard is one."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n, sizes = len(docs), np.array([len(d) for d in docs], np.int64)
         keys = np.concatenate(docs).astype(np.int64) << _TERM
         keys |= np.repeat(np.arange(n), sizes)
@@ -77,9 +119,10 @@ class Index:
         term, self.doc = keys >> _TERM, keys & ((1 << _TERM) - 1)
         starts = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1])))
         df = np.diff(np.append(starts, len(term)))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        idf = corpus.idf(term[starts]) if corpus else np.log1p((n - df + 0.5) / (df + 0.5))
+        mean = corpus.mean if corpus else sizes.mean()
         which = np.repeat(np.arange(len(starts)), df)
-        self.weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / sizes.mean())[self.doc]))
+        self.weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / mean)[self.doc]))
         self.begin, self.end = starts, starts + df
         # a document's terms; one that stands in no other document finds nothing
         order = np.argsort(self.doc, kind="stable")
@@ -101,9 +144,9 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece; sequences count from 0."""
-    index = Index(docs)
+    index = Index(docs, corpus)
     unused = np.ones(len(docs), bool)
     sequence = at = 0
     held: list[tuple[int, int, int]] = []
@@ -164,23 +207,82 @@ def _placed(pieces: list[tuple[int, int, int]], sequence: int) -> Iterator[tuple
         at += n
 
 
+def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
+    """doc_id, row (a number of its own) and ids of each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if (path, ranks) not in _ids:
+            _ids[path, ranks] = Ids(path, ranks)
+        of = _ids[path, ranks].of
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            ids = pa.array([of(text.as_py() or "").tobytes() for text in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.arange(row, row + len(ids))), ids], names=["doc_id", "row", "ids"])
+            row += len(ids)
+
+    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, ids binary")
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), "<u4") for x in column]
+
+
+def _corpus(tokens: DataFrame) -> Corpus:
+    """The counts of all rows: one row of (term, df) for each term of the vocabulary, and one of the totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            docs = _arrays(batch.column("ids"))
+            n, total = n + len(docs), total + sum(map(len, docs))
+            for d in docs:
+                terms = np.unique(d)
+                if len(df) <= terms[-1]:
+                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
+                df[terms] += 1
+        terms = np.flatnonzero(df)
+        columns = [np.append(terms, -1), np.append(df[terms], n), np.append(np.zeros(len(terms), np.int64), total)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "df", "tokens"])
+
+    counts = text_batches(tokens.select("ids")).mapInArrow(run, "term long, df long, tokens long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).toPandas()
+    totals, counts = counts[counts["term"] < 0], counts[counts["term"] >= 0]
+    n, total = int(totals["df"].sum()), int(totals["tokens"].sum())
+    df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 0, np.int64)
+    df[counts["term"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
+    return Corpus(n, total / max(n, 1), df)
+
+
+def _routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
+    """tokens with their route, in its order over all partitions."""
+    kinds = ", ".join(f"{c} {t}" for c, t in tokens.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            route = pa.array([corpus.route(d) for d in _arrays(batch.column("ids"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, route], names=[*batch.schema.names, "route"])
+
+    parts = max(1, -(-int(corpus.n * corpus.mean) // (TASK_SHARDS * SHARD_TOKENS)))
+    order = ("route", F.xxhash64("doc_id"), "row")
+    return text_batches(tokens).mapInArrow(run, f"{kinds}, route long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+
 def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    most = SHARD_TOKENS
+    tokens = materialize(_tokens(docs, path, ranks), "tokens")
+    corpus = _corpus(tokens)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-        if (path, ranks) not in _ids:
-            _ids[path, ranks] = Ids(path, ranks)
-        of = _ids[path, ranks].of
         keys, ids, total = [], [], 0
         for batch in batches:
-            for key, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            for key, text in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
                 keys.append(key)
-                ids.append(of(text.as_py() or ""))
+                ids.append(np.frombuffer(text.as_py(), "<u4"))
                 total += len(ids[-1])
-                if total >= SHARD_TOKENS or len(ids) >= 1 << _TERM:
+                if total >= most or len(ids) >= 1 << _TERM:
                     yield keys, ids
                     keys, ids, total = [], [], 0
         if ids:
@@ -190,7 +292,7 @@ def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, w
         base = TaskContext.get().partitionId() << 36
         kind = None
         for keys, ids in shards(batches):
-            d, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window), strict=True))
+            d, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window, corpus), strict=True))
             crc = [zlib.crc32(ids[k][s : s + n]) for k, s, n in zip(d.tolist(), start.tolist(), length.tolist(), strict=True)]
             kind = keys[0].type
             doc_id = pa.array([k.as_py() for k in keys], kind).take(pa.array(d))
@@ -198,4 +300,5 @@ def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, w
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes), pa.array(sequence + base), pa.array(offset)], names=names)
             base += int(sequence[-1]) + 1
 
-    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))
+    routed = _routed(tokens, corpus).select("doc_id", "ids")
+    return routed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))

@@ -330,6 +330,42 @@ def test_bm25_ranks_as_the_formula_does():
         assert all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
 
 
+def test_packing_finds_neighbours_in_other_partitions(spark, monkeypatch):
+    """Documents of 30 subjects, each dealt over all partitions: windows must hold documents of one subject, and copies meet."""
+    rng = random.Random(31)
+    vocab = [["".join(rng.choice("aeioustrnl") for _ in range(7)) for _ in range(12)] for _ in range(30)]
+    texts = [" ".join(rng.choice(vocab[k]) for _ in range(60)) for _ in range(12) for k in range(30)]
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+
+    def alike(parts):
+        rows = packing.packed(frame(spark, texts).repartitionByRange(parts, "doc_id"), window=512).collect()
+        assert sorted({r.doc_id for r in rows}) == list(range(len(texts)))
+        by = {}
+        for r in rows:
+            by.setdefault(r.sequence_id, set()).add(r.doc_id)
+        pairs = [(a % 30) == (b % 30) for ds in by.values() for a, b in itertools.combinations(sorted(ds), 2)]
+        return sum(pairs) / len(pairs)
+
+    assert alike(12) > 0.3 and alike(1) > 0.3
+
+
+def test_bm25_uses_the_counts_of_all_documents(spark):
+    rng = random.Random(32)
+    texts = [*EDGES, *(prose(rng, rng.randrange(1, 80)) for _ in range(60))]
+    tokens = packing._tokens(frame(spark, texts).repartition(5), bpe.DEFAULT, packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    corpus = packing._corpus(tokens)
+    docs = [np.frombuffer(r.ids, "<u4") for r in tokens.collect()]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    assert corpus.n == len(texts) and corpus.mean == sum(map(len, docs)) / len(docs)
+    assert {t: int(corpus.df[t]) for t in np.flatnonzero(corpus.df).tolist()} == df
+    part = docs[:10]
+    index = packing.Index(part, corpus)
+    t = int(part[0][0])
+    seen = [(int(d), w) for d, w, k in zip(index.doc, index.weight, np.repeat(np.arange(len(index.begin)), index.end - index.begin), strict=True) if k == sorted({x for d in part for x in d.tolist()}).index(t)]
+    for d, w in seen:
+        assert w == pytest.approx(corpus.weights(np.array([t]), np.array([(part[d] == t).sum()]), len(part[d]))[0])
+
+
 # op 6 -------------------------------------------------------------------------------------------------------
 
 
