@@ -9,8 +9,8 @@ fills as many shards as its size asks for. Neighbours with other routes in other
 the measured share of those that are.
 
 A document that is not used yet is the next seed. It is cut into full windows, and the rest of
-its last one is filled with the unused documents of the shard that BM25 ranks highest for its QUERY_TERMS
-weightiest terms, whole if they fit; the one that doesn't is cut, and what is left of it is the next seed. What
+its last one is filled with the unused documents of the shard that BM25 ranks highest for all its
+terms, whole if they fit; the one that doesn't is cut, and what is left of it is the next seed. What
 is left at the end of a shard makes sequences of powers of two. So no sequence has padding and a shard's memory is
 bounded; a single longer document makes a shard of its own.
 
@@ -21,6 +21,7 @@ repeat are packed as often. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +40,10 @@ from paceline.llm.store import materialize, text_batches
 WINDOW = 1024
 SEPARATOR = 0
 SHARD_TOKENS = 1_000_000
-QUERY_TERMS = 8
+#: No limit: all terms of a seed are searched.
+QUERY_TERMS = sys.maxsize
+#: A term of more than 1 / DENSE of a shard's documents has its weights in a matrix; up to PRODUCT documents, scores come from one product.
+DENSE, PRODUCT = 8, 2048
 K1, B = 1.2, 0.75
 _TERM = 21  # bits for the document in an index key
 #: Terms of a route, and bits of each.
@@ -124,24 +128,28 @@ class Index:
         which = np.repeat(np.arange(len(starts)), df)
         self.weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (sizes / mean)[self.doc]))
         self.begin, self.end = starts, starts + df
-        # a document's terms; one that stands in no other document finds nothing
         order = np.argsort(self.doc, kind="stable")
         self.of_doc, self.at = which[order], np.searchsorted(self.doc[order], np.arange(n + 1))
-        self.own = np.where(df > 1, 1.0, 0.0)[self.of_doc] * self.weight[order]
+        # terms of many documents: a row of weights each, and which documents have them
+        many = DENSE * df > n
+        self.rare = ~many
+        row = np.cumsum(many) - 1
+        entries = np.flatnonzero(many[which])
+        self.dense, self.has = np.zeros((int(many.sum()), n)), np.zeros((n, int(many.sum())))
+        self.dense[row[which[entries]], self.doc[entries]] = self.weight[entries]
+        self.has[self.doc[entries], row[which[entries]]] = 1
+        self.scores = self.has @ self.dense if n <= PRODUCT else None
         self.n = n
 
     def ranked(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first, ties in order."""
-        a, b = self.at[seed], self.at[seed + 1]
-        own = self.own[a:b]
-        top = np.argpartition(own, -QUERY_TERMS)[-QUERY_TERMS:] if b - a > QUERY_TERMS else np.arange(b - a)
-        terms = self.of_doc[a:b][top[own[top] > 0]]
-        if not len(terms):
-            return terms
-        spans = [slice(self.begin[t], self.end[t]) for t in terms]
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Unused documents that share a term with the seed, best first by all its terms, ties in order."""
+        terms = self.of_doc[self.at[seed] : self.at[seed + 1]]
+        terms = terms[self.rare[terms]]
+        sizes = self.end[terms] - self.begin[terms]
+        at = np.repeat(self.begin[terms] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        score = np.bincount(self.doc[at], self.weight[at], self.n) + (self.scores[seed] if self.scores is not None else self.has[seed] @ self.dense)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        return found[np.argsort(-np.round(score[found], 10), kind="stable")]
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
@@ -208,7 +216,7 @@ def _placed(pieces: list[tuple[int, int, int]], sequence: int) -> Iterator[tuple
 
 
 def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
-    """doc_id, row (a number of its own) and ids of each row of docs."""
+    """doc_id, row (a number of its own) and ids of each row of docs; ids as their low halves, then their high halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, ranks) not in _ids:
@@ -216,15 +224,20 @@ def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
         of = _ids[path, ranks].of
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            ids = pa.array([of(text.as_py() or "").tobytes() for text in batch.column("text")], pa.binary())
+            ids = pa.array([of(text.as_py() or "").view("<u2").reshape(-1, 2).T.tobytes() for text in batch.column("text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.arange(row, row + len(ids))), ids], names=["doc_id", "row", "ids"])
             row += len(ids)
 
     return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, ids binary")
 
 
+def _array(ids: bytes) -> np.ndarray:
+    """The ids of a row of _tokens()."""
+    return np.ascontiguousarray(np.frombuffer(ids, "<u2").reshape(2, -1).T).view("<u4").ravel()
+
+
 def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), "<u4") for x in column]
+    return [_array(x.as_py()) for x in column]
 
 
 def _corpus(tokens: DataFrame) -> Corpus:
@@ -280,7 +293,7 @@ def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, w
         for batch in batches:
             for key, text in zip(batch.column("doc_id"), batch.column("ids"), strict=True):
                 keys.append(key)
-                ids.append(np.frombuffer(text.as_py(), "<u4"))
+                ids.append(_array(text.as_py()))
                 total += len(ids[-1])
                 if total >= most or len(ids) >= 1 << _TERM:
                     yield keys, ids

@@ -330,6 +330,28 @@ def test_bm25_ranks_as_the_formula_does():
         assert all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
 
 
+def test_bm25_ranks_by_all_terms(monkeypatch):
+    rng = np.random.default_rng(33)
+    docs = [rng.integers(0, 300, rng.integers(40, 160)).astype("<u4") for _ in range(40)]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    corpus = packing.Corpus(100, 90.0, np.array([2 * df[t] for t in range(300)]))
+    tf = [Counter(d.tolist()) for d in docs]
+
+    def weight(d, t):
+        return np.log1p((100 - 2 * df[t] + 0.5) / (2 * df[t] + 0.5)) * tf[d][t] * (packing.K1 + 1) / (tf[d][t] + packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / 90))
+
+    for most in (packing.PRODUCT, 0):
+        monkeypatch.setattr(packing, "PRODUCT", most)
+        index = packing.Index(docs, corpus)
+        for seed in range(len(docs)):
+            score = [sum(weight(d, t) for t in tf[seed] if t in tf[d]) for d in range(len(docs))]
+            unused = np.ones(len(docs), bool)
+            unused[seed] = False
+            got = index.ranked(seed, unused).tolist()
+            assert set(got) == {d for d in range(len(docs)) if d != seed and score[d] > 0}
+            assert all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
+
+
 def test_packing_finds_neighbours_in_other_partitions(spark, monkeypatch):
     """Documents of 30 subjects, each dealt over all partitions: windows must hold documents of one subject, and copies meet."""
     rng = random.Random(31)
@@ -354,7 +376,7 @@ def test_bm25_uses_the_counts_of_all_documents(spark):
     texts = [*EDGES, *(prose(rng, rng.randrange(1, 80)) for _ in range(60))]
     tokens = packing._tokens(frame(spark, texts).repartition(5), bpe.DEFAULT, packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
     corpus = packing._corpus(tokens)
-    docs = [np.frombuffer(r.ids, "<u4") for r in tokens.collect()]
+    docs = [packing._array(r.ids) for r in tokens.collect()]
     df = Counter(t for d in docs for t in set(d.tolist()))
     assert corpus.n == len(texts) and corpus.mean == sum(map(len, docs)) / len(docs)
     assert {t: int(corpus.df[t]) for t in np.flatnonzero(corpus.df).tolist()} == df
