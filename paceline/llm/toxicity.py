@@ -54,6 +54,8 @@ REPORTED = "said says say told wrote writes claimed claims called quoted quote a
 
 _STOPS = re.compile(r"[.!?;:,\n()\"“”«»|]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+#: Characters outside ASCII that are no part of a word.
+_BREAK = re.compile(r"[^\x00-\x7f](?<![^\W\d_])")
 _TABLE = 1 << 20
 
 
@@ -174,11 +176,14 @@ def _hashes(entries: list[bytes]) -> np.ndarray:
 
 
 class Finder:
-    """Which rows of a batch have a word that the grammar gives a weight, by hashes of words and beginnings."""
+    """Which rows of a batch may have a word that the grammar gives a weight, by hashes of words and beginnings; never too few.
+
+    Words are runs of letters here, so of an entry with an apostrophe the part before it is looked for as a whole word.
+    """
 
     def __init__(self, model: Model):
-        self.words = self._table([*model.words, *HARM])
-        self.beginnings = {n: self._table([b for b in model.beginnings if len(b.encode()) == n]) for n in range(4, 29)}
+        self.words = self._table([*(e.split("'")[0] for e in (*model.words, *HARM)), *(b.split("'")[0] for b in model.beginnings if "'" in b)])
+        self.beginnings = {n: self._table([b for b in model.beginnings if "'" not in b and len(b.encode()) == n]) for n in range(4, 29)}
         self.beginnings = {n: t for n, t in self.beginnings.items() if t is not None}
 
     @staticmethod
@@ -189,6 +194,11 @@ class Finder:
         table[(_hashes([e.encode() for e in entries]) % np.uint64(_TABLE)).astype(np.int64)] = True
         return table
 
+    @staticmethod
+    def text(text: str) -> str:
+        """What rows() takes: a blank for each character outside ASCII that is in no word."""
+        return text if text.isascii() else _BREAK.sub(" ", text)
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         w = bytewise.Words(data, offsets, bytewise.LETTER)
         hit = self.words[(w.hashes % np.uint64(_TABLE)).astype(np.int64)]
@@ -207,12 +217,12 @@ def features(docs: DataFrame, model: Model, carry: str | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, grammar = Finder(model), Grammar(model)
         for batch in batches:
-            texts = pa.array([(x.as_py() or "").lower() for x in batch.column("text")], pa.string())
-            data, offsets = bytewise.utf8(texts)
+            texts = [(x.as_py() or "").lower() for x in batch.column("text")]
+            data, offsets = bytewise.utf8(pa.array(map(finder.text, texts), pa.string()))
             total, highest = np.zeros(len(texts)), np.zeros(len(texts))
             for i, j in bytewise.chunks(offsets):
                 for r in finder.rows(data, offsets[i : j + 1]) + i:
-                    total[r], highest[r] = grammar.document(texts[int(r)].as_py())
+                    total[r], highest[r] = grammar.document(texts[r])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total), pa.array(highest)], names=[*names, "total", "highest"])
 
     docs = docs.select("doc_id", "text", *([carry] if carry else []))

@@ -490,6 +490,18 @@ def test_finder_misses_no_document_with_a_score(spark):
         assert got[i] == g.document((t or "").lower())
 
 
+def test_finder_splits_words_as_the_grammar_does(spark):
+    model = toxicity.Model(words={**toxicity.Model().words, "d'abruti": 2.0}, beginnings={"l'im": 2.0, "zorb": 1.5, "éäöü": 1.5})
+    marks = [*"¡¿“”«»…—–’‘、。•€£©°", "\u00a0", "\u2003", "\u0301", "\u0663", "\u200b", "ª", "²", "é", "_", "7", "'", "x'", "'x'", "''"]
+    words = ["idiota", "trash", "idiot", "moron", "abruti", "d'abruti", "l'imposteur", "zorbel", "ÉÄÖÜx", "arschloch"]
+    texts = [f"so {a}{w}{b} it" for w in words for a in marks for b in ("", *marks)] + ["¡idiota!", "“trash”", "moron—really", "«\u00a0abruti\u00a0»"]
+    got = {r.doc_id: (r.total, r.highest) for r in toxicity.features(frame(spark, texts), model).collect()}
+    g = toxicity.Grammar(model)
+    for i, t in enumerate(texts):
+        assert got[i] == g.document(t.lower()), t
+    assert all(got[i][0] > 0 for i in range(len(texts) - 4, len(texts)))
+
+
 def test_toxicity_without_labels_scores_all(spark):
     docs = frame(spark, EDGES)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
