@@ -17,7 +17,8 @@ labelled toxic documents have far more often than others. fit() reads at most ab
 documents, chosen by a hash of their ids, and keeps MAX_LEXICON entries at most; the model is a constant size.
 
 Nulls: a null text is an empty one; it has no clause and the lowest score. Labels that are null are not used, and
-repeated labels of a document count once each. Without labels, the fixed lexicon and fixed coefficients are used.
+repeated labels of a document count once each. For the lexicon, copies of a text (in small letters) count once for each
+label they have. Without labels, the fixed lexicon and fixed coefficients are used.
 Empty tables give empty results.
 """
 
@@ -25,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
-from paceline.llm.store import text_batches
+from paceline.llm.store import materialize, text_batches
 
 MAX_TRAINING = 10_000
 MAX_LEXICON = 4_000
@@ -232,13 +232,9 @@ def features(docs: DataFrame, model: Model, carry: str | None = None) -> DataFra
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and beginnings with how many toxic and other documents have them, once for each task."""
     counts = (Counter(), Counter())
-    seen: set[int] = set()
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
             text = (text.as_py() or "").lower()
-            if (digest := zlib.crc32(text.encode())) in seen:  # copies say nothing new
-                continue
-            seen.add(digest)
             words = set(_WORD.findall(text))
             counts[toxic].update({"w" + w for w in words} | {"b" + w[:n] for w in words for n in PREFIXES if len(w) > n})
     names = ["entry", "toxic", "other"]
@@ -258,8 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_training: int = MAX_TRAINING) ->
     share = min(1.0, max_training / n)
     some = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic")
-    counted = text_batches(sample).mapInArrow(_entries, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    least = max(MIN_DOCS, int(MIN_SHARE * positive * share))
+    digest = F.sha2(F.lower(F.coalesce("text", F.lit(""))), 256)
+    once = materialize(sample.groupBy(digest.alias("digest"), "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "sample")  # copies say nothing new
+    counted = text_batches(once).mapInArrow(_entries, "entry string, toxic long, other long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    least = max(MIN_DOCS, int(MIN_SHARE * once.filter("toxic = 1").count()))
     good = counted.filter((F.col("toxic") >= least) & (F.col("toxic") >= MIN_PURITY * (F.col("toxic") + F.col("other"))))
     learned = good.orderBy(F.desc(F.col("toxic") - 4 * F.col("other")), "entry").limit(MAX_LEXICON).collect()
     for entry, toxic, other in learned:

@@ -490,6 +490,17 @@ def test_finder_misses_no_document_with_a_score(spark):
         assert got[i] == g.document((t or "").lower())
 
 
+def test_copies_count_once_for_the_lexicon(spark):
+    rng = random.Random(34)
+    copies = [(prose(rng, 30, 60) + " glarbon", 1)] * 1000
+    rows = [*copies, *((prose(rng, 30, 60) + " krumpfen", 1) for _ in range(5)), *((prose(rng, 30, 60), 0) for _ in range(200))]
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    docs = frame(spark, [t for t, _ in rows])
+    for parts in (1, 8):
+        words = toxicity.fit(docs.repartition(parts), labels).words
+        assert "krumpfen" in words and "glarbon" not in words
+
+
 def test_finder_splits_words_as_the_grammar_does(spark):
     model = toxicity.Model(words={**toxicity.Model().words, "d'abruti": 2.0}, beginnings={"l'im": 2.0, "zorb": 1.5, "éäöü": 1.5})
     marks = [*"¡¿“”«»…—–’‘、。•€£©°", "\u00a0", "\u2003", "\u0301", "\u0663", "\u200b", "ª", "²", "é", "_", "7", "'", "x'", "'x'", "''"]
