@@ -9,7 +9,8 @@ none of the 48 buckets with a probability of 5e-7.
 Equal sets are one node, so copies cost nothing further. In a bucket, edges go from its least node to the others
 (a star), are confirmed on the full sets, and joined to components. Only buckets that still hold several
 components go on: to stars around two other nodes. What then remains is compared exactly: nodes of
-different components that share one of their rarest shingles, as similar sets must. So no pair of a bucket that
+different components that share one of their rarest shingles, as similar sets must, directly where few nodes have that
+shingle, and by what they and a group's medoid differ in where many do. So no pair of a bucket that
 could change the result goes unseen, and no bucket is expanded into all its pairs.
 
 Nulls: a null text is an empty one and links with nothing; rows without a doc_id get the component of their set, if any.
@@ -18,11 +19,11 @@ Ties: rows with one doc_id and different texts are one node, with the set whose
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import bytewise
@@ -30,10 +31,16 @@ from paceline.llm.store import Scratch, materialize, text_batches
 
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
-#: Bits of the filter that tells which nodes stand in shared buckets; beyond some millions of such nodes it lets more through.
-FILTER_BITS = 1 << 23
+#: Most bits of the filter that tells which nodes stand in shared buckets (16 MB); for more nodes a join takes its place.
+MAX_FILTER = 1 << 27
+#: Further stars in each bucket that still holds several components.
+PIVOTS = 2
 #: A shingle of more nodes than this is common among those that are left to compare.
 COMMON = 32
+#: Groups of more entries than LARGE are peeled again, PEELS times at most.
+LARGE, PEELS = 512, 3
+#: Edges of a hub that are compared with one copy of its set.
+HUB = 1000
 #: Parts that the copies of one set are dealt into.
 SALTS = 32
 _PROBES = 64
@@ -102,41 +109,49 @@ def _sketches(k: int):
     return run
 
 
-def _sets(k: int, keep: np.ndarray):
-    """The full sets of the documents whose place in the filter is set."""
+def _sets(k: int, keep: np.ndarray | None):
+    """The full sets of the documents; with keep, of those whose place in the filter is set."""
     schema = pa.schema([("node", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            at = _place(ids.fill_null(0).to_numpy(zero_copy_only=False))
-            wanted = (keep[at >> 6] >> (at & 63) & 1).astype(bool) & ids.is_valid().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(wanted))
+            if keep is not None:
+                at = _place(batch.column("doc_id").to_numpy(), 64 * len(keep))
+                batch = batch.filter(pa.array((keep[at >> 6] >> (at & 63) & 1).astype(bool)))
             data, offsets = bytewise.utf8(batch.column("text"))
             for i, j in bytewise.chunks(offsets):
                 sets = list(bytewise.shingle_sets(bytewise.Words(data, offsets[i : j + 1], lower=True), k))
                 a, b = zip(*map(_digests, sets), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _place(ids: np.ndarray) -> np.ndarray:
-    return (bytewise.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (bytewise.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def _filter_of(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node, in words of 64; FILTER_BITS bits whatever the input."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """node, set_a, set_b, hashes of the documents that nodes name, and maybe of some others.
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _place(batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bit"])
+    Up to MAX_FILTER / 16 nodes, a filter of 16 bits or more a node goes to the scan of the texts; beyond, a join by id does.
+    """
+    docs, n = docs.filter("doc_id is not null"), nodes.count()
+    keep = None
+    if 16 * n > MAX_FILTER:
+        docs = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    else:
+        bits = 1 << max(16, (16 * n).bit_length())
 
-    words = nodes.select("node").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = _place(batch.column(0).to_numpy(), bits)
+                yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], names=["word", "bit"])
+
+        words = nodes.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+        keep = np.zeros(bits // 64, np.int64)
+        keep[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return text_batches(docs).mapInArrow(_sets(k, keep), "node long, set_a long, set_b long, hashes array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -162,38 +177,148 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The edges (a, b) with 100 * intersection >= threshold * union."""
-    x = edges.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    x = x.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    """The edges (a, b) with 100 * intersection >= threshold * union.
+
+    A hub b of many edges is dealt into parts of HUB edges, with a copy of its set for each.
+    """
+    parts = edges.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
+    x = edges.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    x = x.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    hubs = parts.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    x = x.join(hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y"), ["b", "part"])
     both = F.size(F.array_intersect("x", "y"))
     return x.filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _rare_shingles(nodes: DataFrame, sets: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """nodes with common, how many of their shingles more than COMMON nodes have, and a row (shingle, df) for each of their rarest shingles.
+def _sorted_by_rarity(each: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and all, the entries of each key (element, df) as an array, rarest first; as long as one document's set."""
+    return each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "element"))).alias("all"))
+
 
-    Rarity is the count df among these nodes, ties by hash. Two sets that are similar enough share one of the
-    n - ceil(threshold % of n) + 1 rarest shingles of each. If the rarest that they share is common, so are all, and
-    the lesser number of common shingles bounds their intersection. So only what few nodes have makes candidates,
-    unless both sides are common nearly through.
+def _entries(ranked: DataFrame, length: Column) -> DataFrame:
+    """A row (element, df, left) for each of the first entries of all that others have too; left: how many entries follow it, itself included."""
+    first = F.slice("all", F.lit(1), F.greatest(length, F.lit(1)).cast("int"))
+    found = ranked.select("*", F.posexplode(first).alias("at", "r")).filter("r.df > 1")
+    return found.withColumn("left", F.size("all") - F.col("at")).select(*(c for c in ranked.columns if c != "all"), "r.element", "r.df", "left")
+
+
+def _joined(entries: DataFrame, on: str, possible: Callable[[Column, Column, Column], Column], sizes: Callable[[str], Column]) -> DataFrame:
+    """Pairs (a, b) of different roots in one group of on, whose sizes may meet the threshold and that pass possible.
+
+    entries has the members of its group; large groups are dealt into parts of LARGE on one side.
+    Two nodes share their first common entry in both their beginnings. There, what is left of either bounds how much they share,
+    so that later common entries and most nodes that are alike by chance give no row.
+    """
+    columns = [c for c in entries.columns if c not in (on, "members")]
+    parts = F.ceil(F.col("members") / LARGE).cast("int")
+    at = {"x": F.pmod(F.xxhash64("node"), parts).cast("int"), "y": F.explode(F.sequence(F.lit(0), parts - 1))}
+    x, y = (entries.select(on, at[side].alias("part"), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "xy")
+    left = F.least("left_x", "left_y")
+    may = (F.col("node_x") > F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & possible(left, sizes("x"), sizes("y"))
+    return x.join(y, (x[on] == y[on]) & (x["part"] == y["part"]) & may).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _peeled(state: DataFrame, links: Callable[[DataFrame], DataFrame], threshold: int, scratch: Scratch) -> DataFrame:
+    """Candidate pairs (a, b) of the groups of state (key, node, n, items), without all pairs of a group.
+
+    Each group's medoid m, the member with the least sum of distances, is compared with all; the ones that it links with are joined
+    (links takes these edges and gives the nodes' roots). Seen from m, a node is what it and m differ in, D of size d: two nodes
+    differ in as much as their D do. With s = (100 - threshold) / (100 + threshold), x and y are linked if they differ in no more
+    than s * (n_x + n_y), so their D share at least h = (d_x + d_y - s * (n_x + n_y)) / 2. If m isn't linked with x, then d_y, which is at
+    least d_x - s * (n_x + n_y) and at least n_y - n_m, makes h no less than (d_x - s * (n_x + n_m)) / (1 + s) > 0, whatever y is. So x needs only
+    the d_x - h + 1 rarest entries of its D, and each pair that is not joined yet meets at one of them. Groups of more than LARGE
+    entries go round again, with another medoid, PEELS times; what is large then is compared in parts.
     """
-    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = each.join(counts, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    down, up = 100 - threshold, 100 + threshold
+    found = None
+    for peel in range(PEELS):
+        if state.isEmpty():
+            break
+        each = state.select("key", "node", F.size("items").alias("size"), F.explode("items").alias("element"))
+        counts = scratch.table(each.groupBy("key", "element").agg(F.count("*").alias("c")), "counts")
+        far = each.join(counts, ["key", "element"]).groupBy("key", "node", "size").agg(F.sum("c").alias("c"))
+        members = state.groupBy("key").agg(F.count("*").alias("m"))
+        medoids = far.join(members, "key").groupBy("key", "m").agg(F.min(F.struct(F.col("m") * F.col("size") - 2 * F.col("c"), "node"))["node"].alias("node"))
+        middle = medoids.join(state, ["key", "node"]).select("key", "m", F.col("node").alias("mid"), F.col("n").alias("n_mid"), F.col("items").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        x = state.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(middle, ["key", "salt"]).drop("salt")
+        x = x.withColumns({"more": F.array_except("items", "own"), "less": F.array_except("own", "items")}).drop("items", "own").withColumn("d", F.size("more") + F.size("less"))
+        x = scratch.table(x.withColumn("linked", up * F.col("d") <= down * (F.col("n") + F.col("n_mid"))), "seen")
+        roots = links(x.filter("linked and node <> mid").select(F.greatest("node", "mid").alias("a"), F.least("node", "mid").alias("b")))
+        x = x.filter("node <> mid").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = x.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
+        x = x.join(several, "key", "left_semi")
+        own = ["key", "node", "n", "root", "d", "m", "n_mid", "linked"]
+        parts = F.explode(F.array_union(F.transform("more", lambda e: F.struct(e.alias("element"), F.lit(False).alias("absent"))), F.transform("less", lambda e: F.struct(e.alias("element"), F.lit(True).alias("absent"))))).alias("p")
+        each = x.select(*own, parts).select(*own, "p.*").join(counts, ["key", "element"])
+        each = each.withColumn("df", F.when(F.col("absent"), F.col("m") - F.col("c")).otherwise(F.col("c")))
+        shares = F.when(F.col("linked"), 1).otherwise(F.ceil((up * F.col("d") - down * (F.col("n") + F.col("n_mid"))) / 200))
+        entries = _entries(_sorted_by_rarity(each, own), F.col("d") - shares + 1)
+        entries = scratch.table(entries.select(F.xxhash64("key", "element").alias("group"), F.col("key").alias("of"), "node", "n", "root", "d", "left"), "entries")
+        groups = entries.groupBy("group").agg(F.count("*").alias("members"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+        entries = entries.join(groups.select("group", "members"), "group")
+        last = peel == PEELS - 1
+        now = entries if last else entries.filter(F.col("members") <= LARGE)
+
+        def possible(left: Column, x: Column, y: Column) -> Column:
+            return (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & (2 * up * left >= up * (F.col("d_x") + F.col("d_y")) - (x + y))
+
+        pairs = _joined(now.drop("of"), "group", possible, lambda side: down * F.col(f"n_{side}"))
+        pairs = scratch.table(pairs, "peeled")
+        found = pairs if found is None else found.unionByName(pairs)
+        if last:
+            break
+        again = entries.filter(F.col("members") > LARGE).select("group", "of", "node")
+        x = x.select(F.col("key").alias("of"), "node", "n", F.array_union("more", "less").alias("items"))
+        state = scratch.table(again.join(x, ["of", "node"]).select(F.col("group").alias("key"), "node", "n", "items"), "state")
+    return found
+
+
+def _remainder(nodes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
+    """The roots after each link of different components among nodes (node, root, n) is found.
+
+    Two sets that are similar enough share one of the n - ceil(threshold % of n) + 1 rarest shingles of each; rarity is the count df
+    among these nodes, ties by hash. If the rarest that they share is one that at most COMMON nodes have, they meet there. Else all that they
+    share are common, so each is common for threshold % at least; such nodes are grouped by common shingles and peeled (see _peeled).
+    """
+    each = sets.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("hashes").alias("element"))
+    counts = each.groupBy("element").agg(F.count("*").alias("df"))
+    ranked = _sorted_by_rarity(each.join(counts, "element"), ["node"])
     n = F.size("all")
-    shared = ranked.filter(100 * F.size(F.filter("all", lambda x: x["df"] > 1)) >= threshold * n)
-    first = F.slice("all", F.lit(1), n - F.ceil(n * threshold / 100).cast("int") + 1)
-    common = F.size(F.filter("all", lambda x: x["df"] > COMMON)).alias("common")
-    found = scratch.table(shared.select("node", common, F.explode(F.filter(first, lambda x: x["df"] > 1)).alias("r")).select("node", "common", "r.*"), "rare")
-    return found.join(nodes, "node")
+    ranked = ranked.filter(100 * F.size(F.filter("all", lambda x: x["df"] > 1)) >= threshold * n)
+    common = F.size(F.filter("all", lambda x: x["df"] > COMMON))
+    found = _entries(ranked.withColumn("enough", 100 * common >= threshold * n), n - F.ceil(n * threshold / 100) + 1)
+    found = scratch.table(found.filter((F.col("df") <= COMMON) | F.col("enough")).join(nodes.select("node", "root", "n"), "node"), "rare")
+    rare = found.filter(F.col("df") <= COMMON).select("element", "node", "root", "n", "left", F.col("df").alias("members"))
+    candidates = scratch.table(_joined(rare, "element", lambda left, x, y: (100 + threshold) * left >= x + y, lambda side: threshold * F.col(f"n_{side}")), "candidates")
+
+    def joined(links: DataFrame) -> DataFrame:
+        """The roots with further links; those within a component change nothing."""
+        nonlocal roots
+        for side in "ab":
+            links = links.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+        links = links.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        links = scratch.table(links, "links")
+        if not links.isEmpty():
+            old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = scratch.table(components(old.unionByName(links), scratch), "roots")
+        return roots
+
+    frequent = found.filter(F.col("df") > COMMON)
+    stars = frequent.join(frequent.groupBy("element").agg(F.min("node").alias("b")), "element").select(F.col("node").alias("a"), "b")
+    clusters = components(stars, scratch)
+    state = scratch.table(clusters.select("node", F.col("root").alias("key")).join(nodes.select("node", "n"), "node").join(sets.select("node", F.col("hashes").alias("items")), "node"), "state")
+    peeled = _peeled(state, joined, threshold, scratch)
+    if peeled is not None:
+        candidates = candidates.unionByName(peeled).distinct()
+    return joined(_confirmed(candidates, sets, threshold))
 
 
 def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
     """node, root of the nodes that are linked to another."""
     members = scratch.table(nodes_bands.join(shared, "key"), "members")
-    keep = _filter_of(members.select("node").distinct())
     wanted = firsts.select(F.col("doc_id").alias("node"), "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
-    sets = scratch.table(text_batches(docs.filter("doc_id is not null")).mapInArrow(_sets(k, keep), "node long, set_a long, set_b long, hashes array<long>").join(wanted, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    sets = _full_sets(docs, members.select("node").distinct(), k).join(wanted, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"])
+    sets = scratch.table(sets.select("node", "hashes"), "sets")
     stars = members.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     roots = scratch.table(components(_confirmed(stars, sets, threshold), scratch), "roots")
 
@@ -203,35 +328,23 @@ def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: D
         several = x.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
         return scratch.table(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
 
-    def pairs(x: DataFrame, y: DataFrame, on: str, directed: bool) -> DataFrame:
-        names = ("node", "root", "n", "bits") if directed else ("node", "root", "n", "bits", "df", "common")
-        x = x.select(on, *(F.col(c).alias(f"{c}_x") for c in names))
-        y = y.select(on, *(F.col(c).alias(f"{c}_y") for c in names))
-        differ = sum((F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range((BINS + 63) // 64)), F.lit(0))
-        # of BINS bits a share of (1 - J) / 2 differ; 0.275 is more than six deviations above 0.1
-        may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 128))
-        if not directed:
-            enough = (100 + threshold) * F.least("common_x", "common_y") >= threshold * (F.col("n_x") + F.col("n_y"))
-            may &= (F.col("node_x") > F.col("node_y")) & ((F.col("df_x") <= COMMON) | enough)
-        return x.join(y, (x[on] == y[on]) & may).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
-
-    for pivots in (2, None):
+    left = labelled()
+    if left.isEmpty():
+        return roots
+    # stars around PIVOTS further nodes of each open bucket
+    orders = [F.min(F.struct(F.xxhash64("node", F.lit(20 + i)).alias("h"), "node")).alias(f"p{i}") for i in range(PIVOTS)]
+    chosen = left.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.node") for i in range(PIVOTS))))).alias("node"))
+    x, y = (t.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits"))) for t, side in ((left, "x"), (left.join(chosen, ["key", "node"], "left_semi"), "y")))
+    differ = sum((F.bit_count(F.get("bits_x", F.lit(i)).bitwiseXOR(F.get("bits_y", F.lit(i)))) for i in range((BINS + 63) // 64)), F.lit(0))
+    # of BINS bits a share of (1 - J) / 2 differ; 0.275 is more than six deviations above 0.1
+    may = (F.col("root_x") != F.col("root_y")) & (100 * F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y")) & ((differ <= int(BINS * ((100 - threshold) / 200 + 0.175))) | (F.least("n_x", "n_y") < 128))
+    links = x.join(y, (x["key"] == y["key"]) & may).select(F.greatest("node_x", "node_y").alias("a"), F.least("node_x", "node_y").alias("b")).distinct()
+    links = scratch.table(_confirmed(links, sets, threshold), "links")
+    if not links.isEmpty():
+        old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = scratch.table(components(old.unionByName(links), scratch), "roots")
         left = labelled()
-        if left.isEmpty():
-            break
-        if pivots:
-            orders = [F.min(F.struct(F.xxhash64("node", F.lit(10 * pivots + i)).alias("h"), "node")).alias(f"p{i}") for i in range(pivots)]
-            chosen = left.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*(F.col(f"p{i}.node") for i in range(pivots))))).alias("node"))
-            open_pairs = pairs(left, left.join(chosen, ["key", "node"], "left_semi"), "key", True)
-        else:
-            rare = _rare_shingles(left.drop("key").dropDuplicates(["node"]), sets, threshold, scratch)
-            open_pairs = pairs(rare, rare, "shingle", False)
-        links = scratch.table(_confirmed(open_pairs, sets, threshold), "links")
-        if not links.isEmpty():
-            old = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = scratch.table(components(old.unionByName(links), scratch), "roots")
-
-    return roots
+    return roots if left.isEmpty() else _remainder(left.drop("key").dropDuplicates(["node"]), sets, roots, threshold, scratch)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:

@@ -622,24 +622,64 @@ def test_near_duplicates_match_all_pairs(spark, k):
         assert got[i].n_shingles == len(sets[i]) and got[i].component_id == want[i], texts[i]
 
 
-def test_residual_pairs_are_found_without_buckets(spark):
-    """What the stars leave is settled exactly by rare shingles."""
+@pytest.mark.parametrize(("common", "large", "peels"), [(2, 3, 3), (0, 2, 6)])
+def test_remainder_finds_all_links_without_buckets(spark, monkeypatch, common, large, peels):
+    """From no components at all: families around common texts, chains, different lengths; with limits so small that groups go round again."""
     rng = random.Random(17)
-    texts = family(rng, 50, 8)
+    texts = family(rng, 45, 9) + family(rng, 25, 3) + [prose(rng, 60) for _ in range(5)]
+    chain = prose(rng, 90).split()
+    texts += [" ".join(chain[i : i + 70]) for i in range(0, 20, 2)]
+    texts = list(dict.fromkeys(texts))
     sets = [shingles(t, 4) for t in texts]
     hashed = [[hash(x) for x in s] for s in sets]
+    for name, value in (("COMMON", common), ("LARGE", large), ("PEELS", peels)):
+        monkeypatch.setattr(minhash, name, value)
     nodes = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "node long, root long, n long")
+    alone = spark.createDataFrame([], "node long, root long")
     with Scratch(spark) as scratch:
-        rare = minhash._rare_shingles(nodes, spark.createDataFrame(list(enumerate(hashed)), "node long, hashes array<long>"), 80, scratch).collect()
-    common = minhash.COMMON
-    by = {}
-    for r in rare:
-        by.setdefault(r.node, {})[r.shingle] = r
-    for a, b in itertools.combinations(range(len(sets)), 2):
-        both = len(sets[a] & sets[b])
-        if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-            met = set(by.get(a, {})) & set(by.get(b, {}))
-            assert any(by[a][h].df <= common or 180 * min(by[a][h].common, by[b][h].common) >= 80 * (len(sets[a]) + len(sets[b])) for h in met)
+        rows = minhash._remainder(nodes, spark.createDataFrame(list(enumerate(hashed)), "node long, hashes array<long>"), alone, 80, scratch).collect()
+    got = {r.node: r.root for r in rows}
+    assert [got.get(i, i) for i in range(len(sets))] == components(sets)
+
+
+def test_peeling_gives_few_candidates(spark, monkeypatch):
+    """Variants of one text that are not similar enough: next to no pair is looked at, though all share most of their shingles."""
+    rng = random.Random(18)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for i in rng.sample(range(150), 5):
+            w[i] = prose(rng, 1) + "x"
+        texts.append(" ".join(w))
+    sets = [shingles(t, 4) for t in texts]
+    hashed = [[hash(x) for x in s] for s in sets]
+    looked = []
+    confirmed = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda edges, *a: looked.append(edges.count()) or confirmed(edges, *a))
+    nodes = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "node long, root long, n long")
+    with Scratch(spark) as scratch:
+        got = minhash._remainder(nodes, spark.createDataFrame(list(enumerate(hashed)), "node long, hashes array<long>"), spark.createDataFrame([], "node long, root long"), 80, scratch)
+        rows = {r.node: r.root for r in got.collect()}
+    assert [rows.get(i, i) for i in range(len(sets))] == components(sets)
+    assert looked[-1] < len(texts)
+
+
+def test_hubs_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HUB", 3)
+    sets = spark.createDataFrame([(i, list(range(10 + i % 4))) for i in range(20)], "node long, hashes array<long>")
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 20)] + [(5, 4)], "a long, b long")
+    got = sorted(map(tuple, minhash._confirmed(edges, sets, 80).collect()))
+    assert got == sorted([(i, 0) for i in range(1, 20) if i % 4 < 3] + [(5, 4)])
+
+
+def test_sets_come_by_filter_or_by_join(spark, monkeypatch):
+    docs = frame(spark, [prose(random.Random(i), 30) for i in range(50)]).select("doc_id", "text")
+    nodes = spark.range(0, 50, 7).withColumnRenamed("id", "node")
+    few = {r.node: sorted(r.hashes) for r in minhash._full_sets(docs, nodes, 4).collect()}
+    monkeypatch.setattr(minhash, "MAX_FILTER", 16)
+    joined = {r.node: sorted(r.hashes) for r in minhash._full_sets(docs, nodes, 4).collect()}
+    assert joined == {i: few[i] for i in range(0, 50, 7)} and len(few) < 50
 
 
 def test_components_of_chains_and_stars(spark):
