@@ -1,21 +1,26 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant (MCD) estimates.
 
-Each document gives a vector of transformed statistics. The documents of each language and source have an MCD
-centre and covariance: starting at medians and quartile ranges, concentration steps take the 75 % of documents
-with the least distance and estimate anew. A document is rejected if its squared Mahalanobis distance exceeds
-LIMIT. Languages and sources with fewer than MIN_GROUP documents share one estimate for the language's small
-sources, or one for all that are smaller still.
+Each document that passes the base rules gives a vector of transformed statistics. The vectors of each language and source
+have an MCD centre and covariance, found as deterministic MCD does: from three starts (medians with quartile ranges; the
+covariance of hyperbolic tangents; that of spatial signs), concentration steps take the SHARE of vectors with the least distance
+and estimate anew, until no group's determinant falls any more (STEPS at most). The least determinant of the three wins, is made consistent
+with a normal cloud, and is reweighted: the final estimate is that of all vectors within the REWEIGHT quantile. A document is rejected if its
+squared Mahalanobis distance exceeds LIMIT. Languages and sources with fewer than MIN_GROUP such vectors share one estimate for
+the language's small sources, or one for all that are smaller still.
 
 Vectors are integers (fixed point), so their sums are exact in any order and a repeated task gives the same
-estimates. A step is one aggregation by group and distance bucket over a table of 40 bytes a document, whatever
-the size of a group; only the centres and covariances, one row a group, meet in Python.
+estimates. A step is one aggregation by group, start and distance bucket over the distinct vectors with their counts, whatever
+the size of a group; of the bucket in which SHARE is reached, the share that is missing counts. Only sums of buckets, some hundred rows a
+group, meet in Python. A statistic whose spread is under its floor (see FEATURES) has the floor as spread; the estimate says how many
+do (floored).
 
 Nulls: a null text is an empty one; a null language or source is a group like any other. Empty texts have a zero
-vector and fail the base rule. Repeated rows count each. An empty table gives an empty result.
+vector and fail the base rule. Repeated rows count each. Without any vector there is no estimate, and the base rules alone decide. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -35,11 +40,44 @@ UNIT = 256
 #: no spread among usual documents from rejecting a trace.
 FEATURES = {"log_words": 0.5, "word_length": 0.6, "symbols": 0.04, "dup_lines": 0.12, "repeats": 0.10, "upper": 0.06, "long_words": 0.12}
 P = len(FEATURES)
-SHARE = 0.75
-STEPS = 4
+SHARE, REWEIGHT = 0.75, 0.975
+#: Most steps, and what a determinant's logarithm falls by if it falls.
+STEPS, FALL = 20, 1e-3
+STARTS = ("ranges", "tanh", "signs")
 MIN_GROUP = 200
-#: The 1 - 1e-9 quantile of chi-squared with 7 degrees of freedom: only gross outliers go.
-LIMIT = 56.0
+
+
+def chi_squared(x: float, k: int) -> float:
+    """P(chi-squared with k degrees of freedom <= x), by the series of the incomplete gamma function."""
+    if x <= 0:
+        return 0.0
+    a, x = k / 2, x / 2
+    term = total = 1 / a
+    n = a
+    while term > total * 1e-17:
+        n += 1
+        term *= x / n
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a)))
+
+
+def quantile(p: float, k: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_squared(middle, k) < p else (low, middle)
+    return high
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the inner share of a normal cloud is multiplied by."""
+    return share / chi_squared(quantile(share, P), P + 2)
+
+
+#: Only gross outliers go.
+LIMIT = quantile(1 - 1e-9, P)
+#: Code points of a word that is not long yet.
+LONG_WORD = 24
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _UPPER = np.zeros(256, bool)
@@ -79,7 +117,8 @@ def _statistics(batches: Iterator[pa.RecordBatch], drop: str) -> Iterator[pa.Rec
             heads = _HEAD[w.data]
             out = {"n_words": counts, "word_chars": w.counts(inside & heads), "n_symbols": w.counts(_SYMBOL[w.data])}
             upper, long_words = w.counts(_UPPER[w.data]), np.zeros(j - i, np.int64)
-            np.add.at(long_words, np.repeat(np.arange(j - i), counts), w.ends - w.starts > 24)
+            points = np.concatenate(([0], np.cumsum(heads)))
+            np.add.at(long_words, np.repeat(np.arange(j - i), counts), points[w.ends] - points[w.starts] > LONG_WORD)
             breaks = w.counts(w.data == 10)
             runs = bytewise.windows(w.hashes, 8)
             dup, rep = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
@@ -131,32 +170,84 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col(f"m{i}_{j}") * (1 if i == j else 2) for i, j in _pairs()), F.lit(0.0))
 
 
-def _estimates(sums: DataFrame, widen: float) -> DataFrame:
-    """Centre and inverse covariance of each group, from n and the sums s* and q*_*."""
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        floor = (np.array(list(FEATURES.values())) * UNIT) ** 2
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                n = float(r["n"])
-                centre = np.array([float(r[f"s{i}"]) / n for i in range(P)])
-                cov = np.zeros((P, P))
+_KEYS = ["lang", "source"]
+_SHAPE = [*(f"c{i}" for i in range(P)), *(f"m{i}_{j}" for i, j in _pairs())]
+_ESTIMATE = f"lang string, source string, start string, {', '.join(f'{n} double' for n in _SHAPE)}, logdet double, fell boolean, floored int"
+
+
+def _estimate(key: tuple, start: str, centre: np.ndarray, cov: np.ndarray, was: float) -> list:
+    """A row of _ESTIMATE."""
+    floor = (np.array(list(FEATURES.values())) * UNIT) ** 2
+    low = np.diag(cov) < floor
+    cov = cov + np.diag(np.maximum(floor - np.diag(cov), 0) + 1.0)
+    inverse, logdet = np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
+    return [*key, start, *centre, *(inverse[i, j] for i, j in _pairs()), logdet, was - logdet > FALL, int(low.sum())]
+
+
+def _moments(n: float, sums: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+    centre = np.array([sums[f"s{i}"] / n for i in range(P)])
+    cov = np.zeros((P, P))
+    for i, j in _pairs():
+        cov[i, j] = cov[j, i] = sums[f"q{i}_{j}"] / n - centre[i] * centre[j]
+    return centre, cov
+
+
+def _concentrated(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+    """The estimates of a group after a step, from the sums of its buckets for each start."""
+    rows, names = [], [*(f"s{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in _pairs())]
+    for start, f in cells.groupby("start"):
+        f = f.sort_values("bucket")
+        n = [int(x) for x in f["n"]]
+        wanted, seen, sums = SHARE * sum(n), 0.0, dict.fromkeys(names, 0)
+        for k, (_, r) in zip(n, f.iterrows(), strict=True):
+            take = min(1.0, (wanted - seen) / k)
+            for c in names:
+                sums[c] += int(r[c]) if take == 1 else take * int(r[c])
+            seen += take * k
+            if take < 1 or seen >= wanted:
+                break
+        centre, cov = _moments(seen, sums)
+        rows.append(_estimate(key, start, centre, cov * consistency(SHARE), float(f["was"].iloc[0])))
+    return pd.DataFrame(rows, columns=_columns())
+
+
+def _columns() -> list[str]:
+    return [*_KEYS, "start", *_SHAPE, "logdet", "fell", "floored"]
+
+
+def _started(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The three starts of each group, from medians c*, spreads w* and the sums t*_* and u*_*."""
+    for f in frames:
+        rows = []
+        for r in f.to_dict("records"):
+            key, centre, w = (r["lang"], r["source"]), np.array([r[f"c{i}"] for i in range(P)]), np.array([r[f"w{i}"] for i in range(P)])
+            shapes = [np.eye(P)]
+            for kind in "tu":
+                m = np.zeros((P, P))
                 for i, j in _pairs():
-                    cov[i, j] = cov[j, i] = float(r[f"q{i}_{j}"]) / n - centre[i] * centre[j]
-                cov = cov * widen
-                inverse = np.linalg.inv(cov + np.diag(np.maximum(floor - np.diag(cov), 0) + 1.0))
-                rows.append([r["lang"], r["source"], *centre, *(inverse[i, j] for i, j in _pairs())])
-            yield pd.DataFrame(rows, columns=names)
+                    m[i, j] = m[j, i] = float(r[f"{kind}{i}_{j}"])
+                spread = np.sqrt(np.maximum(np.diag(m), 1e-9))
+                m = m / np.outer(spread, spread)
+                np.fill_diagonal(m, 1.0)
+                shapes.append(0.99 * m + 0.01 * np.eye(P))
+            rows += [_estimate(key, name, centre, shape * np.outer(w, w), math.inf) for name, shape in zip(STARTS, shapes, strict=True)]
+        yield pd.DataFrame(rows, columns=_columns())
 
-    names = ["lang", "source", *(f"c{i}" for i in range(P)), *(f"m{i}_{j}" for i, j in _pairs())]
-    return materialize(sums.mapInPandas(solve, f"lang string, source string, {', '.join(f'{n} double' for n in names[2:])}"), "mcd")
+
+def _reweighted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        rows = []
+        for r in f.to_dict("records"):
+            centre, cov = _moments(float(r["n"]), {c: float(x) for c, x in r.items() if c[0] in "sq" and c not in _KEYS})
+            rows.append(_estimate((r["lang"], r["source"]), "final", centre, cov * consistency(REWEIGHT), math.inf))
+        yield pd.DataFrame(rows, columns=_columns())
 
 
 def _sums() -> list[Column]:
-    one = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
-    two = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _pairs()]
-    return [F.count("*").alias("n"), *one, *two]
+    """Sums over vectors that n rows have."""
+    one = [F.sum(F.col("n") * F.col(f"x{i}")).alias(f"s{i}") for i in range(P)]
+    two = [F.sum(F.col("n") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _pairs()]
+    return [F.sum("n").alias("n"), *one, *two]
 
 
 def _with(points: DataFrame, estimates: DataFrame) -> DataFrame:
@@ -166,8 +257,11 @@ def _with(points: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def groups(points: DataFrame) -> DataFrame:
-    """t_lang, t_source, and g_lang, g_source: the group whose estimate documents of that language and source are held against."""
-    sizes = points.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    """t_lang, t_source, and g_lang, g_source: the group whose estimate documents of that language and source are held against.
+
+    What counts is how many documents pass the base rules, which are those that an estimate is made of.
+    """
+    sizes = points.groupBy("lang", "source").agg(F.count_if(~base_failed()).alias("n"))
     small = F.lit("\x00small")
     by_lang = sizes.filter(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("m"))
     to = sizes.join(by_lang.withColumnRenamed("lang", "b_lang"), F.col("lang").eqNullSafe(F.col("b_lang")), "left")
@@ -181,27 +275,32 @@ def _in_groups(points: DataFrame, to: DataFrame) -> DataFrame:
 
 def fit(points: DataFrame) -> DataFrame:
     """The MCD estimate of each group of points (g_lang, g_source, x*)."""
-    quarters = points.groupBy("g_lang", "g_source").agg(*(F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p{i}") for i in range(P)))
+    of = [F.col("g_lang").alias("lang"), F.col("g_source").alias("source")]
+    cloud = materialize(points.groupBy("g_lang", "g_source", *(f"x{i}" for i in range(P))).agg(F.count("*").alias("n")), "cloud")
+    quarters = cloud.groupBy("g_lang", "g_source").agg(*(F.percentile(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias(f"p{i}") for i in range(P)))
     spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(f * UNIT)) for i, f in enumerate(FEATURES.values())]
-    estimates = materialize(
-        quarters.select(
-            F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), *(F.col(f"p{i}")[1].alias(f"c{i}") for i in range(P)), *((1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"m{i}_{j}") for i, j in _pairs())
-        ),
-        "start",
-    )
+    middle = materialize(quarters.select(*of, *(F.col(f"p{i}")[1].alias(f"c{i}") for i in range(P)), *(w.alias(f"w{i}") for i, w in enumerate(spread))), "middle")
+
+    # integers again: a thousandth of a tangent or of a sign
+    z = [(F.col(f"x{i}") - F.col(f"c{i}")) / F.col(f"w{i}") for i in range(P)]
+    x = _with(cloud, middle).withColumns({f"z{i}": z[i] for i in range(P)})
+    x = x.withColumn("far", F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-9))))
+    x = x.withColumns({f"{k}{i}": F.round(1000 * v).cast("long") for i in range(P) for k, v in (("t", F.tanh(f"z{i}")), ("u", F.col(f"z{i}") / F.col("far")))})
+    moments = x.groupBy("g_lang", "g_source").agg(*(F.sum(F.col("n") * F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}_{j}") for k in "tu" for i, j in _pairs()))
+    estimates = materialize(_with(moments, middle).select(*of, *(f"{k}{i}" for k in "cw" for i in range(P)), *(f"{k}{i}_{j}" for k in "tu" for i, j in _pairs())).mapInPandas(_started, _ESTIMATE), "start")
+
+    def near(estimates: DataFrame) -> DataFrame:
+        return _with(cloud, estimates).withColumn("distance", _distance())
+
     for _ in range(STEPS):
-        bucket = F.floor(F.log2(1 + _distance()) * 16).alias("bucket")
-        cells = _with(points, estimates).select("g_lang", "g_source", bucket, *(f"x{i}" for i in range(P))).groupBy("g_lang", "g_source", "bucket").agg(*_sums())
-        counted = materialize(cells, "cells")
-        # the buckets up to the one in which SHARE of the group is reached
-        sizes = counted.select("g_lang", "g_source", F.struct("bucket", "n").alias("c")).groupBy("g_lang", "g_source").agg(F.sort_array(F.collect_list("c")).alias("cs"), F.sum("c.n").alias("all"))
-        cut = F.expr(f"aggregate(cs, named_struct('seen', 0L, 'cut', cast(-1 as bigint)), (a, c) -> if(a.seen >= {SHARE} * all, a, named_struct('seen', a.seen + c.n, 'cut', c.bucket))).cut")
-        cuts = sizes.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), cut.alias("cut"))
-        kept = counted.join(cuts, F.col("g_lang").eqNullSafe(F.col("lang")) & F.col("g_source").eqNullSafe(F.col("source")) & (F.col("bucket") <= F.col("cut")))
-        sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in [*(f"s{i}" for i in range(P)), *(f"q{i}_{j}" for i, j in _pairs())]))
-        # widened for the quarter that was left out: the covariance of the inner 75 % of a normal cloud
-        estimates = _estimates(sums, 1.6)
-    return estimates
+        bucket = F.floor(F.log2(1 + F.col("distance")) * 16).alias("bucket")
+        cells = near(estimates).groupBy(*of, "start", bucket).agg(F.first("logdet").alias("was"), *_sums())
+        estimates = materialize(cells.groupBy("lang", "source").applyInPandas(_concentrated, _ESTIMATE), "mcd")
+        if estimates.filter("fell").isEmpty():
+            break
+    best = estimates.groupBy("lang", "source").agg(F.min(F.struct("logdet", "start", *_SHAPE)).alias("e")).select("lang", "source", "e.*")
+    sums = near(best).filter(F.col("distance") <= quantile(REWEIGHT, P)).groupBy(*of).agg(*_sums())
+    return materialize(sums.mapInPandas(_reweighted, _ESTIMATE).drop("start", "logdet", "fell"), "final")
 
 
 def base_failed() -> Column:
@@ -223,7 +322,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, distance and kept of each row of docs (doc_id, text, lang, source)."""
     points = materialize(_points(docs.select("doc_id", "lang", "source", "text"), False), "statistics")
     points = _in_groups(points, groups(points))
-    return _judged(points, fit(points.filter(~base_failed()))).select("doc_id", *BASE, "base_failed", "distance", "kept")
+    return _judged(points, fit(points.filter(~base_failed()))).select("doc_id", *BASE, "base_failed", "distance", "kept", F.coalesce("floored", F.lit(0)).alias("floored"))
 
 
 def kept(docs: DataFrame) -> DataFrame:

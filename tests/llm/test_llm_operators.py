@@ -89,28 +89,81 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(rows[i] for i in range(400, 430))
 
 
-def test_mcd_distances_match_numpy(spark):
-    """The estimate equals concentration steps done plainly on the same vectors."""
-    rng = random.Random(3)
-    docs = frame(spark, [prose(rng, rng.randrange(60, 500)) for _ in range(300)]).withColumn("lang", F.lit("en"))
-    x = quality._points(docs.select("doc_id", "lang", "source", "text"), False)
-    pts = {r.doc_id: np.array([r[f"x{i}"] for i in range(quality.P)], float) for r in x.collect()}
-    v = np.array([pts[i] for i in sorted(pts)])
+def plain_mcd(v, floor, rng, starts=40):
+    """Reweighted FAST-MCD on the rows of v by random starts, with exact subsets and simulated consistency factors."""
+    n, p = v.shape
+    h = int(np.ceil(0.75 * n))
+    normal = rng.standard_normal((400_000, p))
+    size = np.sort((normal**2).sum(1))
+
+    def factor(share):
+        inner = normal[(normal**2).sum(1) <= size[int(share * len(size)) - 1]]
+        return 1 / inner.var(axis=0).mean()
+
+    def moments(rows, widen):
+        centre = rows.mean(axis=0)
+        cov = np.cov(rows.T, bias=True) * widen
+        return centre, cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0))
+
+    def distances(centre, cov):
+        return np.einsum("ni,ij,nj->n", v - centre, np.linalg.inv(cov), v - centre)
+
+    best = None
+    for _ in range(starts):
+        inner = v[rng.choice(n, p + 1, replace=False)]
+        for _ in range(30):
+            inner = v[np.argsort(distances(*moments(inner, factor_h := 1.0)), kind="stable")[:h]]
+        det = np.linalg.slogdet(moments(inner, factor_h)[1])[1]
+        if best is None or det < best[0]:
+            best = det, inner
+    raw = moments(best[1], factor(0.75))
+    inner = v[distances(*raw) <= size[int(0.975 * len(size))]]
+    return distances(*moments(inner, factor(0.975)))
+
+
+def points_of(spark, v):
+    """Points as fit() takes them, of one group."""
+    columns = ", ".join(f"x{i} long" for i in range(quality.P))
+    return spark.createDataFrame([("en", "s", *map(int, r)) for r in v], f"g_lang string, g_source string, {columns}")
+
+
+def test_mcd_matches_a_plain_one(spark):
+    """A normal cloud with two kinds of outliers, one of them dense: distances equal those of an independent search."""
+    rng = np.random.default_rng(3)
+    p = quality.P
+    mix = rng.standard_normal((p, p)) * 300 + np.eye(p) * 400
+    v = np.vstack([rng.standard_normal((700, p)) @ mix, rng.standard_normal((80, p)) * 30 + 6000, rng.standard_normal((60, p)) * 9000])
+    v = np.round(v)
     floor = np.array(list(quality.FEATURES.values())) * quality.UNIT
-    centre = np.median(v, axis=0)
-    q1, q3 = np.percentile(v, 25, axis=0), np.percentile(v, 75, axis=0)
-    inverse = np.diag(1 / np.maximum((q3 - q1) / 1.349, floor) ** 2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ni,ij,nj->n", v - centre, inverse, v - centre)
-        bucket = np.floor(np.log2(1 + d) * 16)
-        cut = np.sort(bucket)[int(np.ceil(quality.SHARE * len(v))) - 1]
-        inner = v[bucket <= cut]
-        centre = inner.mean(axis=0)
-        cov = (inner.T @ inner / len(inner) - np.outer(centre, centre)) * 1.6
-        inverse = np.linalg.inv(cov + np.diag(np.maximum(floor**2 - np.diag(cov), 0) + 1))
-    want = np.einsum("ni,ij,nj->n", v - centre, inverse, v - centre)
-    got = {r.doc_id: r.distance for r in quality.quality(docs).collect()}
-    assert np.allclose([got[i] for i in sorted(pts)], want, rtol=1e-4, atol=1e-3)
+    want = plain_mcd(v, floor, rng)
+    x = points_of(spark, v).withColumn("g_lang", F.lit(None).cast("string"))
+    judged = quality._with(x.withColumn("at", F.monotonically_increasing_id()), quality.fit(x)).withColumn("d", quality._distance()).orderBy("at").select("d", "floored").collect()
+    got = np.array([r.d for r in judged])
+    assert np.allclose(got[:700], want[:700], rtol=0.15, atol=0.5)
+    assert ((got > quality.LIMIT) == (want > quality.LIMIT)).mean() > 0.995 and (got[700:780] > quality.LIMIT).all()
+    assert 0.9 < got[:700].mean() / p < 1.15 and {r.floored for r in judged} == {int((np.std(v[:700], axis=0) < floor).sum())}
+
+
+def test_mcd_constants():
+    assert quality.P == 7 and abs(quality.consistency(0.75) - 1.325) < 2e-3 and abs(quality.quantile(0.975, 7) - 16.0128) < 1e-3
+    assert abs(1 - quality.chi_squared(quality.LIMIT, 7) - 1e-9) < 1e-11
+
+
+def test_mcd_of_copies_and_few_rows(spark):
+    """A group of one vector, and one row, have estimates; groups are measured by the rows that pass the base rules."""
+    for n in (1, 300):
+        e = quality.fit(points_of(spark, [[5] * quality.P] * n)).collect()
+        assert len(e) == 1 and e[0].c0 == 5 and e[0].floored == quality.P
+    assert quality.fit(points_of(spark, [])).count() == 0
+    rng = random.Random(4)
+    texts = ["short"] * 500 + [prose(rng, 100) for _ in range(30)]
+    rows = quality.quality(frame(spark, texts)).collect()
+    assert all(r.kept for r in rows if r.doc_id >= 500) and not any(r.kept for r in rows if r.doc_id < 500)
+
+
+def test_long_words_are_measured_in_characters(spark):
+    docs = frame(spark, ["короткоеслово длинноеслово" * 1 + " a", "x" * 24, "x" * 25, "ж" * 24, "ж" * 25])
+    assert [r.long_words for r in quality.statistics(docs.select("doc_id", "text")).orderBy("doc_id").collect()] == [0, 0, 1, 0, 1]
 
 
 # op 2 -------------------------------------------------------------------------------------------------------
