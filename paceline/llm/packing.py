@@ -21,6 +21,7 @@ repeat are packed as often. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import bisect
 import sys
 import zlib
 from collections.abc import Iterator
@@ -48,8 +49,10 @@ K1, B = 1.2, 0.75
 _TERM = 21  # bits for the document in an index key
 #: Terms of a route, and bits of each.
 ROUTE, _ROUTE_BITS = 3, 21
-#: Shards of one task of the shuffle.
-TASK_SHARDS = 4
+#: Shards of one task of the shuffle, and most tasks; beyond, a task has more shards, one after the other.
+TASK_SHARDS, MAX_PARTS = 4, 50_000
+#: Rows whose routes give the borders of the tasks: for each task, and in all.
+SAMPLE_PART, SAMPLE = 100, 1_000_000
 
 
 class Ids:
@@ -216,19 +219,43 @@ def _placed(pieces: list[tuple[int, int, int]], sequence: int) -> Iterator[tuple
 
 
 def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
-    """doc_id, row (a number of its own) and ids of each row of docs; ids as their low halves, then their high halves."""
+    """A row for each row of docs, and one for each task.
+
+    Rows of docs: doc_id, tie (a hash of it), row (a number of its own) and ids, as their low halves, then their high halves.
+    Rows of tasks have no ids but n, total, and terms with df: the counts of the task's documents.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    schema = f"doc_id {kind}, tie long, row long, ids binary, n long, total long, terms array<int>, df array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, ranks) not in _ids:
             _ids[path, ranks] = Ids(path, ranks)
         of = _ids[path, ranks].of
-        row = TaskContext.get().partitionId() << 36
+        row = first = TaskContext.get().partitionId() << 36
+        total, df, made = 0, np.zeros(0, np.int64), None
+
+        def batch_of(columns: list[pa.Array], counts: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*columns, *counts], names=["doc_id", "tie", "row", "ids", "n", "total", "terms", "df"])
+
         for batch in batches:
-            ids = pa.array([of(text.as_py() or "").view("<u2").reshape(-1, 2).T.tobytes() for text in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.arange(row, row + len(ids))), ids], names=["doc_id", "row", "ids"])
+            made, ids = batch.column("doc_id").type, []
+            for text in batch.column("text"):
+                own = of(text.as_py() or "")
+                terms = np.unique(own)
+                if len(df) <= terms[-1]:
+                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
+                df[terms] += 1
+                total += len(own)
+                ids.append(own.view("<u2").reshape(-1, 2).T.tobytes())
+            none = [pa.nulls(len(ids), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()))]
+            yield batch_of([batch.column("doc_id"), batch.column("tie"), pa.array(np.arange(row, row + len(ids))), pa.array(ids, pa.binary())], none)
             row += len(ids)
+        if made is not None:
+            terms = np.flatnonzero(df)
+            none = [pa.nulls(1, t) for t in (made, pa.int64(), pa.int64(), pa.binary())]
+            yield batch_of(none, [pa.array([row - first]), pa.array([total]), pa.array([terms], pa.list_(pa.int32())), pa.array([df[terms]], pa.list_(pa.int64()))])
 
-    return text_batches(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, ids binary")
+    return text_batches(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("tie"))).mapInArrow(run, schema)
 
 
 def _array(ids: bytes) -> np.ndarray:
@@ -241,42 +268,41 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def _corpus(tokens: DataFrame) -> Corpus:
-    """The counts of all rows: one row of (term, df) for each term of the vocabulary, and one of the totals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, total = np.zeros(0, np.int64), 0, 0
-        for batch in batches:
-            docs = _arrays(batch.column("ids"))
-            n, total = n + len(docs), total + sum(map(len, docs))
-            for d in docs:
-                terms = np.unique(d)
-                if len(df) <= terms[-1]:
-                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
-                df[terms] += 1
-        terms = np.flatnonzero(df)
-        columns = [np.append(terms, -1), np.append(df[terms], n), np.append(np.zeros(len(terms), np.int64), total)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["term", "df", "tokens"])
-
-    counts = text_batches(tokens.select("ids")).mapInArrow(run, "term long, df long, tokens long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).toPandas()
-    totals, counts = counts[counts["term"] < 0], counts[counts["term"] >= 0]
-    n, total = int(totals["df"].sum()), int(totals["tokens"].sum())
-    df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 0, np.int64)
-    df[counts["term"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
+    """The counts of all rows, from those of the tasks: as many numbers as the vocabulary has terms."""
+    tasks = tokens.filter("ids is null")
+    n, total = tasks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    each = tasks.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("df")).toPandas()
+    df = np.zeros(int(each["terms"].max()) + 1 if len(each) else 0, np.int64)
+    df[each["terms"].to_numpy(np.int64)] = each["df"].to_numpy(np.int64)
     return Corpus(n, total / max(n, 1), df)
 
 
 def _routed(tokens: DataFrame, corpus: Corpus) -> DataFrame:
-    """tokens with their route, in its order over all partitions."""
+    """doc_id, ids of the documents of tokens in the order of their route, then tie and row, over all partitions.
+
+    The partitions' borders are quantiles of at most SAMPLE rows, chosen by a hash of their number; every row is routed once.
+    """
+    tokens = tokens.filter("ids is not null").select("doc_id", "tie", "row", "ids")
     kinds = ", ".join(f"{c} {t}" for c, t in tokens.dtypes)
+    parts = max(1, min(MAX_PARTS, -(-int(corpus.n * corpus.mean) // (TASK_SHARDS * SHARD_TOKENS))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            route = pa.array([corpus.route(d) for d in _arrays(batch.column("ids"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, route], names=[*batch.schema.names, "route"])
+    def routed(rows: DataFrame, borders: list[tuple[int, int]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                route = [corpus.route(d) for d in _arrays(batch.column("ids"))]
+                part = [bisect.bisect_right(borders, x) for x in zip(route, batch.column("tie").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route, pa.int64()), pa.array(part, pa.int32())], names=[*batch.schema.names, "route", "part"])
+
+        return text_batches(rows).mapInArrow(run, f"{kinds}, route long, part int")
 
-    parts = max(1, -(-int(corpus.n * corpus.mean) // (TASK_SHARDS * SHARD_TOKENS)))
-    order = ("route", F.xxhash64("doc_id"), "row")
-    return text_batches(tokens).mapInArrow(run, f"{kinds}, route long").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    borders: list[tuple[int, int]] = []
+    if parts > 1:
+        share = min(1.0, min(SAMPLE, SAMPLE_PART * parts) / corpus.n)
+        some = tokens.filter(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        sampled = routed(some, []).select("route", "tie").toPandas()
+        pairs = sorted(zip(sampled["route"].tolist(), sampled["tie"].tolist(), strict=True))
+        borders = [pairs[len(pairs) * i // parts] for i in range(1, parts)] if pairs else []
+    return routed(tokens, borders).repartitionById(parts, "part").sortWithinPartitions("route", "tie", "row").select("doc_id", "ids")
 
 
 def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -313,5 +339,4 @@ def packed(docs: DataFrame, path: str = bpe.DEFAULT, ranks: str | None = None, w
             yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes), pa.array(sequence + base), pa.array(offset)], names=names)
             base += int(sequence[-1]) + 1
 
-    routed = _routed(tokens, corpus).select("doc_id", "ids")
-    return routed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))
+    return _routed(tokens, corpus).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{n} long" for n in names[1:]))
