@@ -4,7 +4,7 @@ A leaf covers up to LEAF pre-tokens and holds their characters and tokens; inner
 An edit finds its leaves by the character sums, starts over at the border of the leaf that lies CONTEXT characters
 before it, splits until a border falls on the end of an old leaf, and encodes only what lies between. How text is
 split from a border on depends only on what follows, so all later leaves stay true. The sums on the paths to the
-changed leaves are updated.
+changed leaves are updated; leaves that have grown to more than twice LEAF are split, so that many edits cost as little each as the first.
 
 Nulls: a null text is an empty one, null edits are none, a null insertion is empty. Edits are ranges of the
 original text in code points; ranges beyond its end are cut to it. Edits of one document must not overlap; at one
@@ -35,15 +35,9 @@ class Tree:
 
     @classmethod
     def of(cls, pieces: list[str], count: dict[str, tuple[int, ...]]) -> Tree:
-        groups = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        n = 1 << (len(groups) - 1).bit_length()
-        tree = cls(n, [0] * 2 * n, [0] * 2 * n)
-        for i, g in enumerate(groups):
-            tree.chars[n + i] = sum(map(len, g))
-            tree.tokens[n + i] = sum(len(count[p]) for p in g)
-        for k in range(n - 1, 0, -1):
-            tree.chars[k] = tree.chars[2 * k] + tree.chars[2 * k + 1]
-            tree.tokens[k] = tree.tokens[2 * k] + tree.tokens[2 * k + 1]
+        groups = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
+        tree = cls(1, [], [])
+        tree.grow([sum(map(len, g)) for g in groups], [sum(len(count[p]) for p in g) for g in groups])
         return tree
 
     def find(self, at: int) -> tuple[int, int]:
@@ -64,33 +58,65 @@ class Tree:
             self.tokens[k] += dt
             k //= 2
 
+    def cut(self, text: str) -> list[str]:
+        """The text of each leaf."""
+        out, at = [], 0
+        for n in self.chars[self.leaves :]:
+            out.append(text[at : at + n])
+            at += n
+        return out
+
+    def grow(self, chars: list[int], tokens: list[int]) -> None:
+        """Other leaves, whose number may differ."""
+        n = 1 << (max(len(chars), 1) - 1).bit_length()
+        self.leaves, self.chars, self.tokens = n, [0] * n + chars + [0] * (n - len(chars)), [0] * n + tokens + [0] * (n - len(tokens))
+        for k in range(n - 1, 0, -1):
+            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
+            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+
+
+def edit(leaves: list[str], tree: Tree, at: int, removed: int, inserted: str, v: bpe.Vocabulary) -> int:
+    """How many pre-tokens were encoded anew; tree and leaves (the text of each, see Tree.cut) are updated.
 
-def edit(text: str, tree: Tree, at: int, removed: int, inserted: str, v: bpe.Vocabulary) -> tuple[str, int]:
-    """The edited text and how many pre-tokens were encoded anew; tree is updated."""
+    What was encoded is dealt evenly over the leaves that it replaces. If these get more than 2 * LEAF pre-tokens each, it is cut into leaves
+    of LEAF and the sums of the tree are made again, which encodes nothing. So an edit's work does not grow with the edits before it.
+    """
     context = v.special_length + 3
-    new = text[:at] + inserted + text[at + removed :]
-    grown = len(new) - len(text)
     first, start = tree.find(max(0, at - context))
-    last, begin = tree.find(min(at + removed, len(text)))
-    end = begin + tree.chars[tree.leaves + last]
+    last, _ = tree.find(at + removed)
+    old = "".join(leaves[first : last + 1])
+    new = old[: at - start] + inserted + old[at - start + removed :]
     while True:
-        stop = end + grown if end < len(text) else len(new)
-        pieces, here = [], start
-        for p in v.pieces(new[start : stop + context]):
-            if here >= stop:
+        follows, k = "", last + 1
+        while k < len(leaves) and len(follows) < context:
+            follows += leaves[k]
+            k += 1
+        pieces, size = [], 0
+        for p in v.pieces(new + follows[:context]):
+            if size >= len(new):
                 break
             pieces.append(p)
-            here += len(p)
-        if here == stop:
+            size += len(p)
+        if size == len(new):
             break
         last += 1
-        end += tree.chars[tree.leaves + last]
+        new += leaves[last]
     v.prepare([pieces])
-    tokens = sum(len(v.cache[p]) for p in pieces)
-    for leaf in range(first + 1, last + 1):
-        tree.put(leaf, 0, 0)
-    tree.put(first, stop - start, tokens)
-    return new, len(pieces)
+    n = last - first + 1
+    fits = len(pieces) <= 2 * LEAF * n
+    groups = [pieces[len(pieces) * i // n : len(pieces) * (i + 1) // n] for i in range(n)] if fits else [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
+    texts, tokens = ["".join(g) for g in groups], [sum(len(v.cache[p]) for p in g) for g in groups]
+    if fits:
+        for i, (text, count) in enumerate(zip(texts, tokens, strict=True)):
+            leaves[first + i] = text
+            tree.put(first + i, len(text), count)
+    else:
+        counts = tree.tokens[tree.leaves :]
+        leaves[first : last + 1], counts[first : last + 1] = texts, tokens
+        full = [(text, count) for text, count in zip(leaves, counts, strict=True) if text]
+        tree.grow([len(text) for text, _ in full], [count for _, count in full])
+        leaves[:] = [text for text, _ in full] + [""] * (tree.leaves - len(full))
+    return len(pieces)
 
 
 def build(docs: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
@@ -127,11 +153,11 @@ def apply_edits(trees: DataFrame, path: str = bpe.DEFAULT) -> DataFrame:
                 for i, text in enumerate(texts):
                     chars, tokens = part.column("chars")[i].as_py(), part.column("tokens")[i].as_py()
                     tree, before, recoded, n = Tree(len(chars) // 2, chars, tokens), tokens[1], 0, len(text)
+                    leaves = tree.cut(text)
                     for e in sorted(part.column("edits")[i].as_py() or [], key=lambda e: e["at"])[::-1]:
                         begin = min(max(e["at"], 0), n)
-                        text, k = edit(text, tree, begin, min(max(e["removed"], 0), n - begin), e["inserted"] or "", v)
-                        recoded += k
-                    rows.append((text, before, tree.tokens[1], part.column("n_pieces")[i].as_py(), recoded, tree.chars, tree.tokens))
+                        recoded += edit(leaves, tree, begin, min(max(e["removed"], 0), n - begin), e["inserted"] or "", v)
+                    rows.append(("".join(leaves), before, tree.tokens[1], part.column("n_pieces")[i].as_py(), recoded, tree.chars, tree.tokens))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=names)
 
