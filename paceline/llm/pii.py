@@ -5,7 +5,7 @@ email addresses, account-like numbers. Regex, gazetteer and context labelers eac
 (no opinion) on a candidate. How often each combination of kind and votes occurs is counted over all documents;
 this table has at most KINDS x 3**LABELERS rows, whatever the input. EM on it estimates, for each labeler, how it
 votes on personal and other spans, and the share of personal ones of each kind. The probabilities train the final
-span classifier, a logistic regression on kind, votes and length. Base spans always stay; other candidates stay
+span classifier, a logistic regression on kind and votes. Base spans always stay; other candidates stay
 if the classifier says 0.5 or more, and do not overlap a base span.
 
 Nulls: a null text is an empty one without spans. Overlapping candidates of looser patterns: the first stays.
@@ -14,11 +14,13 @@ Repeated rows are independent. An empty table trains a classifier that knows onl
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -113,10 +115,11 @@ def candidates(text: str) -> list[tuple[str, int, int, bool]]:
             more += [("email_words", *m.span()) for m in _PATTERNS["email_words"].finditer(text) if "dot" in m[0] or "at)" in m[0] or "at]" in m[0]]
     out = [(k, a, b, True) for k, a, b in base]
     if more:
-        taken = [(a, b) for _, a, b in base]
+        starts, ends, end = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max)), 0
         for k, a, b in sorted(more, key=_order):
-            if not any(a < y and x < b for x, y in taken):
-                taken.append((a, b))
+            before = bisect.bisect_left(starts, b)  # base spans that begin before its end
+            if a >= end and (not before or ends[before - 1] <= a):
+                end = b
                 out.append((k, a, b, False))
     return sorted(out, key=_order)
 
@@ -174,6 +177,8 @@ def _bounds(kind: str, s: str, before: str, after: str) -> int:
     return -1 if digits >= 8 else 1 if not digits else 0
 
 
+#: Penalty on the classifier's weights, against the mean loss of a candidate.
+RIDGE = 5e-5
 LABELERS = (_shape, _checksum, _gazetteer, _asked, _denied, _variety, _bounds)
 #: Before training: what a labeler's vote of -1, 0, 1 is worth to the classifier.
 _PRIOR = (-1.0, 0.0, 1.0)
@@ -243,11 +248,11 @@ def train(rows: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> Mod
     for j, (up, down) in enumerate(said):
         x[:, k + 2 * j], x[:, k + 2 * j + 1] = down, up
     w = np.zeros(x.shape[1])
-    weight = n / n.sum() * min(n.sum(), 1000)
+    weight = n / n.sum()
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (q - p)) + 0.05 * w
-        w -= np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(len(w)), gradient)
+        gradient = x.T @ (weight * (q - p)) + RIDGE * w
+        w -= np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(len(w)), gradient)
     return Model(dict(zip(KINDS, w[:k].tolist(), strict=True)), [(float(w[k + 2 * j]), 0.0, float(w[k + 2 * j + 1])) for j in range(len(LABELERS))], [(float(t[0]), float(t[1])) for t in tables])
 
 
