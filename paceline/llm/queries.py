@@ -8,16 +8,9 @@ from pyspark.sql import functions as F
 from paceline.llm.store import table
 
 
-def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paceline.llm.minhash import near_duplicates
-
-    found = near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
 #: Rules of the URL query: verdict, host, path.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Host labels that put a host on the URL query's blocklist.
+#: Host labels of the hosts on the URL query's blocklist.
 BLOCKED_LABELS = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -35,9 +28,11 @@ def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from paceline.llm.urls import judge
+    from paceline.llm.urls import host_and_path, judge
 
-    return judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("host").rlike(rf"(^|\.)({'|'.join(BLOCKED_LABELS)})\."))
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select(host_and_path(F.col("url"))[0].alias("host")).filter(F.col("host").rlike(rf"(^|\.)({'|'.join(BLOCKED_LABELS)})\.")).distinct()
+    return judge(pages, URL_RULES, listed)
 
 
 def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

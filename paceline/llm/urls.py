@@ -6,13 +6,14 @@ first; the third the listed keys that pass the second; and so on until none pass
 exactly if the first level that it doesn't pass is an even one (counting from 1), or it passes all of an odd
 number. So membership of all rows is exact and needs no join, only constant arrays of bits in the plan.
 
-Only DataFrame functions are used. Building the levels needs one table of the distinct keys; a level has BITS_PER_KEY
-bits for each key it encodes, MAX_BITS at most; a longer list makes its filter less selective and the next level
-larger, until MAX_LEVELS, which raises an error rather than give an uncertain answer.
-
-Nulls: a null url, or one without "://", has an empty host and an empty path, which no rule fits and no list holds.
-Ties: of rules that fit, the longest wins, then the one with the longer host. Repeated rows are judged each. Empty
-tables and empty lists give empty filters.
+Only DataFrame functions are used. A list is a DataFrame of hosts of any length; it meets the distinct hosts of the corpus
+once, while the cascade is built. A level has BITS_PER_KEY bits for each key it encodes. Beyond MAX_KEYS keys, the hosts are dealt into
+groups by a hash and each group has a cascade of its own; the rows of each group are judged in a pass of theirs, so
+neither the plan's constants nor the filters' errors grow with the list.
+
+Nulls: a null url, or one without "://", has an empty host and an empty path, which no rule fits and no list holds; nulls in a list are
+not used. Ties: of rules that fit, the longest wins, then the one with the longer host. Repeated rows are judged each; repeated
+entries of a list count once. Empty tables and empty lists give empty filters.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from paceline.llm.store import materialize
 BITS_PER_KEY = 12
 HASHES = 4
 MIN_BITS = 1 << 12
-MAX_BITS = 1 << 24
-MAX_LEVELS = 24
+#: Most keys that the first level, or those expected at the second, of one cascade encode: 2 MB of bits.
+MAX_KEYS = 1_000_000
+#: More than the share of other keys that pass a level.
+PASSING = 0.02
 _SEP = "\n"  # between host and path; neither kind of rule has it
 
 
@@ -62,10 +65,8 @@ class Cascade:
             n = encoded.count()
             if not n:
                 break
-            if len(levels) == MAX_LEVELS:
-                raise ValueError(f"{n} keys are left after {MAX_LEVELS} levels; raise MAX_BITS")
             bits = MIN_BITS
-            while bits < min(MAX_BITS, n * BITS_PER_KEY):
+            while bits < n * BITS_PER_KEY:
                 bits *= 2
             at = encoded.select(F.explode(F.array(*positions(F.col("key"), len(levels), bits))).alias("at"))
             words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("w")).collect()
@@ -100,11 +101,17 @@ def _suffix(host: Column, labels: int) -> Column:
     return F.substring_index(host, ".", -labels)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: Column) -> DataFrame:
+def group_count(hosts: DataFrame) -> int:
+    """Groups that hosts (key, listed) are dealt into."""
+    listed, n = hosts.agg(F.count_if("listed"), F.count("*")).first()
+    return max(1, -(-max(listed, int(PASSING * n)) // MAX_KEYS))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict of each row of pages (page_id, url).
 
-    rules: (verdict, host, path). listed_hosts: a condition on the column host, which says of each host of the
-    corpus whether it is on the blocklist; a url that no rule fits is blocked if its host is.
+    rules: (verdict, host, path). listed: the blocklist, a DataFrame with a column host, of any size; a url that no rule
+    fits is blocked if its host is listed.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
@@ -119,8 +126,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: Col
     cascades = {}
     for verdict, names in named.items():
         cascades[verdict] = Cascade.build(materialize(keys.withColumn("listed", F.col("key").isin(names) if names else F.lit(False)), "keys"))
-    hosts = parsed.select("host").distinct().select(F.col("host").alias("key"), F.coalesce(listed_hosts, F.lit(False)).alias("listed"))
-    blocked = Cascade.build(materialize(hosts, "hosts"))
+    names = listed.select(F.col("host").cast("string").alias("key")).filter("key <> ''").distinct().withColumn("named", F.lit(True))
+    hosts = materialize(parsed.select(F.col("host").alias("key")).distinct().join(names, "key", "left").select("key", F.coalesce("named", F.lit(False)).alias("listed")), "hosts")
+    groups = group_count(hosts)
 
     found = []
     for length, labels in shapes:
@@ -129,5 +137,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], listed_hosts: Col
         found.append(F.when(verdict.isNotNull(), F.struct(F.length(key).alias("size"), F.length(_suffix(F.col("host"), labels)).alias("own"), F.translate(key, _SEP, "").alias("rule"), verdict.alias("verdict"))))
     best = F.array_max(F.array(*found)) if found else F.lit(None).cast("struct<size:int,own:int,rule:string,verdict:string>")
     x = parsed.withColumn("best", best)
-    other = F.when(blocked.contains(F.col("host")), "block").otherwise("allow")
-    return x.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), other).alias("verdict"))
+
+    def of_group(group: int) -> DataFrame:
+        mine = (lambda host: F.pmod(F.xxhash64(host, F.lit(-1)), F.lit(groups)) == group) if groups > 1 else (lambda host: F.lit(True))
+        blocked = Cascade.build(hosts.filter(mine(F.col("key"))))
+        other = F.when(blocked.contains(F.col("host")), "block").otherwise("allow")
+        return x.filter(mine(F.col("host"))).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), other).alias("verdict"))
+
+    out = of_group(0)
+    for group in range(1, groups):
+        out = out.unionByName(of_group(group))
+    return out

@@ -217,9 +217,26 @@ def test_base_spans_match_the_patterns_on_noise():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_overlaps_are_settled_as_by_comparing_all():
+    rng = random.Random(42)
+    for _ in range(300):
+        text = " ".join(rng.choice(["555-123-4567", "(212) 555-1234", "123-45-6789", "+1 555 123 4567", "4111 1111 1111 1111", "DE44500105175407324931", "x", "jo at site dot com", "1.2.3.4", "a@b.cd"]) for _ in range(12))
+        text = text.replace(" ", "", rng.randrange(3))
+        base = pii.base_spans(text)
+        more = sorted(((k, *m.span()) for k in ("phone_local", "account") for m in pii._PATTERNS[k].finditer(text)), key=pii._order)
+        more = sorted(more + [("email_words", *m.span()) for m in pii._PATTERNS["email_words"].finditer(text)], key=pii._order)
+        taken, out = [(a, b) for _, a, b in base], [(*s, True) for s in base]
+        for k, a, b in more:
+            if not any(a < y and x < b for x, y in taken):
+                taken.append((a, b))
+                out.append((k, a, b, False))
+        assert pii.candidates(text) == sorted(out, key=pii._order)
+
+
 def test_very_long_runs_take_linear_time():
     n = 300_000
     began = time.time()
+    assert len(pii.candidates("555-123-4567 " * 200_000)) == 200_000
     for text in ("a" * n + " @", "1" * n, "@" * n, "1." * n, "+" * n, "+1" + "-" * n, "\\" * n, "<" * n, "x" * n):
         pii.candidates(text)
         chat.render("user", text)
@@ -257,12 +274,29 @@ def test_urls_against_plain_rules(spark):
     pages = [None, "", "no scheme", "http://", "http://a.org", "http://a.org/", "HTTP://X.Example.ORG/es/1?q#f", "http://example.org/en/12", "https://spam-farm.example.net/x", "http://b.com/fr/x#y", "http://b.com?/de/", "x://com/de/", "a://b://c.org/", "http://.org/", "http://évil.adult-x.io/É"]
     df = spark.createDataFrame([(i, u, "x", "allow") for i, u in enumerate(pages)], "page_id long, url string, host string, verdict string")
     labels = re.compile(rf"(^|\.)({'|'.join(queries.BLOCKED_LABELS)})\.")
-    got = urls.judge(df, queries.URL_RULES, F.col("host").rlike(labels.pattern)).collect()
+    hosts = sorted({judged(u, [], bool)[0] for u in pages})
+    listed = spark.createDataFrame([(h, "x") for h in hosts if labels.search(h)] * 2 + [(None, "x"), ("", "x"), ("elsewhere.org", "x")], "host string, path string")
+    nothing = listed.limit(0)
+    got = urls.judge(df, queries.URL_RULES, listed).collect()
     assert len(got) == len(pages)
     for r in got:
         assert (r.host, r.path, r.rule, r.verdict) == judged(pages[r.page_id], queries.URL_RULES, labels.search), pages[r.page_id]
-    assert urls.judge(df.limit(0), queries.URL_RULES, F.lit(False)).count() == 0
-    assert {r.verdict for r in urls.judge(df, [], F.lit(True)).collect()} == {"block"}
+    assert urls.judge(df.limit(0), queries.URL_RULES, listed).count() == 0
+    everything = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.verdict for r in urls.judge(df, [], everything).collect() if r.host} == {"block"}
+    assert {r.verdict for r in urls.judge(df, [], nothing).collect()} == {"allow"}
+
+
+def test_long_lists_are_dealt_into_groups(spark, monkeypatch):
+    monkeypatch.setattr(urls, "MAX_KEYS", 500)
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 3000, F.lit(".net/x")).alias("url"))
+    listed = spark.range(0, 9000, 2).select(F.concat(F.lit("h"), "id", F.lit(".net")).alias("host"))
+    got = urls.judge(pages, [("allow", "h4.net", "/")], listed)
+    assert got.count() == 6000
+    wrong = got.withColumn("k", F.col("page_id") % 3000).filter((F.col("verdict") == "block") != ((F.col("k") % 2 == 0) & (F.col("k") != 4)))
+    assert wrong.count() == 0
+    hosts = spark.range(3000).select(F.col("id").cast("string").alias("key"), (F.col("id") % 2 == 0).alias("listed"))
+    assert urls.group_count(hosts) == 3 and urls.group_count(hosts.limit(0)) == 1
 
 
 def test_cascade_is_exact_and_deep(spark, monkeypatch):
@@ -276,7 +310,7 @@ def test_cascade_is_exact_and_deep(spark, monkeypatch):
 
 def test_url_query_plan_has_no_python_and_no_join(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id long, url string")
-    plan = urls.judge(df, queries.URL_RULES, F.lit(False))._jdf.queryExecution().executedPlan().toString()
+    plan = urls.judge(df, queries.URL_RULES, spark.createDataFrame([("a.net",)], "host string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Join" not in plan
 
 
@@ -308,12 +342,35 @@ def test_edits_keep_the_counts_true(tokenizer):
         pieces = v.pieces(text)
         v.prepare([pieces])
         tree = edits.Tree.of(pieces, v.cache)
+        leaves = tree.cut(text)
         for _ in range(5):
             at = rng.randint(0, len(text))
-            text, _ = edits.edit(text, tree, at, min(rng.choice([0, 1, 6, 90]), len(text) - at), rng.choice(["", "'", "re", "  ", "<|endof", "text|>", "x y", "\n\n", "é"]), v)
+            removed, more = min(rng.choice([0, 1, 6, 90]), len(text) - at), rng.choice(["", "'", "re", "  ", "<|endof", "text|>", "x y", "\n\n", "é", "many words " * 90])
+            edits.edit(leaves, tree, at, removed, more, v)
+            text = text[:at] + more + text[at + removed :]
+            assert "".join(leaves) == text and leaves == tree.cut(text)
             assert (tree.tokens[1], tree.chars[1]) == (count(text), len(text))
 
 
+def test_many_edits_cost_as_little_as_the_first(tokenizer):
+    rng, v = random.Random(41), bpe.vocabulary()
+    text = prose(rng, 4000)
+    pieces = v.pieces(text)
+    v.prepare([pieces])
+    tree = edits.Tree.of(pieces, v.cache)
+    leaves, most = tree.cut(text), 0
+    for k in range(600):
+        at = (len(text), len(text) // 2, 0)[k % 3]
+        more = f" {prose(rng, 3)} x{k}"
+        most = max(most, edits.edit(leaves, tree, at, 0, more, v))
+        text = text[:at] + more + text[at:]
+    for _ in range(300):
+        most = max(most, edits.edit(leaves, tree, len(text) // 2, 30, "", v))
+        text = text[: len(text) // 2] + text[len(text) // 2 + 30 :]
+    assert "".join(leaves) == text and tree.tokens[1] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert most <= 5 * edits.LEAF
+
+
 def test_edit_query_counts_and_saves_work(spark, tokenizer):
     rng = random.Random(9)
     texts = tricky(rng, 40) + [prose(rng, 3000)]
