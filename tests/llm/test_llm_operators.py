@@ -553,48 +553,73 @@ def test_toxicity_learns_words_it_was_not_given(spark):
     assert sum(right) / len(right) > 0.95
 
 
+def scored(text, model=None):
+    model = model or toxicity.Model()
+    constant, *slopes = model.coefficients
+    return constant + sum(c * x for c, x in zip(slopes, toxicity.Grammar(model).document(text), strict=True))
+
+
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar(toxicity.Model())
-    plain = g.document("you are an idiot")
-    assert plain > g.document("he is not an idiot") and plain > g.document("she said: you are an idiot")
-    assert g.document("i will kill you") > g.document("the kill was quick")
-    assert g.document("") == (0.0, 0.0)
+    plain = scored("you are an idiot")
+    assert plain > scored("he is not an idiot") and plain > scored("she said: you are an idiot") and plain > scored("an idiot")
+    assert scored("i will kill you") > scored("the kill was quick")
+    assert scored("du wirst ihn töten") > scored("du wirst ihn töten nicht") and scored("töten wirst du ihn") >= scored("töten wirst du ihn nicht")
+    assert scored("what a waste of space") > scored("what a waste of good space") == scored("")
+    assert toxicity.Grammar(toxicity.Model()).document("") == (0.0,) * 7
 
 
 def plain_clause(model, words, reported):
-    """The grammar's rules as one loop."""
-    total, intent, negation, aimed, said = 0.0, 99, 99, False, False
-    for w in words:
-        if w in toxicity.NEGATION:
-            negation = 0
-            continue
-        intent = 0 if w in toxicity.INTENT else intent
-        aimed |= w in toxicity.TARGET
-        said |= w in toxicity.REPORTED
-        gain = model.weight(w) + (2.0 if w in toxicity.HARM and intent <= toxicity.WINDOW else 0.0)
-        total += gain * (0.15 if negation <= toxicity.NEAR else 1.0)
-        intent, negation = intent + 1, negation + 1
-    return total * (1.25 if aimed else 1.0) * (0.7 if reported or said else 1.0), said
+    """The grammar's rules word by word, by looking around each."""
+    neg, after = set(toxicity.NEGATION), set(toxicity.AFTER)
+    said = any(w in toxicity.REPORTED for w in words)
+    aimed = any(w in toxicity.TARGET for w in words)
+    out = [0.0] * 6
+    for i, w in enumerate(words):
+        gains = [(0, model.weight(w))]
+        if any(words[max(0, i + 1 - len(p.split())) : i + 1] == p.split() for p in toxicity.PHRASES):
+            gains[0] = (0, gains[0][1] + toxicity.PHRASE)
+        rest = [k for k, v in enumerate(words[: i + 1]) if v not in neg]  # what the threat counts
+        wills = [rest.index(k) for k in rest if words[k] in toxicity.INTENT]
+        if w in toxicity.HARM and w not in neg and wills and rest.index(i) - wills[-1] <= toxicity.WINDOW:
+            gains.append((2, toxicity.HARMING))
+        before = [i - 1 - k for k in range(i) if words[k] in neg]
+        behind = [k - i - 1 for k in range(i + 1, len(words)) if words[k] in after]
+        negated = w not in neg and (before and before[-1] <= toxicity.NEAR) or w not in after and (behind and behind[0] <= toxicity.NEAR)
+        for base, gain in gains:
+            out[4 if reported or said else base + bool(negated)] += gain
+    if aimed and not (reported or said):
+        out[5] = out[0] + out[2]
+    return out, said
 
 
 def test_composed_machine_follows_the_rules():
     rng = random.Random(21)
     model = toxicity.Model()
     g = toxicity.Grammar(model)
-    pool = ["word", "thing", "idiot", "scum", "kill", "hurt", "will", "must", "you", "they", "not", "never", "said", "says"]
-    for _ in range(3000):
+    pool = ["word", "thing", "idiot", "scum", "kill", "hurt", "will", "must", "you", "they", "not", "nicht", "never", "pas", "said", "says", "piece", "of", "trash", "waste", "space", "go", "to", "hell"]
+    for _ in range(6000):
         words, reported = [rng.choice(pool) for _ in range(rng.randrange(1, 14))], rng.random() < 0.3
         score, said = g.clause(words, reported)
         want, want_said = plain_clause(model, words, reported)
-        assert said == want_said and score == pytest.approx(want)
-    assert len(g.machine.states) <= (toxicity.NEAR + 2) * (toxicity.WINDOW + 2) * 2 * 4
+        assert said == want_said and score == pytest.approx(want), (words, reported)
+
+
+def test_same_model_however_rows_are_dealt(spark):
+    rng = random.Random(35)
+    rows = [(prose(rng, 40, 300) + rng.choice([" krumpfen ", " krumpfig "] if i % 4 == 0 else [" ", " ", " krumpfen "] if i % 9 == 0 else [" "]) + prose(rng, 9, 300), int(i % 4 == 0)) for i in range(300)]
+    rows += rows[:40] * 3
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    docs = frame(spark, [t for t, _ in rows])
+    one = toxicity.fit(docs.coalesce(1), labels)
+    assert one == toxicity.fit(docs.repartition(37), labels.repartition(3)) and one.purity in toxicity.PURITIES
+    assert len({(r.score) for r in toxicity.score(docs.limit(3), one).collect()}) >= 1
 
 
 def test_finder_misses_no_document_with_a_score(spark):
     rng = random.Random(14)
     model = toxicity.Model(beginnings={"krum": 2.0, "éäöü": 1.5})
     texts = EDGES + [prose(rng, 30) + rng.choice([" Krumpf!", " ÉÄÖÜx", " IDIOT", " no", "'idiot'"]) for _ in range(200)]
-    got = {r.doc_id: (r.total, r.highest) for r in toxicity.features(frame(spark, texts), model).collect()}
+    got = {r.doc_id: tuple(r.features) for r in toxicity.features(frame(spark, texts), model).collect()}
     g = toxicity.Grammar(model)
     for i, t in enumerate(texts):
         assert got[i] == g.document((t or "").lower())
@@ -616,11 +641,11 @@ def test_finder_splits_words_as_the_grammar_does(spark):
     marks = [*"¡¿“”«»…—–’‘、。•€£©°", "\u00a0", "\u2003", "\u0301", "\u0663", "\u200b", "ª", "²", "é", "_", "7", "'", "x'", "'x'", "''"]
     words = ["idiota", "trash", "idiot", "moron", "abruti", "d'abruti", "l'imposteur", "zorbel", "ÉÄÖÜx", "arschloch"]
     texts = [f"so {a}{w}{b} it" for w in words for a in marks for b in ("", *marks)] + ["¡idiota!", "“trash”", "moron—really", "«\u00a0abruti\u00a0»"]
-    got = {r.doc_id: (r.total, r.highest) for r in toxicity.features(frame(spark, texts), model).collect()}
+    got = {r.doc_id: tuple(r.features) for r in toxicity.features(frame(spark, texts), model).collect()}
     g = toxicity.Grammar(model)
     for i, t in enumerate(texts):
         assert got[i] == g.document(t.lower()), t
-    assert all(got[i][0] > 0 for i in range(len(texts) - 4, len(texts)))
+    assert all(sum(got[i]) > 0 for i in range(len(texts) - 4, len(texts)))
 
 
 def test_toxicity_without_labels_scores_all(spark):
