@@ -1,6 +1,6 @@
 """All queries over the relational tables by name, each with its SQL twin."""
 
-from paceline.plans import queries
+from paceline.plans import record_queries
 
-QUERIES = queries.QUERIES
-ORACLES = queries.ORACLES
+QUERIES = record_queries.QUERIES
+ORACLES = record_queries.ORACLES
