@@ -14,14 +14,14 @@ def at(points: DataFrame, probes: DataFrame, by: list[str], x: str, y: str, out:
     more = [c for c in probes.columns if c not in (*by, x)]
     p = points.groupBy(*by, x).agg(F.min(y).alias("_lo"), F.max(y).alias("_hi")).select(*by, x, "_lo", "_hi", F.lit(1).alias("_kind"), *(F.lit(None).cast(dict(probes.dtypes)[c]).alias(c) for c in more))
     q = probes.select(*by, F.col(x).cast(dict(points.dtypes)[x]).alias(x), F.lit(None).cast(dict(points.dtypes)[y]).alias("_lo"), F.lit(None).cast(dict(points.dtypes)[y]).alias("_hi"), F.lit(0).alias("_kind"), *more)
-    # both ways the frame grows from the first row on, so a sort and one pass each
+    # one sort: what came last before a probe, and what comes first after it
+    order = f"(PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY `{x}`, _kind)"
     up = Window.partitionBy(*by).orderBy(x, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.desc(x), F.desc("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    at_point = F.when(F.col("_kind") == 1, F.col(x))
-    z = p.unionByName(q).withColumns(
+    z = p.unionByName(q).withColumn("_at", F.when(F.col("_kind") == 1, F.col(x)))
+    z = z.withColumns(
         {
-            "_x0": F.last(at_point, True).over(up), "_y0": F.last("_hi", True).over(up),
-            "_x1": F.last(at_point, True).over(down), "_y1": F.last("_lo", True).over(down),
+            "_x0": F.last("_at", True).over(up), "_y0": F.last("_hi", True).over(up),
+            "_x1": F.expr(f"lead(_at, 1) IGNORE NULLS OVER {order}"), "_y1": F.expr(f"lead(_lo, 1) IGNORE NULLS OVER {order}"),
         }
     ).filter("_kind = 0")
     line = F.col("_y0") + (F.col(x) - F.col("_x0")) / (F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0"))

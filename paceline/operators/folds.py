@@ -1,36 +1,108 @@
 """Folds whose state depends on what they accepted before: one pass over a key's rows in order.
 
-Each is an aggregate() over the sorted rows of a key, in the JVM. A key is one workout or one subject's runs, so
-its rows fit; the fold's state is a few numbers.
+Rows are dealt by key and sorted within their partitions; a state of a few numbers runs along them in Arrow batches. A key's
+rows are never gathered, so a key may be as long as its partition's disk allows, and each row is looked at once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 
-def _rows(df: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+class Fold:
+    """The state of one key. row() and end() give the rows to put out."""
 
+    def row(self, *values: Any) -> list[tuple]:
+        return []
 
-def climb(points: DataFrame, by: list[str], threshold: float = 2.0) -> DataFrame:
-    """by, gain, loss: sums of rises and falls of v in order of t that reach threshold since the last turn; null under 2 points."""
-    start = F.struct(F.lit(None).cast("double").alias("ref"), F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"))
+    def end(self) -> list[tuple]:
+        return []
+
+
+def scan(df: DataFrame, by: list[str], columns: list[str], out: str, fold: Callable[[], Fold]) -> DataFrame:
+    """by and the columns of out (as in a DDL string): what a fold of each key gives for its rows, in order of columns."""
+    made = StructType([*df.select(*by).schema.fields, *StructType.fromDDL(out).fields])
+    types, names, n = [to_arrow_type(f.dataType) for f in made.fields], made.names, len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        state = Fold()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+        for batch in batches:
+            rows: list[tuple] = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if values[:n] != key:
+                    if key is not None:
+                        rows += [(*key, *x) for x in state.end()]
+                    key, state = values[:n], fold()
+                rows += [(*values[:n], *x) for x in state.row(*values[n:])]
+            if rows:
+                yield batch_of(rows)
+        if key is not None and (rows := [(*key, *x) for x in state.end()]):
+            yield batch_of(rows)
+
+    return df.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, *columns).mapInArrow(run, made)
+
+
+class _Climb(Fold):
+    def __init__(self, threshold: float):
+        self.threshold, self.ref, self.gain, self.loss, self.n = threshold, None, 0.0, 0.0, 0
+
+    def row(self, t: Any, v: float) -> list[tuple]:
+        self.n += 1
+        if self.ref is None:
+            self.ref = v
+        elif v - self.ref >= self.threshold:
+            self.gain, self.ref = self.gain + (v - self.ref), v
+        elif self.ref - v >= self.threshold:
+            self.loss, self.ref = self.loss + (self.ref - v), v
+        return []
 
-    def step(acc: Column, x: Column) -> Column:
-        up, down = x["v"] - acc["ref"], acc["ref"] - x["v"]
-        turned = F.coalesce(acc["ref"].isNull() | (up >= threshold) | (down >= threshold), F.lit(True))
-        return F.struct(
-            F.when(turned, x["v"]).otherwise(acc["ref"]).alias("ref"),
-            (acc["gain"] + F.when(up >= threshold, up).otherwise(0.0)).alias("gain"),
-            (acc["loss"] + F.when(down >= threshold, down).otherwise(0.0)).alias("loss"),
-        )
+    def end(self) -> list[tuple]:
+        return [(self.gain, self.loss) if self.n >= 2 else (None, None)]
 
-    x = _rows(points.filter("v is not null").withColumn("v", F.col("v").cast("double")), by, ["t", "v"])
-    x = x.withColumn("f", F.aggregate("rows", start, step))
-    enough = F.size("rows") >= 2
-    return x.select(*by, F.when(enough, F.col("f.gain")).alias("gain"), F.when(enough, F.col("f.loss")).alias("loss"))
+
+def climb(points: DataFrame, by: list[str], threshold: float = 2.0) -> DataFrame:
+    """by, gain, loss: sums of rises and falls of v in order of t that reach threshold since the last turn; null under 2 points."""
+    x = points.filter("v is not null").withColumn("v", F.col("v").cast("double"))
+    return scan(x, by, ["t", "v"], "gain double, loss double", lambda: _Climb(threshold))
+
+
+class _Grades(Fold):
+    def __init__(self, window: float, flat: float):
+        self.window, self.flat, self.d, self.a = window, flat, None, None
+        self.up, self.level, self.down, self.steepest, self.lowest = 0.0, 0.0, 0.0, None, None
+
+    def row(self, d: float | None, a: float | None) -> list[tuple]:
+        if self.d is None:
+            self.d, self.a = d, a
+        elif d is not None and d - self.d >= self.window:
+            dd = d - self.d
+            if a is not None and self.a is not None and dd > 0:
+                grade = (a - self.a) / dd * 100
+                if grade > self.flat:
+                    self.up += dd
+                elif grade < -self.flat:
+                    self.down += dd
+                else:
+                    self.level += dd
+                self.steepest = grade if self.steepest is None else max(self.steepest, grade)
+                self.lowest = grade if self.lowest is None else min(self.lowest, grade)
+            self.d, self.a = d, a
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.up, self.level, self.down, self.steepest, self.lowest)]
 
 
 def grades(points: DataFrame, by: list[str], window: float = 100.0, flat: float = 2.0) -> DataFrame:
@@ -38,62 +110,72 @@ def grades(points: DataFrame, by: list[str], window: float = 100.0, flat: float
 
     points (by, d, a): distance and altitude. A span begins where the last one ended.
     """
-    none = F.lit(None).cast("double")
-    start = F.struct(none.alias("d"), none.alias("a"), F.lit(0.0).alias("up"), F.lit(0.0).alias("level"), F.lit(0.0).alias("down"), none.alias("steepest"), none.alias("lowest"))
+    x = points.select(*by, F.col("d").cast("double").alias("d"), F.col("a").cast("double").alias("a"))
+    return scan(x, by, ["d", "a"], "up double, level double, down double, steepest double, lowest double", lambda: _Grades(window, flat))
 
-    def step(acc: Column, x: Column) -> Column:
-        dd = x["d"] - acc["d"]
-        done = F.coalesce(dd >= window, F.lit(False))
-        grade = F.when(done, (x["a"] - acc["a"]) / F.when(dd > 0, dd) * 100)
-        add = lambda name, cond: (acc[name] + F.when(done & cond, dd).otherwise(0.0)).alias(name)
-        moved = done | acc["d"].isNull()
-        return F.struct(
-            F.when(moved, x["d"]).otherwise(acc["d"]).alias("d"), F.when(moved, x["a"]).otherwise(acc["a"]).alias("a"),
-            add("up", grade > flat), add("level", grade.between(-flat, flat)), add("down", grade < -flat),
-            F.greatest(acc["steepest"], grade).alias("steepest"), F.least(acc["lowest"], grade).alias("lowest"),
-        )
 
-    x = _rows(points.select(*by, F.col("d").cast("double").alias("d"), F.col("a").cast("double").alias("a")), by, ["d", "a"])
-    return x.withColumn("f", F.aggregate("rows", start, step)).select(*by, "f.up", "f.level", "f.down", "f.steepest", "f.lowest")
+class _Spaced(Fold):
+    def __init__(self, spacing: int):
+        self.spacing, self.kept, self.last = spacing, None, None
+
+    def row(self, t: int | None) -> list[tuple]:
+        if t is None:
+            return []
+        self.last = t
+        if self.kept is None or t - self.kept >= self.spacing:
+            self.kept = t
+            return [(t,)]
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.last,)] if self.last != self.kept else []
 
 
 def spaced(points: DataFrame, by: list[str], spacing: int) -> DataFrame:
     """by, t of points at least spacing after the last one kept; the first and the last stay."""
-    start = F.array().cast("array<long>")
+    return scan(points.select(*by, F.col("t").cast("long").alias("t")), by, ["t"], "t long", lambda: _Spaced(spacing))
+
 
-    def step(acc: Column, t: Column) -> Column:
-        return F.when((F.size(acc) == 0) | (t - F.try_element_at(acc, F.lit(-1)) >= spacing), F.concat(acc, F.array(t))).otherwise(acc)
+class _Chains(Fold):
+    """Only members that have not ended yet can overlap with what follows."""
 
-    x = points.groupBy(*by).agg(F.sort_array(F.collect_set(F.col("t").cast("long"))).alias("ts"))
-    kept = F.array_union(F.aggregate("ts", start, step), F.array(F.element_at("ts", -1)))
-    return x.select(*by, F.explode(kept).alias("t"))
+    def __init__(self, fraction: float):
+        self.fraction, self.open, self.chains = fraction, [], 0
+
+    def row(self, s: int, e: int, id: int) -> list[tuple]:
+        self.open = [m for m in self.open if m[1] > s]
+        for ms, me, chain in self.open:
+            if min(me, e) - max(ms, s) > self.fraction * min(me - ms, e - s):
+                break
+        else:
+            self.chains += 1
+            chain = self.chains
+        self.open.append((s, e, chain))
+        return [(s, e, id, chain)]
 
 
 def duplicate_chains(runs: DataFrame, by: list[str], fraction: float = 0.5) -> DataFrame:
-    """runs with chain: in order of start, a run joins the chain of an earlier member that it overlaps by more than fraction of the shorter."""
-    member = "struct<s:long,e:long,id:long,chain:int>"
-    start = F.array().cast(f"array<{member}>")
+    """runs with chain: in order of start, a run joins the chain of an earlier member that it overlaps by more than fraction of the shorter.
+
+    runs (by, s, e, id) with a start and an end not before it.
+    """
+    x = runs.select(*by, *(F.col(c).cast("long").alias(c) for c in ("s", "e", "id")))
+    return scan(x, by, ["s", "e", "id"], "s long, e long, id long, chain int", lambda: _Chains(fraction))
 
-    def step(acc: Column, x: Column) -> Column:
-        met = F.filter(acc, lambda m: (F.least(m["e"], x["e"]) - F.greatest(m["s"], x["s"])) > fraction * F.least(m["e"] - m["s"], x["e"] - x["s"]))
-        chain = F.when(F.size(met) > 0, F.element_at(met, 1)["chain"]).otherwise(F.coalesce(F.array_max(F.transform(acc, lambda m: m["chain"])), F.lit(0)) + 1)
-        return F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), chain.alias("chain"))))
 
-    x = _rows(runs.select(*by, F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.col("id").cast("long").alias("id")), by, ["s", "e", "id"])
-    return x.select(*by, F.explode(F.aggregate("rows", start, step)).alias("m")).select(*by, "m.*")
+class _Load(Fold):
+    def __init__(self, short: float, long: float):
+        self.short, self.long, self.atl, self.ctl = short, long, 0.0, 0.0
+
+    def row(self, day: Any, load: float) -> list[tuple]:
+        self.atl += (load - self.atl) / self.short
+        self.ctl += (load - self.ctl) / self.long
+        return [(day, load, self.atl, self.ctl, self.ctl - self.atl)]
 
 
 def smoothed_load(days: DataFrame, by: list[str], short: float = 7.0, long: float = 42.0) -> DataFrame:
     """by, day, load, atl, ctl, tsb: exponential averages of load over every day of a key's span; missing days are 0."""
     span = days.groupBy(*by).agg(F.min("day").alias("a"), F.max("day").alias("b"))
     spine = span.select(*by, F.explode(F.sequence("a", "b")).alias("day"))
-    full = spine.join(days.groupBy(*by, "day").agg(F.sum("load").alias("load")), [*by, "day"], "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
-    start = F.array().cast("array<struct<day:date,load:double,atl:double,ctl:double>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        atl, ctl = F.coalesce(last["atl"], F.lit(0.0)), F.coalesce(last["ctl"], F.lit(0.0))
-        return F.concat(acc, F.array(F.struct(x["day"].alias("day"), x["load"].alias("load"), (atl + (x["load"] - atl) / short).alias("atl"), (ctl + (x["load"] - ctl) / long).alias("ctl"))))
-
-    x = _rows(full, by, ["day", "load"]).select(*by, F.explode(F.aggregate("rows", start, step)).alias("r"))
-    return x.select(*by, "r.*").withColumn("tsb", F.col("ctl") - F.col("atl"))
+    full = spine.join(days.groupBy(*by, "day").agg(F.sum("load").alias("load")), [*by, "day"], "left").withColumn("load", F.coalesce(F.col("load").cast("double"), F.lit(0.0)))
+    return scan(full, by, ["day", "load"], "day date, load double, atl double, ctl double, tsb double", lambda: _Load(short, long))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paceline.functions.numbers import half_up
 from paceline.functions.physics import haversine, in_zone
 from paceline.operators import asof
-from paceline.operators.intervals import overlap_sums
+from paceline.operators.intervals import in_windows, overlap_sums
 
 
 def downsample(points: DataFrame, by: list[str], buckets: int) -> DataFrame:
@@ -79,20 +79,29 @@ def moving(spans: DataFrame, by: list[str], pauses: DataFrame, a: str = "t0", b:
     return x.withColumn("moving_ms", F.col("b") - F.col("a") - F.col("_paused")).drop("a", "b", "_paused")
 
 
-def best_effort(dist: DataFrame, by: list[str], length: float, pauses: DataFrame | None = None) -> DataFrame:
-    """by, seconds, start, end of the fastest stretch of a length that begins at a point; the first of equals."""
-    starts = dist.groupBy(*by, "t").agg(F.min("d").alias("d0")).select(*by, F.col("t").alias("t0"), (F.col("d0") + F.lit(float(length))).alias("d"))
+def best_efforts(dist: DataFrame, by: list[str], lengths: list[float], pauses: DataFrame | None = None) -> DataFrame:
+    """by, metres, seconds, start, end of the fastest stretch of each length that begins at a point; the first of equals. One pass for all lengths."""
+    points = dist.groupBy(*by, "t").agg(F.min("d").alias("d0"))
+    starts = points.select(*by, F.col("t").alias("t0"), "d0", F.explode(F.array(*(F.lit(float(m)) for m in lengths))).alias("metres"))
+    starts = starts.select(*by, "metres", "t0", (F.col("d0") + F.col("metres")).alias("d"))
     reached = asof.at(dist, starts, by, "d", "t", "t1").filter("t1 is not null")
     spans = reached.withColumn("moving_ms", F.col("t1") - F.col("t0")) if pauses is None else moving(reached, by, pauses)
     best = F.min_by(F.struct("moving_ms", "t0", "t1"), F.struct("moving_ms", "t0")).alias("b")
-    return spans.filter("moving_ms > 0").groupBy(*by).agg(best).select(*by, (F.col("b.moving_ms") / 1000).alias("seconds"), F.col("b.t0").alias("start"), F.col("b.t1").alias("end"))
+    x = spans.filter("moving_ms > 0").groupBy(*by, "metres").agg(best)
+    return x.select(*by, "metres", (F.col("b.moving_ms") / 1000).alias("seconds"), F.col("b.t0").alias("start"), F.col("b.t1").alias("end"))
+
+
+def best_effort(dist: DataFrame, by: list[str], length: float, pauses: DataFrame | None = None) -> DataFrame:
+    """by, seconds, start, end of the fastest stretch of a length."""
+    return best_efforts(dist, by, [length], pauses).drop("metres")
 
 
-def mean_within(points: DataFrame, spans: DataFrame, by: list[str], out: str = "mean") -> DataFrame:
-    """spans (by, a, b, ...) with the mean v of points in [a, b), null without any."""
-    x = spans.join(points.select(*by, F.col("t").alias("_t"), F.col("v").alias("_v")), by, "left")
-    inside = F.when((F.col("_t") >= F.col("a")) & (F.col("_t") < F.col("b")), F.col("_v"))
-    return x.groupBy(*spans.columns).agg(F.avg(inside).alias(out))
+def mean_within(points: DataFrame, spans: DataFrame, by: list[str], out: str = "mean", bucket_ms: int = 3_600_000) -> DataFrame:
+    """spans (by, a, b, ...) with the mean v of points in [a, b), null without any; repeated spans are one."""
+    spans = spans.distinct()
+    inside = in_windows(points.select(*by, F.col("t").alias("_t"), F.col("v").alias("_v")), spans, by, "_t", bucket_ms)
+    x = spans.select(*spans.columns, F.lit(None).cast("double").alias("_v")).unionByName(inside.select(*spans.columns, F.col("_v").cast("double").alias("_v")))
+    return x.groupBy(*spans.columns).agg(F.avg("_v").alias(out))
 
 
 def halves(weighted: DataFrame, by: list[str], bounds: DataFrame) -> DataFrame:

@@ -98,11 +98,7 @@ def splits(workouts: DataFrame, streams: DataFrame, routes: DataFrame, events: D
 
 def best_efforts(workouts: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFrame, lengths: tuple[float, ...] = DISTANCES) -> DataFrame:
     """subject, wid, metres, seconds, start, end of the fastest stretch of each length."""
-    dist, stops = distances(streams, routes, workouts), pauses(events, workouts)
-    out = None
-    for m in lengths:
-        x = series.best_effort(dist, KEY, m, stops).withColumn("metres", F.lit(float(m)))
-        out = x if out is None else out.unionByName(x)
+    out = series.best_efforts(distances(streams, routes, workouts), KEY, list(lengths), pauses(events, workouts))
     return out.select(*KEY, "metres", half_up(F.col("seconds"), 1).alias("seconds"), half_up(F.col("seconds") / F.col("metres") * 1000, 1).alias("pace"), "start", "end")
 
 
