@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm import bpe, bytewise
+from paceline.llm import bpe, bytewise, fastids
 from paceline.llm.store import materialize, text_batches
 
 WINDOW = 1024
@@ -56,7 +56,7 @@ SAMPLE_PART, SAMPLE = 100, 1_000_000
 
 
 class Ids:
-    """The ids of a text: a fast encoder of the same vocabulary for usual characters, the tokenizers library for the rest."""
+    """The ids of texts: a fast encoder of the same vocabulary for usual characters, the tokenizers library for the rest."""
 
     def __init__(self, path: str, ranks: str):
         from tokenizers import Tokenizer
@@ -68,6 +68,17 @@ class Ids:
         self.exact.no_padding()
         self.special = [x.content for x in self.exact.get_added_tokens_decoder().values()]
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.plain = fastids.FastIds(self.fast._encode_single_piece)
+
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """of() for each text; plain ones are encoded together."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if bpe.PLAIN_TEXT.fullmatch(t) and not any(s in t for s in self.special)]
+        data, offsets = bytewise.utf8(pa.array([texts[i] for i in plain], pa.string()))
+        for a, b in bytewise.chunks(offsets):
+            for i, ids in zip(plain[a:b], self.plain.of(data, offsets[a : b + 1]), strict=True):
+                out[i] = np.append(ids, np.uint32(SEPARATOR)).astype("<u4")
+        return [self.of(t) if x is None else x for t, x in zip(texts, out, strict=True)]
 
     def of(self, text: str) -> np.ndarray:
         """The ids and the separator."""
@@ -230,7 +241,7 @@ def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, ranks) not in _ids:
             _ids[path, ranks] = Ids(path, ranks)
-        of = _ids[path, ranks].of
+        encode = _ids[path, ranks].all
         row = first = TaskContext.get().partitionId() << 36
         total, df, made = 0, np.zeros(0, np.int64), None
 
@@ -239,8 +250,7 @@ def _tokens(docs: DataFrame, path: str, ranks: str) -> DataFrame:
 
         for batch in batches:
             made, ids = batch.column("doc_id").type, []
-            for text in batch.column("text"):
-                own = of(text.as_py() or "")
+            for own in encode([text or "" for text in batch.column("text").to_pylist()]):
                 terms = np.unique(own)
                 if len(df) <= terms[-1]:
                     df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))

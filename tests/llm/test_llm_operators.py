@@ -9,11 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from paceline.llm import bpe, bytewise, chat, edits, encoding, fingerprints, minhash, packing, pii, quality, queries, toxicity, urls
+from paceline.llm import bpe, bytewise, chat, edits, encoding, fastids, fingerprints, minhash, packing, pii, quality, queries, toxicity, urls
 from paceline.llm.store import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -416,6 +417,23 @@ def test_packing_places_each_id_once(spark, tokenizer, monkeypatch):
     assert packing.packed(frame(spark, [])).count() == 0
 
 
+def test_fast_ids_split_and_encode_as_the_library_does(tokenizer, monkeypatch):
+    rng = random.Random(43)
+    parts = ["'s", "'t", "'re", "'ll", "'ve", "'m", "'d", "'", "''", " ", "  ", "\n", "\t ", " \n", "word", "S", "é", "ÀÖ", "12", "3", "-", "!?", "r", "e", "l", "_", "\x0b", "re", "ve"]
+    texts = ["", " ", "a", "'s", " 's", "it's", "x'", "'sat", "\n'll", "don't we're I'LL  you'd"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(6000)]
+    data, offsets = bytewise.utf8(pa.array(texts))
+    starts = fastids.borders(data, offsets)
+    raw, edges = data.tobytes(), [*starts.tolist(), len(data)]
+    got = [raw[a:b].decode() for a, b in itertools.pairwise(edges)]
+    assert got == [w for t in texts for w in bpe._PLAIN.findall(t)]
+    for slots in (1 << 21, 64):  # the smaller table is soon full
+        monkeypatch.setattr(fastids, "SLOTS", slots)
+        ids = packing.Ids(bpe.DEFAULT, packing.public_tokenizers.path("byte_bpe_50k.tiktoken"))
+        for some in (texts[:3000], texts[3000:], EDGES[1:] + texts[:50], [""], []):
+            want = [[*e.ids, packing.SEPARATOR] for e in tokenizer.encode_batch(some, add_special_tokens=False)]
+            assert [x.tolist() for x in ids.all(some)] == want
+
+
 def test_bm25_ranks_as_the_formula_does():
     rng = np.random.default_rng(11)
     docs = [rng.integers(0, 60, rng.integers(5, 60)).astype("<u4") for _ in range(40)]
