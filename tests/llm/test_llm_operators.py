@@ -55,6 +55,19 @@ def test_words_are_those_of_the_pattern():
     assert (lower.hashes == upper.hashes).all()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from paceline.llm import store
+
+    session = lambda master, folder=None: SimpleNamespace(conf={"spark.checkpoint.dir": folder} if folder else {}, sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+    assert store.shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("yarn", "spark://a:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            store.shared_dir(session(master))
+    assert store.shared_dir(session("local[4]")).startswith("file:///tmp/")
+
+
 # op 1 -------------------------------------------------------------------------------------------------------
 
 
