@@ -556,9 +556,12 @@ def trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("subject", "day", half_up(daily.trailing_mean(m, ["subject"], 7), 3).alias("trailing"))
 
 
-@query(f"WITH {R}, s AS (SELECT DISTINCT subject FROM r), h AS (SELECT subject, unnest(range(473352, 473376)) AS hour FROM s) SELECT subject, CAST(hour AS INT) AS hour FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.subject = h.subject AND r.t // 3600000 = h.hour)")
+@query(f"WITH {R}, s AS (SELECT DISTINCT subject FROM r), e AS (SELECT min(t) // 3600000 AS a, max(t) // 3600000 AS b FROM r), h AS (SELECT subject, unnest(range(a, b + 1)) AS hour FROM s, e) SELECT subject, CAST(hour AS INT) AS hour FROM h WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.subject = h.subject AND r.t // 3600000 = h.hour)")
 def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return daily.missing_hours(readings(spark, sf_dir), ["subject"], 473352 * HOUR, 473376 * HOUR)
+    """Hours of the whole table's span without a reading of a subject."""
+    r = readings(spark, sf_dir)
+    first, last = r.agg(F.min("t"), F.max("t")).first()
+    return daily.missing_hours(r, ["subject"], first or 0, (last or 0) + 1).withColumn("hour", F.col("hour").cast("int"))
 
 
 @query(f"WITH {R}, a AS (SELECT subject, day, sum(CAST(floor(v * 100 + 0.5) AS BIGINT)) AS x FROM r WHERE kind = 'view' GROUP BY 1, 2), b AS (SELECT subject, day, sum(CAST(floor(v * 100 + 0.5) AS BIGINT)) AS y FROM r WHERE kind = 'click' GROUP BY 1, 2) SELECT a.subject, {up('median(abs(y - x)::DOUBLE / x)', 4)} AS median, {up('max(abs(y - x)::DOUBLE / x)', 4)} AS greatest, count(*) AS days FROM a JOIN b ON b.subject = a.subject AND b.day = a.day GROUP BY a.subject")
