@@ -1,7 +1,8 @@
 """Live ingest: a file stream over the landing folder, each micro-batch published once.
 
-A batch that was published before is left out by its id, so files that arrive again, or a micro-batch that runs again
-after a failure, change nothing. Late files need no watermark: versions are settled when rows are read.
+A batch that was published before is left out by its id, so files that arrive again change nothing. A batch is logged after its rows are
+appended: a failure between the two appends them again, which settling versions on reading undoes for rows, points and deletions, but
+not for what was set aside. Late files need no watermark: versions are settled when rows are read.
 """
 
 from __future__ import annotations
