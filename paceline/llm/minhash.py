@@ -154,6 +154,17 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return text_batches(docs).mapInArrow(_sets(k, keep), "node long, set_a long, set_b long, hashes array<long>")
 
 
+def _per_key(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
+    """The edges with least (of other) and n (edges) of their key, and these of each key.
+
+    A key is dealt into SALTS parts by other: they are aggregated first, and each edge meets the result in its part.
+    """
+    x = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
+    each = x.groupBy(key, "salt").agg(F.min(other).alias("least"), F.count("*").alias("n"))
+    whole = each.groupBy(key).agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    return x.join(whole.select(key, "least", "n", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt"), whole
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of each node of the edges (a, b): the least node that can be reached.
 
@@ -166,10 +177,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not before[0]:
             break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        large = _per_key(both, "a", "b")[0].filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        small = _per_key(large, "a", "b")[0]
+        small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         now = scratch.table(small, "edges")
         if now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == before:
             break
@@ -181,10 +191,10 @@ def _confirmed(edges: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     A hub b of many edges is dealt into parts of HUB edges, with a copy of its set for each.
     """
-    parts = edges.groupBy("b").agg(F.ceil(F.count("*") / HUB).cast("int").alias("parts"))
-    x = edges.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    x = x.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    hubs = parts.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    x, counted = _per_key(edges, "b", "a")
+    parts = F.ceil(F.col("n") / HUB).cast("int")
+    x = x.select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    hubs = counted.select("b", parts.alias("parts")).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     x = x.join(hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y"), ["b", "part"])
     both = F.size(F.array_intersect("x", "y"))
     return x.filter(100 * both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
@@ -315,7 +325,8 @@ def _remainder(nodes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: i
 
 def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: DataFrame, k: int, threshold: int, scratch: Scratch) -> DataFrame:
     """node, root of the nodes that are linked to another."""
-    members = scratch.table(nodes_bands.join(shared, "key"), "members")
+    # written first: as a table of known size it can be broadcast, and a hot bucket split, where the two meet
+    members = scratch.table(nodes_bands.join(scratch.table(shared, "shared"), "key"), "members")
     wanted = firsts.select(F.col("doc_id").alias("node"), "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
     sets = _full_sets(docs, members.select("node").distinct(), k).join(wanted, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"])
     sets = scratch.table(sets.select("node", "hashes"), "sets")
