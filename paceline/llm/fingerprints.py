@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from paceline.llm.store import materialize, text_batches
 
-#: Bits that tell which fingerprints are shared; a constant, whatever the input.
-FILTER_BITS = 1 << 22
+#: Least and most bits of the filter that tells which fingerprints are shared; between them, 16 for each.
+LEAST_FILTER, MOST_FILTER = 1 << 22, 1 << 27
 #: Bytes of texts that a task remembers in order to send equal ones once.
 SEEN_BYTES = 32 << 20
 
@@ -74,10 +74,12 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def collisions(docs: DataFrame, plain: DataFrame) -> DataFrame:
     """fingerprint, c (content), number of the texts after the first in buckets with different texts; as good as always empty."""
-    place = (F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long") % FILTER_BITS).alias("place")
-    shared = plain.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select(place)
-    words = shared.groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+    shared = materialize(plain.groupBy("fingerprint").agg(F.count("*").alias("n")).filter("n > 1").select("fingerprint"), "shared")
+    n = shared.count()
+    bits = min(MOST_FILTER, max(LEAST_FILTER, 1 << (16 * n).bit_length()))
+    place = (F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long") % bits).alias("place")
+    words = shared.select(place).groupBy(F.expr("place div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))).alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +90,7 @@ def collisions(docs: DataFrame, plain: DataFrame) -> DataFrame:
             for x in batch.column("text"):
                 content = canonical(x.as_py() or "")
                 f = fingerprint(content)
-                at = int(f[:8], 16) % FILTER_BITS
+                at = int(f[:8], 16) % bits
                 if not int(table[at >> 6]) >> (at & 63) & 1 or seen.get(f) == content:
                     continue
                 if held > SEEN_BYTES:
@@ -101,6 +103,8 @@ def collisions(docs: DataFrame, plain: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(content, pa.binary())], names=["fingerprint", "content"])
 
     texts = text_batches(docs.select("text")).mapInArrow(run, "fingerprint string, content binary")
+    if 16 * n > MOST_FILTER:  # too full to tell much: what it lets through meets the shared ones before its texts are compared
+        texts = texts.join(shared, "fingerprint", "left_semi")
     differ = texts.groupBy("fingerprint").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).filter("lo <> hi").select("fingerprint")
     differ = materialize(differ, "differ")
     if differ.isEmpty():
