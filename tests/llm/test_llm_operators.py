@@ -734,6 +734,17 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     assert got[0] == got[1] != got[2] and len({got[0], got[2], got[3], got[4]}) == 4
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    """Beyond the most bits, shared texts meet by a join, and collisions are found all the same."""
+    texts = [f"text {i % 30}" for i in range(90)] + [f"alone {i}" for i in range(20)]
+    docs = frame(spark, texts)
+    want = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    monkeypatch.setattr(fingerprints, "LEAST_FILTER", 64)
+    monkeypatch.setattr(fingerprints, "MOST_FILTER", 64)
+    assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()} == want
+    assert all(want[i] == fingerprints.fingerprint(t.encode()) for i, t in enumerate(texts))
+
+
 def test_fingerprint_edge_tables(spark):
     assert fingerprints.against_edits(frame(spark, [])).count() == 0
     one = fingerprints.against_edits(frame(spark, ["abcd"])).collect()
@@ -855,6 +866,14 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in range(100, 120)} == {100}
 
 
+def test_a_hub_meets_its_edges_in_parts(spark):
+    """However many edges a node has, none of the parts it is dealt into has more than its share."""
+    edges = spark.range(1, 3201).select(F.lit(0).cast("long").alias("b"), F.col("id").alias("a"))
+    joined, whole = minhash._per_key(edges, "b", "a")
+    assert whole.select("b", "least", "n").collect() == [(0, 1, 3200)] and len(whole.first().salts) == minhash.SALTS
+    assert {(r.least, r.n) for r in joined.collect()} == {(1, 3200)} and joined.count() == 3200
+
+
 def test_repeated_ids_give_one_answer(spark):
     rng = random.Random(23)
     base = prose(rng, 80)
