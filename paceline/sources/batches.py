@@ -17,14 +17,17 @@ from paceline.operators.intervals import merge
 MAX_EPOCH_MS = 4_102_444_800_000
 MAX_RECORDS = 5_000
 MAX_POINTS = 20_000
-WORKOUT, DAILY, STREAM, STATUS = "HKWorkoutTypeIdentifier", "_daily", "_wstream", "_status"
+WORKOUT, DAILY, STREAM, STATUS, PROFILE = "HKWorkoutTypeIdentifier", "_daily", "_wstream", "_status", "_events_profile"
 MODES = ("anchored", "recent", "stats", "reconcile", "status", "workoutdata")
 STREAM_COLUMNS = ("v", "lat", "lon", "alt", "spd", "crs", "ha", "va")
 KINDS = {WORKOUT: ("w", "d"), DAILY: ("day",), STREAM: ("ws", "wd"), STATUS: ("c",), "_hourly": ("hs",), "_events": ("ev", "d")}
+#: Types of categories that a person switches on.
+KINDS |= {"_daily_nutrition": ("day",), "_daily_cycle": ("day",), "_events_nutrition": ("ev", "d"), PROFILE: ("ev", "d")}
 
 HEADER = "kind string, schema int, batchId string, type string, seq long, device string, tz string, createdAt long, mode string, window struct<start:long,end:long>, caughtUp boolean, checkedAt long, reconcileId string, reconcileDone boolean"
 ROW = ("subject", "type", "k", "id", "s", "e", "v", "v2", "v3", "c", "u", "agg", "src", "bid", "dev", "tz", "extra", "seq", "batch", "rid")
 _ROW_TYPES = dict(zip(ROW, ["string", "string", "string", "string", "long", "long", "double", "double", "double", "int", *["string"] * 7, "long", "string", "string"], strict=True))
+ROW_SCHEMA = ", ".join(f"{c} {t}" for c, t in _ROW_TYPES.items()) + ", month string"
 
 
 def read_lines(spark: SparkSession, landing: str) -> DataFrame:
@@ -117,10 +120,9 @@ def rows(good: DataFrame) -> DataFrame:
     h = _decoded(h, "t", ("v", "lo", "hi"), [*_HEAD, "st", "u"])
     hours = _rows(h, s=F.col("t"), e=F.col("t") + 3_600_000, v=F.col("v"), v2=F.col("lo"), v3=F.col("hi"), u=F.col("u"), agg=F.col("st"))
     e = good.filter("k = 'ev'").withColumns({"ty": one("ty"), "u": one("u"), "src": one("src"), "bid": one("bid"), "ids": F.from_json(one("ids"), "array<string>")})
-    e = e.withColumn("value", F.regexp_replace("value", r'"s"\s*:', '"t":'))
-    plain = e.withColumn("p", F.from_json("value", "t array<long>, e array<long>, v array<double>, v2 array<double>, c array<double>")).filter(F.col("p.t").isNotNull())
-    p = codec.rows_of_chunks(plain.select(*_HEAD, "ty", "u", "src", "bid", "ids", "p.*"), [*_HEAD, "ty", "u", "src", "bid"], "t", ["e", "v", "v2", "c", "ids"])
-    c = _decoded(e.filter(F.get_json_object("value", "$.enc") == "1"), "t", ("e", "v", "v2", "c"), [*_HEAD, "ty", "u", "src", "bid"]).withColumns({"e": F.col("e").cast("long"), "ids": F.lit(None).cast("string")})
+    plain = e.withColumn("p", F.from_json("value", "s array<long>, e array<long>, v array<double>, v2 array<double>, c array<double>")).filter(F.col("p.s").isNotNull())
+    p = codec.rows_of_chunks(plain.select(*_HEAD, "ty", "u", "src", "bid", "ids", "p.*"), [*_HEAD, "ty", "u", "src", "bid"], "s", ["e", "v", "v2", "c", "ids"])
+    c = _decoded(e.filter(F.get_json_object("value", "$.enc") == "1"), "s", ("e", "v", "v2", "c"), [*_HEAD, "ty", "u", "src", "bid"]).withColumns({"e": F.col("e").cast("long"), "ids": F.lit(None).cast("string")})
     both = p.unionByName(c)
     events = _rows(both, id=F.col("ids"), s=F.col("t"), e=F.coalesce("e", "t"), v=F.col("v"), v2=F.col("v2"), c=F.col("c"), u=F.col("u"), agg=F.col("ty"), src=F.col("src"), bid=F.col("bid")).filter("e >= s")
     return workouts.unionByName(days).unionByName(hours).unionByName(events).withColumn("month", F.date_format(local_day(F.col("s")), "yyyy-MM"))

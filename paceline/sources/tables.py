@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.clock import local_day
 from paceline.operators import dedup
+from paceline.sources.batches import ROW_SCHEMA
 
 
 def append(df: DataFrame, path: str, partitions: list[str], sort: list[str]) -> None:
@@ -21,9 +22,15 @@ def replace_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).option("compression", "zstd").parquet(path)
 
 
-def read_rows(spark: SparkSession, path: str, kind: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
-    """Rows of a type in a half-open range; months outside it are not read."""
-    x = spark.read.option("mergeSchema", True).parquet(path).filter(F.col("type") == kind)
+def published(spark: SparkSession, store: str, name: str, schema: str | None = None) -> DataFrame:
+    """A table of a store: the rows of publications that were completed. One that failed on its way left rows that nobody sees."""
+    x = spark.read.schema(f"{schema}, publication string") if schema else spark.read
+    return x.parquet(f"{store}/{name}").join(spark.read.schema("publication string").parquet(f"{store}/publications"), "publication", "left_semi").drop("publication")
+
+
+def read_rows(spark: SparkSession, store: str, kind: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Published rows of a type in a half-open range; months outside it are not read."""
+    x = published(spark, store, "rows", ROW_SCHEMA).filter(F.col("type") == kind)
     if start_ms is not None:
         x = x.filter((F.col("month") >= F.date_format(local_day(F.lit(start_ms)), "yyyy-MM")) & (F.col("s") >= start_ms))
     if end_ms is not None:

@@ -1,12 +1,14 @@
 """Live ingest: a file stream over the landing folder, each micro-batch published once.
 
-A batch that was published before is left out by its id, so files that arrive again change nothing. A batch is logged after its rows are
-appended: a failure between the two appends them again, which settling versions on reading undoes for rows, points and deletions, but
-not for what was set aside. Late files need no watermark: versions are settled when rows are read.
+A batch that was published before is left out by its id, so files that arrive again change nothing. All rows of a micro-batch carry the id of
+its publication, which is written last, as one row: tables.published() reads what completed publications wrote, so a failure on
+the way leaves nothing to see, and the next run writes all of it anew. Late files need no watermark: versions are settled when rows are read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,14 +19,18 @@ from paceline.sources import batches, tables
 
 def _published(spark: SparkSession, store: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{store}/commits").select("subject", "batchId", F.lit(True).alias("done"))
+        return tables.published(spark, store, "commits").select("subject", "batchId", F.lit(True).alias("done"))
     except AnalysisException:  # nothing is published yet
         return None
 
 
 def publish(lines: DataFrame, store: str) -> dict[str, int]:
-    """Parse whole files and append their rows, points, deletions and marks; then log the batches. Counts by outcome."""
-    spark = lines.sparkSession
+    """Parse whole files, append their rows, points, deletions, marks and batches, and publish these. Counts by outcome."""
+    spark, publication = lines.sparkSession, F.lit(str(uuid.uuid4()))
+
+    def append(df: DataFrame, name: str, partitions: list[str], sort: list[str]) -> None:
+        tables.append(df.withColumn("publication", publication), f"{store}/{name}", partitions, sort)
+
     lines = lines.persist()
     heads = batches.headers(lines)
     before = _published(spark, store)
@@ -34,16 +40,17 @@ def publish(lines: DataFrame, store: str) -> dict[str, int]:
     heads = heads.withColumn("problem", F.coalesce("problem", F.when(~first, "published before"))).persist()
     good, aside = batches.records(lines, heads)
     good = good.persist()
-    tables.append(batches.rows(good), f"{store}/rows", ["type", "month"], ["s"])
-    tables.append(batches.stream_points(good), f"{store}/points", ["stream"], ["subject", "wid", "t"])
-    tables.append(batches.tombstones(good), f"{store}/deleted", ["type"], ["id"])
-    tables.append(batches.marks(good), f"{store}/marks", [], ["wid"])
-    tables.append(batches.statuses(good), f"{store}/statuses", [], ["at"])
-    tables.append(aside, f"{store}/aside", [], ["path"])
+    append(batches.rows(good), "rows", ["type", "month"], ["s"])
+    append(batches.stream_points(good), "points", ["stream"], ["subject", "wid", "t"])
+    append(batches.tombstones(good), "deleted", ["type"], ["id"])
+    append(batches.marks(good), "marks", [], ["wid"])
+    append(batches.statuses(good), "statuses", [], ["at"])
+    append(aside, "aside", [], ["path"])
     kept = good.groupBy("path").agg(F.count("*").alias("kept"))
     done = heads.join(kept, "path", "left").withColumn("problem", F.coalesce("problem", F.when((F.coalesce("kept", F.lit(0)) == 0) & (F.col("n") > 0), "every record was invalid")))
     done = done.persist()
-    tables.append(done.filter("problem is null").drop("problem"), f"{store}/commits", [], ["batchId"])
+    append(done.filter("problem is null").drop("problem"), "commits", [], ["batchId"])
+    append(spark.range(0, 1, 1, 1).select(), "publications", [], ["publication"])
     counts = {r["outcome"]: r["n"] for r in done.groupBy(F.coalesce("problem", F.lit("published")).alias("outcome")).agg(F.count("*").alias("n")).collect()}
     for x in (done, good, heads, lines):
         x.unpersist()

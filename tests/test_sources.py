@@ -35,16 +35,50 @@ def test_ingest_is_idempotent_and_keeps_the_good(spark, tmp_path):
     q = ingest.start(spark, str(landing), store, str(tmp_path / "cp"))
     q.awaitTermination()
     assert q.exception() is None
-    assert spark.read.parquet(f"{store}/rows").count() == 2
-    assert spark.read.parquet(f"{store}/aside").count() == 3
+    assert tables.published(spark, store, "rows").count() == 2
+    assert tables.published(spark, store, "aside").count() == 3
     # the same batch again, and a newer version with a deletion
     write(landing, "u1", batches.WORKOUT, [workout("a"), workout("b")], batch=b)
     write(landing, "u1", batches.WORKOUT, [workout("a") | {"dist": 9.0}, {"k": "d", "id": "b"}], seq=2)
     ingest.start(spark, str(landing), store, str(tmp_path / "cp")).awaitTermination()
-    rows = tables.current_rows(tables.read_rows(spark, f"{store}/rows", batches.WORKOUT), spark.read.parquet(f"{store}/deleted"))
+    rows = tables.current_rows(tables.read_rows(spark, store, batches.WORKOUT), tables.published(spark, store, "deleted"))
     assert [(r.id, r.seq) for r in rows.collect()] == [("a", 2)]
-    assert tables.read_rows(spark, f"{store}/rows", batches.WORKOUT, T0 + 86_400_000, T0 + 60 * 86_400_000).count() == 1
-    assert spark.read.parquet(f"{store}/commits").count() == 2
+    assert tables.read_rows(spark, store, batches.WORKOUT, T0 + 86_400_000, T0 + 60 * 86_400_000).count() == 1
+    assert tables.published(spark, store, "commits").count() == 2
+
+
+def test_a_failed_publication_leaves_nothing_double(spark, tmp_path, monkeypatch):
+    landing, store = tmp_path / "in", str(tmp_path / "store")
+    write(landing, "u1", batches.WORKOUT, [workout("a"), "not json"])
+    lines = batches.read_lines(spark, str(landing))
+    append = tables.append
+    for broken in ("deleted", "commits", "publications"):
+        def failing(df, path, *more, broken=broken):
+            if path.endswith(f"/{broken}"):
+                raise OSError("lost")
+            append(df, path, *more)
+
+        monkeypatch.setattr(tables, "append", failing)
+        try:
+            ingest.publish(lines, store)
+            raise AssertionError
+        except OSError:
+            pass
+    monkeypatch.setattr(tables, "append", append)
+    assert ingest.publish(lines, store) == {"published": 1}
+    assert ingest.publish(lines, store) == {"published before": 1}
+    assert [tables.published(spark, store, t).count() for t in ("rows", "aside", "commits")] == [1, 1, 1]
+    assert spark.read.parquet(f"{store}/rows").count() > 1
+
+
+def test_nested_keys_of_events_stay(spark, tmp_path):
+    write(tmp_path, "u", "_events", [{"k": "ev", "ty": "Note", "src": 'a "s": b', "s": [T0], "v": [1.0], "md": [{"s": 5}]}])
+    write(tmp_path, "u", "_events", [{"k": "ev", "ty": "Packed", "enc": 1, "n": 2, "s": {"m": 1, "o": 1, "d": [T0, 5]}, "v": {"m": 10, "o": 1, "d": [15, 5]}}])
+    write(tmp_path, "u", "_daily_cycle", [{"k": "day", "day": "2024-01-01", "m": {"cycleFlow": 1}}])
+    heads, good, aside = good_of(spark, tmp_path)
+    assert heads.filter("problem is not null").count() == aside.count() == 0
+    rows = {(r.agg, r.s - T0): r for r in batches.rows(good).filter("k = 'ev'").collect()}
+    assert rows["Note", 0].src == 'a "s": b' and (rows["Packed", 0].v, rows["Packed", 5].v) == (1.5, 2.0)
 
 
 def good_of(spark, landing):
