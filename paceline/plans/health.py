@@ -12,6 +12,7 @@ from paceline.functions.clock import age_at, day_start_ms, local_day
 from paceline.functions.numbers import half_up, pace, tidy
 from paceline.functions.physics import load
 from paceline.operators import daily, dedup, folds, intervals, series
+from paceline.sources.batches import PROFILE
 
 RECOVERY = ("restingHr", "hrvSdnn", "sleepAsleepMin", "respiratoryRate", "spo2", "wristTemp", "sleepHrAvg", "sleepHrMin", "hrvOvernight")
 
@@ -82,8 +83,8 @@ def nutrition_log(rows: DataFrame, nutrients: list[str], most: int = 300) -> Dat
 
 
 def profile(rows: DataFrame, today: str) -> DataFrame:
-    """subject, birth, sex, age, expected_max_hr from the latest profile row."""
-    x = rows.filter("k = 'p'").groupBy("subject").agg(F.max_by("extra", F.struct("s", "seq")).alias("extra"))
+    """subject, birth, sex, age, expected_max_hr from the latest profile event."""
+    x = rows.filter((F.col("type") == PROFILE) & (F.col("k") == "ev") & (F.col("agg") == "Profile")).groupBy("subject").agg(F.max_by("extra", F.struct("s", "seq")).alias("extra"))
     x = x.select("subject", F.try_to_date(F.get_json_object("extra", "$.dob"), "yyyy-MM-dd").alias("birth"), F.get_json_object("extra", "$.sex").alias("sex"))
     age = age_at(F.col("birth"), F.lit(today).cast("date"))
     return x.withColumns({"age": age, "expected_max_hr": F.floor(208 - 0.7 * age + 0.5)})

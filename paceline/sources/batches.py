@@ -119,12 +119,14 @@ def rows(good: DataFrame) -> DataFrame:
     h = good.filter("k = 'hs'").withColumns({"st": one("st"), "u": one("u")})
     h = _decoded(h, "t", ("v", "lo", "hi"), [*_HEAD, "st", "u"])
     hours = _rows(h, s=F.col("t"), e=F.col("t") + 3_600_000, v=F.col("v"), v2=F.col("lo"), v3=F.col("hi"), u=F.col("u"), agg=F.col("st"))
-    e = good.filter("k = 'ev'").withColumns({"ty": one("ty"), "u": one("u"), "src": one("src"), "bid": one("bid"), "ids": F.from_json(one("ids"), "array<string>")})
-    plain = e.withColumn("p", F.from_json("value", "s array<long>, e array<long>, v array<double>, v2 array<double>, c array<double>")).filter(F.col("p.s").isNotNull())
-    p = codec.rows_of_chunks(plain.select(*_HEAD, "ty", "u", "src", "bid", "ids", "p.*"), [*_HEAD, "ty", "u", "src", "bid"], "s", ["e", "v", "v2", "c", "ids"])
-    c = _decoded(e.filter(F.get_json_object("value", "$.enc") == "1"), "s", ("e", "v", "v2", "c"), [*_HEAD, "ty", "u", "src", "bid"]).withColumns({"e": F.col("e").cast("long"), "ids": F.lit(None).cast("string")})
-    both = p.unionByName(c)
-    events = _rows(both, id=F.col("ids"), s=F.col("t"), e=F.coalesce("e", "t"), v=F.col("v"), v2=F.col("v2"), c=F.col("c"), u=F.col("u"), agg=F.col("ty"), src=F.col("src"), bid=F.col("bid")).filter("e >= s")
+    column = "struct<m:long,o:int,d:array<long>,x:array<int>,r:array<double>>"
+    parsed = lambda schema: F.from_json("value", schema)
+    plain = "s array<long>, e array<long>, v array<double>, v2 array<double>, c array<double>, ids array<string>, meta array<string>"
+    e = good.filter("k = 'ev'").select(*_HEAD, *(one(c).alias(c) for c in ("ty", "u", "src", "bid")), (one("enc") == "1").alias("enc"), parsed(plain).alias("p"), parsed(", ".join(f"{c} {column}" for c in ("s", "e", "v", "v2", "c"))).alias("q"))
+    value = lambda c, kind: F.when(F.col("enc"), codec.column_values(F.col(f"q.{c}"))).otherwise(F.col(f"p.{c}").cast("array<double>")).cast(kind).alias(c)
+    e = e.select(*_HEAD, "ty", "u", "src", "bid", value("s", "array<long>"), value("e", "array<long>"), *(value(c, "array<double>") for c in ("v", "v2", "c")), "p.ids", "p.meta")
+    both = codec.rows_of_chunks(e.filter(F.size("s") <= MAX_POINTS), [*_HEAD, "ty", "u", "src", "bid"], "s", ["e", "v", "v2", "c", "ids", "meta"])
+    events = _rows(both, id=F.col("ids"), s=F.col("t"), e=F.coalesce("e", "t"), v=F.col("v"), v2=F.col("v2"), c=F.col("c"), u=F.col("u"), agg=F.col("ty"), src=F.col("src"), bid=F.col("bid"), extra=F.col("meta")).filter("e >= s")
     return workouts.unionByName(days).unionByName(hours).unionByName(events).withColumn("month", F.date_format(local_day(F.col("s")), "yyyy-MM"))
 
 

@@ -21,7 +21,7 @@ def rows(spark):
     late = [("u", "_daily", "day", "2024-01-01", T0, T0 + D, None, None, None, None, None, json.dumps({"m": {"steps": 9}}), 2, "c")]
     hours = [("u", "_hourly", "hs", None, T0 + i * H, T0 + i * H + H, 55.0 + i % 24, 50.0 + i % 24, 65.0 + i % 24, "HeartRate", None, None, 1, "b") for i in range(30 * 24)]
     food = [("u", "_events", "ev", f"f{i}", T0 + 12 * H, T0 + 12 * H, float(v), None, None, n, "app", None, 1, "b") for i, (n, v) in enumerate([("DietaryProtein", 20), ("DietaryWater", 300), ("DietaryProtein", 25)])]
-    prof = [("u", "_p", "p", "p", T0, T0, None, None, None, None, None, json.dumps({"dob": "1984-03-01", "sex": "female"}), 1, "b")]
+    prof = [("u", "_events_profile", "ev", "p", T0, T0, None, None, None, "Profile", None, json.dumps({"dob": "1984-03-01", "sex": "female"}), 1, "b")]
     return spark.createDataFrame(days + late + hours + food + prof, ROW)
 
 

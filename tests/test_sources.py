@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paceline.operators import dedup
+from paceline.plans import health
 from paceline.sources import batches, tables
 from paceline.streaming import ingest
 
@@ -73,12 +74,16 @@ def test_a_failed_publication_leaves_nothing_double(spark, tmp_path, monkeypatch
 
 def test_nested_keys_of_events_stay(spark, tmp_path):
     write(tmp_path, "u", "_events", [{"k": "ev", "ty": "Note", "src": 'a "s": b', "s": [T0], "v": [1.0], "md": [{"s": 5}]}])
-    write(tmp_path, "u", "_events", [{"k": "ev", "ty": "Packed", "enc": 1, "n": 2, "s": {"m": 1, "o": 1, "d": [T0, 5]}, "v": {"m": 10, "o": 1, "d": [15, 5]}}])
+    write(tmp_path, "u", "_events", [{"k": "ev", "ty": "Packed", "enc": 1, "n": 2, "s": {"m": 1, "o": 1, "d": [T0, 5]}, "v": {"m": 10, "o": 1, "d": [15, 5]}, "ids": ["p1", "p2"]}])
+    write(tmp_path, "u", batches.PROFILE, [{"k": "ev", "ty": "Profile", "s": [T0], "meta": [{"dob": "1984-03-01", "sex": "female"}]}])
     write(tmp_path, "u", "_daily_cycle", [{"k": "day", "day": "2024-01-01", "m": {"cycleFlow": 1}}])
     heads, good, aside = good_of(spark, tmp_path)
     assert heads.filter("problem is not null").count() == aside.count() == 0
     rows = {(r.agg, r.s - T0): r for r in batches.rows(good).filter("k = 'ev'").collect()}
     assert rows["Note", 0].src == 'a "s": b' and (rows["Packed", 0].v, rows["Packed", 5].v) == (1.5, 2.0)
+    assert rows["Packed", 5].id == "p2" and rows["Note", 0].extra is None
+    p = health.profile(batches.rows(good), "2024-02-29").first()
+    assert (p.subject, p.age, p.sex, p.expected_max_hr) == ("u", 39, "female", 181)
 
 
 def good_of(spark, landing):
