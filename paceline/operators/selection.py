@@ -43,9 +43,9 @@ def clean_heart_rate(points: DataFrame, by: list[str], max_hr: Column) -> DataFr
 
 
 def heart_rate_coverage(weighted: DataFrame, moving: DataFrame, by: list[str]) -> DataFrame:
-    """by, share of the moving time (seconds) that readings stand for, at most 1."""
+    """by, share of the moving time (seconds) that readings stand for, at most 1, null if nothing moved."""
     x = moving.join(weighted.groupBy(*by).agg(F.sum("w").alias("_w")), by, "left")
-    return x.select(*by, F.least(F.lit(1.0), F.coalesce("_w", F.lit(0.0)) / F.when(F.col("moving") > 0, F.col("moving"))).alias("share"))
+    return x.select(*by, F.when(F.col("moving") > 0, F.least(F.lit(1.0), F.coalesce("_w", F.lit(0.0)) / F.col("moving"))).alias("share"))
 
 
 def clean_splits(splits: DataFrame, by: list[str], factor: float = 2.0) -> DataFrame:

@@ -303,7 +303,7 @@ def _route(r: DataFrame) -> DataFrame:
 
 
 ROUTE = f"""{GPS}, h AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM g WINDOW w AS (PARTITION BY subject ORDER BY t)),
-j AS (SELECT *, coalesce(2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))), 0.0) AS step FROM h),
+j AS (SELECT *, CASE WHEN la IS NULL OR lo IS NULL THEN 0.0::DOUBLE ELSE 2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - la) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin(radians(lon - lo) / 2), 2)))) END AS step FROM h),
 d AS (SELECT *, sum(step) OVER (PARTITION BY subject ORDER BY t ROWS UNBOUNDED PRECEDING) AS d FROM j)"""
 
 

@@ -280,7 +280,7 @@ def clean_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {R}, l AS (SELECT subject, least(coalesce(lead(t) OVER (PARTITION BY subject ORDER BY t), t), t + 21600000) - t AS w FROM r), w AS (SELECT subject, sum(w) AS w FROM l WHERE w > 0 GROUP BY 1), m AS (SELECT subject, (max(t) - min(t)) AS m FROM r GROUP BY 1)
-SELECT m.subject, {up("least(1.0, coalesce(w, 0)::DOUBLE / CASE WHEN m > 0 THEN m END)", 6)} AS share FROM m LEFT JOIN w ON w.subject = m.subject""")
+SELECT m.subject, CASE WHEN m > 0 THEN {up("least(1.0, coalesce(w, 0)::DOUBLE / m)", 6)} END AS share FROM m LEFT JOIN w ON w.subject = m.subject""")
 def heart_rate_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
     moving = r.groupBy("subject").agg(((F.max("t") - F.min("t")) / 1000).alias("moving"))
