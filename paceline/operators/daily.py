@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from paceline.functions.clock import bed_day, day_start_ms, local_day, monday
 from paceline.functions.numbers import half_up
 
-#: Groups of daily metrics by name.
+#: Groups of daily metrics by name. They decide which stored metrics belong to a group.
 GROUPS = {
     "sleep": "^sleep",
     "heart": "^(restingHr|hr[A-Z]|hrv|walkingHrAvg|vo2max|spo2|respiratory|perfusion)",
     "activity": "^(steps|flights|activeKcal|basalKcal|exerciseMin|standMin|moveMin|daylightMin|physicalEffort|ring|nikeFuel|swimStrokes|pushCount|uvExposure|mindful)|DistanceM$",
     "mobility": "^(walking(?!HrAvg$)|stair|sixMinute|timesFallen)",
     "body": "^(bodyMass|bodyFat|leanMass|bmi|height|waist|bodyTemp)",
+    "nutrition": "^(dietaryKcal|proteinG|carbsG|fatG|sugarG|fiberG|sodiumG|waterL|caffeineG|alcoholBeverages)$",
+    "cycle": "^(basalBodyTempC$|cycle[A-Z])",
     "audio": "^(envAudio|headphoneAudio|soundReduction)",
 }
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.functions.clock import monday
-from paceline.functions.numbers import coefficient_of_variation, normal_cdf
+from paceline.functions.numbers import coefficient_of_variation, half_up, normal_cdf
 from paceline.operators.intervals import longest_gap, stretches
 
 
@@ -154,7 +154,7 @@ def earlier_race_estimate(source: DataFrame, c: Config = CONFIG) -> DataFrame:
     by_volume = F.col("maintained") & F.col("volume_ratio").isNotNull()
     moved = F.when(F.col("fit_ratio").isNotNull(), F.col("_s") / fit).when(by_volume, F.col("_s") * F.greatest(F.lit(1 / credit), F.col("volume_ratio"))).otherwise(F.col("_s"))
     mass = c.mass_per_percent * 100 * (F.col("mass_now") - F.col("mass_then")) / F.when(F.col("mass_then") > 0, F.col("mass_then"))
-    lighter = F.when(F.col("fit_ratio").isNull(), F.coalesce(F.greatest(F.lit(-c.mass_cap), F.least(F.lit(c.mass_cap), mass)), F.lit(0.0))).otherwise(0.0)
+    lighter = F.when(F.col("fit_ratio").isNull(), F.greatest(F.lit(-c.mass_cap), F.least(F.lit(c.mass_cap), F.coalesce(mass, F.lit(0.0))))).otherwise(0.0)
     sigma = c.earlier_sigma + c.earlier_sigma_per_week * F.greatest(F.lit(0.0), F.col("age_weeks") - F.col("block_weeks")) + F.when(~F.col("maintained"), c.earlier_lapse_sigma).otherwise(0.0) + F.when(F.col("fit_ratio").isNull(), c.earlier_no_fit_sigma).otherwise(0.0)
     return x.select("subject", (moved * (1 + lighter / 100)).alias("seconds"), sigma.alias("sigma"))
 
@@ -236,13 +236,38 @@ def representative(splits: DataFrame, runs: DataFrame) -> DataFrame:
     return x.select("subject", "wid", (~F.coalesce(odd, F.lit(False))).alias("representative"))
 
 
+CHECKS = ("p_decoupling", "p_long_runs", "p_goal", "p_late")
+
+
 def modifiers(x: DataFrame, c: Config = CONFIG) -> DataFrame:
-    """x with penalty (percent, capped) from decoupling (median of the last three), n_decoupling, long_runs, goal_km and late_hr (share)."""
-    d = F.when(F.col("n_decoupling") >= 2, F.when(F.col("decoupling") >= 10, 2.0).when(F.col("decoupling") >= 5, 1.0).otherwise(0.0)).otherwise(0.0)
-    n = F.when(F.col("long_runs") < 2, 2.0).when(F.col("long_runs") == 2, 1.0).otherwise(0.0)
-    goal = F.when(F.col("goal_km") < 10, 1.0).otherwise(0.0)
-    late = F.when(F.col("late_hr") > 0.9, 1.0).otherwise(0.0)
-    return x.withColumn("penalty", F.least(d + n + F.coalesce(goal, F.lit(0.0)) + F.coalesce(late, F.lit(0.0)), F.lit(c.modifier_cap)))
+    """x with penalty (percent, capped) and its parts from decoupling (median of the last three), n_decoupling, long_runs, goal_km and late_hr (share).
+
+    A part is null where its check can't be made.
+    """
+    parts = {
+        "p_decoupling": F.when(F.col("n_decoupling") >= 2, F.when(F.col("decoupling") > 10, 2.0).when(F.col("decoupling") >= 5, 1.0).otherwise(0.0)),
+        "p_long_runs": F.when(F.col("long_runs") < 2, 2.0).when(F.col("long_runs") == 2, 1.0).otherwise(0.0),
+        "p_goal": F.when(F.col("goal_km").isNotNull(), F.when(F.col("goal_km") < 10, 1.0).otherwise(0.0)),
+        "p_late": F.when(F.col("late_hr").isNotNull(), F.when(F.col("late_hr") > 0.9, 1.0).otherwise(0.0)),
+    }
+    return x.withColumns(parts).withColumn("penalty", _capped(c))
+
+
+def _capped(c: Config) -> Column:
+    return F.least(sum((F.coalesce(p, F.lit(0.0)) for p in CHECKS), F.lit(0.0)), F.lit(c.modifier_cap))
+
+
+def relative_modifiers(now: DataFrame, then: DataFrame, weights: DataFrame, c: Config = CONFIG) -> DataFrame:
+    """now (modifiers()) with parts and penalty eased by what the block of the prior marathon (then, the same columns) had as well.
+
+    The prior marathon's time holds the durability of its block, so by the weight (subject, weight) of that estimate only what is
+    worse than then counts. A part unknown in either block stays.
+    """
+    x = now.join(then.select("subject", *(F.col(p).alias(f"_{p}") for p in CHECKS)), "subject", "left").join(weights.select("subject", F.col("weight").alias("_w")), "subject", "left")
+    w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("_w", F.lit(0.0))))
+    eased = lambda p: half_up(w * F.greatest(F.lit(0.0), F.col(p) - F.col(f"_{p}")) + (1 - w) * F.col(p), 2)
+    x = x.withColumns({p: F.when(F.col(p).isNotNull() & F.col(f"_{p}").isNotNull(), eased(p)).otherwise(F.col(p)) for p in CHECKS})
+    return x.withColumn("penalty", half_up(_capped(c), 2)).drop("_w", *(f"_{p}" for p in CHECKS))
 
 
 def combine(estimates: DataFrame, weeks: DataFrame, c: Config = CONFIG) -> DataFrame:
@@ -291,15 +316,16 @@ def temperature_scenarios(x: DataFrame, temps: tuple[float, ...] = (10.0, 15.0,
 
 
 def confidence(x: DataFrame) -> DataFrame:
-    """x with confidence (percent): the weights of nine kinds of evidence."""
+    """x with confidence (percent): the weights of nine kinds of evidence; what is null counts nothing."""
+    share = lambda name, full: F.least(F.coalesce(F.col(name), F.lit(0)) / full, F.lit(1.0))
     race = F.when(F.col("source_kind") == "half", F.when(F.col("source_age") <= 8, 25).otherwise(10)).when(F.col("source_kind") == "ten_k", F.when(F.col("source_age") <= 8, 18).otherwise(10)).when(F.col("source_kind").isNotNull(), 10).when(F.col("earlier"), 12).when(F.col("lower_bound"), 5).otherwise(0)
-    continuity = 15 * F.least(F.col("weeks") / 12, F.lit(1.0)) * F.when(F.col("gap") > 10, 0.5).otherwise(1.0)
-    long_runs = 15 * F.least(F.col("long_runs") / 3, F.lit(1.0))
-    coverage = 10 * F.least(F.col("hr_coverage") / 0.8, F.lit(1.0))
+    continuity = 15 * share("weeks", 12) * F.when(F.col("gap") > 10, 0.5).otherwise(1.0)
+    long_runs = 15 * share("long_runs", 3)
+    coverage = 10 * share("hr_coverage", 0.8)
     prior = F.when(F.col("prior") == "full", 10).when(F.col("prior") == "odd", 5).when(F.col("prior") == "summary", 3).otherwise(0)
     max_hr = F.when(F.col("max_hr_source") == "user", 5).when(F.col("max_hr_source") == "observed", 3).otherwise(0)
-    decoupling = 5 * F.least(F.col("n_decoupling") / 2, F.lit(1.0))
-    fueling = 5 * F.least(F.col("n_fueled") / 2, F.lit(1.0))
+    decoupling = 5 * share("n_decoupling", 2)
+    fueling = 5 * share("n_fueled", 2)
     near = F.when(F.col("weeks_to_race") <= 6, 10).when(F.col("weeks_to_race") <= 12, 5).otherwise(0)
     return x.withColumn("confidence", F.floor(sum((F.coalesce(k, F.lit(0)) for k in (race, continuity, long_runs, coverage, prior, max_hr, decoupling, fueling, near)), F.lit(0.0)) + 0.5))
 
@@ -334,18 +360,19 @@ def training_effort(efforts: DataFrame, c: Config = CONFIG) -> DataFrame:
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("subject").orderBy(implied, "age_weeks"))).filter("_n = 1").drop("_n")
 
 
-def assess(runs: DataFrame, efforts: DataFrame, splits: DataFrame, run_info: DataFrame, prior: DataFrame, durability: DataFrame, goals: DataFrame, as_of: str, c: Config = CONFIG) -> DataFrame:
+def assess(runs: DataFrame, efforts: DataFrame, splits: DataFrame, run_info: DataFrame, prior: DataFrame, durability: DataFrame, goals: DataFrame, as_of: str, c: Config = CONFIG, then: DataFrame | None = None) -> DataFrame:
     """One row for each runner with a goal: the forecast, its range, probability and label, and status.
 
     runs: subject, wid, day, km, seconds, indoor. efforts: subject, kind, metres, seconds, hr_fraction, tagged, run_m, age_weeks,
     temp. splits, run_info: as in efficiency_points(), blocks 'now' and 'then'. prior: subject, prior_seconds, representative.
     durability: subject, decoupling, n_decoupling, goal_km, late_hr. goals: subject, goal (seconds), weeks_to_race, temp,
-    course, shoes, fat, sex.
+    course, shoes, fat, sex. then: durability and long_runs of the block before the prior marathon, if known.
+    plans.analysis derives efforts, splits and durability from streams.
     """
     day = F.lit(as_of).cast("date")
-    block, recent = training_indices(runs, day, 16), training_indices(runs, day, 8)
+    block, recent, season = (training_indices(runs, day, n) for n in (16, 8, 12))
     e = efforts.withColumn("qualifies", qualifies(F.col("kind"), F.col("hr_fraction"), F.col("tagged"), F.col("run_m"), F.col("metres"), c))
-    volume = block.select("subject", "weekly_km", "long_runs").withColumn("own_r", F.lit(None).cast("double"))
+    volume = season.select("subject", "weekly_km", "long_runs").withColumn("own_r", F.lit(None).cast("double"))
     source = race_source(e, c)
     race = race_estimate(source.join(volume, "subject"), c)
     fallback = training_effort(e.join(source.select("subject"), "subject", "left_anti"), c).join(volume, "subject")
@@ -356,8 +383,12 @@ def assess(runs: DataFrame, efforts: DataFrame, splits: DataFrame, run_info: Dat
     estimates = estimates.unionByName(formula.withColumn("name", F.lit("training")))
     used = estimates.groupBy("subject").agg(F.sort_array(F.collect_set("name")).alias("estimators"))
     central = combine(estimates, goals.select("subject", "weeks_to_race"), c)
-    x = goals.join(central, "subject", "left").join(used, "subject", "left").join(block.select("subject", "weeks", "gap", "long_runs"), "subject", "left")
+    x = goals.join(central, "subject", "left").join(used, "subject", "left").join(block.select("subject", "weeks", "gap"), "subject", "left").join(season.select("subject", "long_runs"), "subject", "left")
     x = modifiers(x.join(durability, "subject", "left").withColumns({"long_runs": F.coalesce("long_runs", F.lit(0)), "n_decoupling": F.coalesce("n_decoupling", F.lit(0))}), c)
+    if then is not None:
+        weight = 1 / F.pow(F.col("seconds") * F.col("sigma"), 2)
+        anchored = estimates.groupBy("subject").agg((F.sum(F.when(F.col("name") == "prior marathon", weight).otherwise(0.0)) / F.sum(weight)).alias("weight"))
+        x = relative_modifiers(x, modifiers(then, c), anchored, c)
     own = F.arrays_overlap(F.coalesce("estimators", F.array().cast("array<string>")), F.array(F.lit("race"), F.lit("training effort"), F.lit("prior marathon")))
     x = x.withColumn("status", status(F.col("weeks"), own))
     out = likelihood(adjusted(x, c), c)

@@ -48,17 +48,72 @@ def points(streams: DataFrame, name: str) -> DataFrame:
     return dedup.latest_generation(streams.filter(F.col("stream") == name), KEY)
 
 
-def distances(streams: DataFrame, routes: DataFrame, workouts: DataFrame) -> DataFrame:
-    """subject, wid, t, d: from the first distance stream that a workout has, or else from its route."""
+def distances(streams: DataFrame, routes: DataFrame, workouts: DataFrame, source: str = "auto") -> DataFrame:
+    """subject, wid, t, d: from the first distance stream that a workout has, or else from its route; source: 'distance' or 'route' for that only."""
+    if source not in ("auto", "distance", "route"):
+        raise ValueError("source is auto, distance or route")
+    if source == "route":
+        return series.route_distance(routes.join(workouts.select(*KEY), KEY, "left_semi"), KEY).select(*KEY, "t", "d")
     starts = workouts.select(*KEY, F.col("s").alias("start"))
     place = F.array_position(F.array(*map(F.lit, DISTANCE_STREAMS)), F.col("stream"))
     measured = streams.filter(place > 0).withColumn("_p", place)
     best = measured.withColumn("_b", F.min("_p").over(Window.partitionBy(*KEY))).filter("_p = _b")
     from_streams = series.distance_from_increments(dedup.latest_generation(best, KEY), KEY, starts.join(best.select(*KEY).distinct(), KEY))
+    if source == "distance":
+        return from_streams
     from_routes = series.route_distance(routes.join(measured.select(*KEY).distinct(), KEY, "left_anti"), KEY).select(*KEY, "t", "d")
     return from_streams.unionByName(from_routes)
 
 
+def totals(measured: DataFrame, workouts: DataFrame) -> DataFrame:
+    """subject, wid, metres: the first kind of distance in measured (subject, wid, stream, metres) that a workout has, else its stored total."""
+    place = F.array_position(F.array(*map(F.lit, DISTANCE_STREAMS)), F.col("stream"))
+    first = measured.filter((place > 0) & F.col("metres").isNotNull()).groupBy(*KEY).agg(F.min_by("metres", place).alias("_m"))
+    return workouts.join(first, KEY, "left").select(*KEY, F.coalesce("_m", "dist").alias("metres"))
+
+
+def series_of(workouts: DataFrame, streams: DataFrame, name: str, first_s: float | None = None, last_s: float | None = None, most: int = 300, raw: bool = False, cursor: int = 0) -> DataFrame:
+    """subject, wid, offset (s), value, low, high, n_range of a stream between two offsets from the start, both included.
+
+    raw: readings cursor + 1 to cursor + most of each workout, with next (the next cursor or null). Else all readings where there
+    are no more than most, or the mean, least and greatest of as many equal spans of time.
+    """
+    if not 2 <= most <= 1000 or cursor < 0 or (first_s is not None and last_s is not None and first_s > last_s):
+        raise ValueError("most is 2 to 1000, cursor 0 or more, and the first offset not after the last")
+    x = points(streams.withColumn("stream", stream_name(F.col("stream"))), ALIASES.get(name.lower().replace("-", ""), name)).filter("v is not null")
+    x = x.join(workouts.select(*KEY, F.col("s").alias("_s")), KEY).withColumn("offset", (F.col("t") - F.col("_s")) / 1000)
+    if first_s is not None:
+        x = x.filter(F.col("offset") >= first_s)
+    if last_s is not None:
+        x = x.filter(F.col("offset") <= last_s)
+    x = x.withColumn("n_range", F.count("*").over(Window.partitionBy(*KEY)))
+    one = [*KEY, half_up(F.col("offset"), 1).alias("offset"), F.col("v").alias("value"), F.col("v").alias("low"), F.col("v").alias("high"), "n_range"]
+    if raw:
+        more = F.when(F.col("n_range") > cursor + most, cursor + most).alias("next")
+        return series.page(x, KEY, "t", cursor, most).select(*one, more)
+    many = x.filter(F.col("n_range") > most)
+    spans = many.groupBy(*KEY, "n_range").agg(F.min("offset").alias("_a"), F.max("offset").alias("_b"))
+    mean = series.downsample(many, KEY, most).join(spans, KEY)
+    start = F.col("_a") + F.col("bucket") * (F.col("_b") - F.col("_a")) / most
+    return x.filter(F.col("n_range") <= most).select(*one).unionByName(mean.select(*KEY, half_up(start, 1).alias("offset"), half_up(F.col("mean"), 2).alias("value"), "low", "high", "n_range"))
+
+
+def detail(workouts: DataFrame, events: DataFrame, streams: DataFrame, marks: DataFrame, days: DataFrame) -> DataFrame:
+    """workouts (with day) with paused_seconds, event_counts and streams (maps of counts), raw status, and the metrics of its day and the day before as maps.
+
+    marks: subject, wid, complete of the raw data that has come. days: subject, day, metric, value.
+    """
+    stopped = moving_seconds(workouts, pauses(events, workouts)).select(*KEY, half_up(F.col("paused"), 1).alias("paused_seconds"))
+    as_map = lambda name, n: F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, n))))
+    counted = lambda df, name, n: df.groupBy(*KEY, F.col(name).cast("string").alias("_k")).agg(F.count("*").alias("_n")).groupBy(*KEY).agg(as_map("_k", "_n").alias(n))
+    status = F.when(F.col("complete"), "complete").when(F.col("complete").isNotNull() | F.col("streams").isNotNull(), "partial").otherwise("none")
+    x = workouts.join(stopped, KEY, "left").join(counted(events, "type", "event_counts"), KEY, "left").join(counted(streams, "stream", "streams"), KEY, "left")
+    x = x.join(marks.groupBy(*KEY).agg(F.max("complete").alias("complete")), KEY, "left").withColumn("raw_status", status).drop("complete")
+    of_day = days.filter("value is not null").groupBy("subject", "day").agg(as_map("metric", "value").alias("m"))
+    x = x.join(of_day.withColumnRenamed("m", "same_day"), ["subject", "day"], "left")
+    return x.join(of_day.select("subject", F.date_add("day", 1).alias("day"), F.col("m").alias("previous_day")), ["subject", "day"], "left")
+
+
 def pauses(events: DataFrame, workouts: DataFrame) -> DataFrame:
     return intervals.pauses(events, KEY, workouts.select(*KEY, F.col("e").alias("end")))
 
@@ -80,9 +135,9 @@ def hr_zones(workouts: DataFrame, streams: DataFrame, events: DataFrame, max_hr:
     return series.zones(weighted, KEY, zone_bounds(max_hr, bounds)).join(left, KEY)
 
 
-def splits(workouts: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFrame, unit: float = 1000.0) -> DataFrame:
+def splits(workouts: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFrame, unit: float = 1000.0, source: str = "auto") -> DataFrame:
     """subject, wid, split, length_m, seconds (moving), pace, hr, gain, partial."""
-    dist = distances(streams, routes, workouts)
+    dist = distances(streams, routes, workouts, source)
     x = series.moving(series.splits(dist, KEY, unit), KEY, pauses(events, workouts))
     spans = x.select(*KEY, "split", F.col("t0").alias("a"), F.col("t1").alias("b"))
     hr = series.mean_within(points(streams, "HeartRate"), spans, KEY, "hr").drop("a", "b")

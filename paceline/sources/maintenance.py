@@ -36,6 +36,12 @@ def pending(spark: SparkSession, landing: str, commits: DataFrame) -> DataFrame:
     return x.groupBy("subject").agg(F.count("*").alias("files"))
 
 
+def completeness(claims: DataFrame, waiting: DataFrame) -> DataFrame:
+    """claims (subject, type, complete) that hold only where no file of the subject is pending()."""
+    x = claims.join(waiting.select("subject", "files"), "subject", "left")
+    return x.withColumn("complete", F.col("complete") & F.col("files").isNull()).withColumn("files", F.coalesce("files", F.lit(0)))
+
+
 def by_layout(files: DataFrame, known: list[str]) -> DataFrame:
     """layout, files, bytes of stored objects (path, size) whose first folder is none of the known ones: what a cleanup would move."""
     layout = F.regexp_extract("path", r"^([^/]+)/", 1)

@@ -68,3 +68,8 @@ def start(spark: SparkSession, landing: str, store: str, checkpoint: str, once:
 def live_minutes(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """uid, window, n of a stream of (uid, ts): calls in fixed minutes, closed when the watermark passes."""
     return events.withWatermark("ts", lateness).groupBy("uid", F.window("ts", "1 minute")).agg(F.count("*").alias("n"))
+
+
+def over_limit(minutes: DataFrame, limit: int) -> DataFrame:
+    """uid, window, n, refused of the minutes (live_minutes()) in which someone asked more often than allowed."""
+    return minutes.filter(F.col("n") > limit).withColumn("refused", F.col("n") - limit)
