@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the driver's tables, and SQL for those that SQL can express."""
+"""The queries op1 to op13 over the driver's tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -84,9 +84,27 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op11_rank_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.rowmerge import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.vectorcodes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paceline.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mcd_quality, op2_weak_supervision_pii, op3_url_bloom_cascade, op4_edit_token_counts, op5_bm25_packing, op6_chat_round_trip, op7_toxicity_grammar, op8_trie_bpe, op9_exact_digest, op10_minhash_near_dedup)
+    for f in (op1_mcd_quality, op2_weak_supervision_pii, op3_url_bloom_cascade, op4_edit_token_counts, op5_bm25_packing, op6_chat_round_trip, op7_toxicity_grammar, op8_trie_bpe, op9_exact_digest, op10_minhash_near_dedup, op11_rank_matrix_bpe, op12_vector_codes, op13_whitening)
 }
 
 ORACLES = {
@@ -126,4 +144,30 @@ l AS (
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id WHERE r.root < l.b)
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id, d.doc_id = min(r.root) AS kept
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op12_vector_codes": r"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS z FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, t.j AS part, z[t.j * (len(z) // 4) + 1 : (t.j + 1) * (len(z) // 4)] AS q FROM v, (SELECT unnest(range(4)) AS j) t),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS e, q AS c FROM p WHERE r <= 256),
+a0 AS MATERIALIZED (SELECT r, p.part, any_value(q) AS q, min(list_sum(list_transform(list_zip(q, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 256 + e) AS best FROM p JOIN b0 b ON b.part = p.part GROUP BY r, p.part),
+s0 AS (SELECT part, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT part, best % 256 AS e, unnest(q) AS x, unnest(range(len(q))) AS i FROM a0) GROUP BY part, e, i),
+n0 AS (SELECT part, e, list(m ORDER BY i) AS c FROM s0 GROUP BY part, e),
+b1 AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b0 b LEFT JOIN n0 n ON n.part = b.part AND n.e = b.e),
+a1 AS MATERIALIZED (SELECT r, p.part, any_value(q) AS q, min(list_sum(list_transform(list_zip(q, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 256 + e) AS best FROM p JOIN b1 b ON b.part = p.part GROUP BY r, p.part),
+s1 AS (SELECT part, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT part, best % 256 AS e, unnest(q) AS x, unnest(range(len(q))) AS i FROM a1) GROUP BY part, e, i),
+n1 AS (SELECT part, e, list(m ORDER BY i) AS c FROM s1 GROUP BY part, e),
+b2 AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b1 b LEFT JOIN n1 n ON n.part = b.part AND n.e = b.e),
+a2 AS MATERIALIZED (SELECT r, p.part, any_value(q) AS q, min(list_sum(list_transform(list_zip(q, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 256 + e) AS best FROM p JOIN b2 b ON b.part = p.part GROUP BY r, p.part),
+s2 AS (SELECT part, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT part, best % 256 AS e, unnest(q) AS x, unnest(range(len(q))) AS i FROM a2) GROUP BY part, e, i),
+n2 AS (SELECT part, e, list(m ORDER BY i) AS c FROM s2 GROUP BY part, e),
+b3 AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b2 b LEFT JOIN n2 n ON n.part = b.part AND n.e = b.e),
+a3 AS MATERIALIZED (SELECT r, p.part, any_value(q) AS q, min(list_sum(list_transform(list_zip(q, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 256 + e) AS best FROM p JOIN b3 b ON b.part = p.part GROUP BY r, p.part),
+s3 AS (SELECT part, e, i, floor(sum(x) / count(*))::BIGINT AS m FROM (SELECT part, best % 256 AS e, unnest(q) AS x, unnest(range(len(q))) AS i FROM a3) GROUP BY part, e, i),
+n3 AS (SELECT part, e, list(m ORDER BY i) AS c FROM s3 GROUP BY part, e),
+b4 AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b3 b LEFT JOIN n3 n ON n.part = b.part AND n.e = b.e),
+a4 AS MATERIALIZED (SELECT r, p.part, any_value(q) AS q, min(list_sum(list_transform(list_zip(q, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT * 256 + e) AS best FROM p JOIN b4 b ON b.part = p.part GROUP BY r, p.part),
+o AS (SELECT r, string_agg(lpad(to_hex(best % 256), 2, '0'), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a4 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b4)
+SELECT vec_id, lower(code) AS code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN o ON o.r = v.r, h""",
 }
