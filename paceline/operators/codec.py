@@ -1,12 +1,15 @@
-"""Compact columns: scaled integers as first or second differences, and their way back."""
+"""Columns as scaled integers where these give every value back, chunk numbers, and chunks as rows. Compact columns are in compact.py."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIVISORS = (1, 10, 100, 1_000, 10_000, 100_000, 1_000_000)
 SAFE = 2**53 - 1
+LARGEST_SCALED = 9e15
 CHUNK = 5_000
 
 
@@ -24,54 +27,27 @@ def scaled(values: DataFrame, divisors: DataFrame, by: list[str], column: str =
     return values.join(divisors, by).withColumn("i", F.floor(F.col(column) * F.col("divisor") + 0.5).cast("long"))
 
 
-def differences(points: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
-    """points (by, order, i) with d1 and d2: first and second differences; the first entries are the values themselves."""
-    w = Window.partitionBy(*by).orderBy(order)
-    x = points.withColumn("d1", F.col("i") - F.coalesce(F.lag("i").over(w), F.lit(0)))
-    return x.withColumn("d2", F.when(F.row_number().over(w) <= 1, F.col("d1")).when(F.row_number().over(w) == 2, F.col("d1")).otherwise(F.col("d1") - F.lag("d1").over(w)))
-
-
-def encode(points: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
-    """by, o (1 or 2, the cheaper order of differences) and d (their list)."""
-    x = differences(points, by, order)
-    cost = x.groupBy(*by).agg(
-        F.sum(F.abs("d1")).alias("c1"), F.sum(F.abs("d2")).alias("c2"), F.transform(F.sort_array(F.collect_list(F.struct(order, "d1", "d2"))), lambda r: r["d1"]).alias("l1"),
-        F.transform(F.sort_array(F.collect_list(F.struct(order, "d1", "d2"))), lambda r: r["d2"]).alias("l2"),
-    )
-    second = F.col("c2") < F.col("c1")
-    return cost.select(*by, F.when(second, 2).otherwise(1).alias("o"), F.when(second, F.col("l2")).otherwise(F.col("l1")).alias("d"))
-
-
-def decoded(d: Column, o: Column) -> Column:
-    """The integers of a list of differences of order o."""
-
-    def running(a: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("all"))
-        return F.aggregate(a, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all")), lambda acc: acc["all"])
-
-    first = F.slice(d, 1, 1)
-    # the first entry is no difference of differences: it is added again after the inner sums
-    second = F.when(F.size(d) > 1, F.concat(first, running(F.slice(d, F.lit(2), F.greatest(F.size(d) - 1, F.lit(0))))))
-    return running(F.when(o == 2, F.coalesce(second, d)).otherwise(d))
-
+def divisors(points: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by and for each column <column>_m: its least exact divisor among the group's values (1 without values), or null."""
+    whole = lambda c, m: F.min(F.coalesce((F.floor(F.col(c) * m + 0.5) / F.lit(float(m)) == F.col(c)) & (F.abs(F.col(c) * m) <= LARGEST_SCALED), F.lit(True)))
+    out = points.groupBy(*by).agg(*(whole(c, m).alias(f"_{c}_{m}") for c in columns for m in DIVISORS))
+    return out.select(*by, *(F.coalesce(*(F.when(F.col(f"_{c}_{m}"), m) for m in DIVISORS)).alias(f"{c}_m") for c in columns))
 
-def column_values(c: Column) -> Column:
-    """The doubles of a compact column STRUCT<m, o, d, x, r>: raw values, or sums of differences over m with nulls at x."""
-    values = F.transform(decoded(c["d"], c["o"]), lambda i: i.cast("double") / c["m"])
-    nulls = F.coalesce(c["x"], F.array().cast("array<int>"))
 
-    def place(i: Column) -> Column:
-        """Entry i of the column: null where x lists it, else the next value."""
-        return F.when(F.array_contains(nulls, i), F.lit(None)).otherwise(F.get(values, (i - F.size(F.filter(nulls, lambda n: n < i))).cast("int")))
+def stored(points: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """points as they are stored: instead of each column, <column>_i (integers) and <column>_m where the group's values are exact short decimals, else the column.
 
-    n = F.size(c["d"]) + F.size(nulls)
-    with_nulls = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), place))
-    return F.when(c["r"].isNotNull(), c["r"]).when(F.size(nulls) == 0, values).otherwise(with_nulls)
+    Integers of slowly changing values take few bytes in Parquet, and the divisor, one value a group, next to none.
+    """
+    x = points.join(divisors(points, by, columns), by)
+    scaled_columns = {f"{c}_i": F.when(F.col(f"{c}_m").isNotNull(), F.floor(F.col(c) * F.col(f"{c}_m") + 0.5).cast("long")) for c in columns}
+    return x.withColumns(scaled_columns).withColumns({c: F.when(F.col(f"{c}_m").isNull(), F.col(c)) for c in columns})
 
 
-def decode_column(chunks: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """keys, pos, v of chunks with a compact column."""
-    return chunks.select(*keys, F.posexplode(column_values(F.col(column))).alias("pos", "v"))
+def restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """What stored() was given, of the columns that are asked for; the others' integers and divisors are not read."""
+    x = rows.withColumns({c: F.coalesce(F.col(f"{c}_i").cast("double") / F.col(f"{c}_m"), F.col(c)) for c in columns})
+    return x.select(*(c for c in rows.columns if c in columns or not re.fullmatch(r"(.+)_[im]", c) or re.sub(r"_[im]$", "", c) not in rows.columns))
 
 
 def chunk_number(by: list[str], order: str, size: int = CHUNK) -> Column:

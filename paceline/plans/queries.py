@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paceline.functions import physics
 from paceline.functions.clock import local_day, monday, wall_ms
 from paceline.functions.numbers import half_up, hms, normal_cdf, pace, tidy
-from paceline.operators import asof, codec, daily, dedup, device, folds, intervals, product, selection, series
+from paceline.operators import asof, codec, compact, daily, dedup, device, folds, intervals, product, selection, series
 
 HOUR, DAY = 3_600_000, 86_400_000
 QUERIES: dict = {}
@@ -350,10 +350,11 @@ def column_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {R} SELECT subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY t) - 1 AS INT) AS pos, CAST(floor(v * 100 + 0.5) AS BIGINT) AS i FROM r")
 def delta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded as the cheaper differences, then decoded."""
-    r = readings(spark, sf_dir).withColumn("pos", F.row_number().over(Window.partitionBy("subject").orderBy("t")) - 1).withColumn("i", cents(F.col("v")))
-    x = codec.encode(r, ["subject"])
-    return x.select("subject", F.posexplode(codec.decoded(F.col("d"), F.col("o"))).alias("pos", "i"))
+    """Encoded in chunks as the cheaper differences, then decoded."""
+    r = readings(spark, sf_dir).withColumn("i", cents(F.col("v")))
+    x = compact.encode(r, ["subject"], "t", {"i": compact.exact()}, 50)
+    back = compact.unpacked(x, ["subject", "chunk"], ["t"], ["i"], compact.SAFE).select("subject", "chunk", F.posexplode("i").alias("pos", "i"))
+    return back.select("subject", (F.col("chunk") * 50 + F.col("pos")).alias("pos"), F.col("i").cast("long").alias("i"))
 
 
 @query(f"""WITH {R}, x AS (SELECT kind, (t // 3600000) % 24 AS hour, CAST(floor(v * 100 + 0.5) AS BIGINT) AS y FROM r),

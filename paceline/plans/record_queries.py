@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from paceline.functions import clock, physics
 from paceline.functions.numbers import coefficient_of_variation, goal_seconds, half_up, pace, percentile_rank_value, tidy
-from paceline.operators import codec, daily, dedup, device, intervals, selection, series
+from paceline.operators import codec, compact, daily, dedup, device, intervals, selection, series
 from paceline.plans import health, workouts
 from paceline.plans.queries import DAY, HOUR, ORACLES, QUERIES, R, cents, query, readings, up
-from paceline.sources import maintenance, tables
+from paceline.sources import maintenance, shared, tables
 from paceline.streaming.ingest import live_minutes
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -156,6 +156,38 @@ def unscaled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("id", (F.col("i") * 100 / F.col("divisor")).cast("long").alias("i"), selection.unscaled(F.col("i"), F.col("divisor")).alias("back"))
 
 
+def _divided(v: str) -> str:
+    return f"CASE {' '.join(f'WHEN bool_and(floor({v} * {m} + 0.5) / {m}.0::DOUBLE = {v}) THEN {m}' for m in codec.DIVISORS)} END"
+
+
+@query(f"""WITH {R}, g AS (SELECT subject, kind, {_divided('v')} AS v_m, {_divided('(v / 3.0::DOUBLE)')} AS alt_m FROM r GROUP BY 1, 2)
+SELECT r.subject, r.kind, t, v, v / 3.0::DOUBLE AS alt, v_m, alt_m FROM r JOIN g ON g.subject = r.subject AND g.kind = r.kind""")
+def stored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as integers where these give every value of a stream back, and read again."""
+    r = readings(spark, sf_dir).select("subject", "kind", "t", "v", (F.col("v") / 3.0).alias("alt"))
+    path = f"{shared.new_folder(spark, 'streams')}/points"
+    tables.append(codec.stored(r, ["subject", "kind"], ["v", "alt"]), path, ["kind"], ["subject", "t"])
+    rows = spark.read.parquet(path)
+    return codec.restored(rows.withColumns({"m1": F.col("v_m"), "m2": F.col("alt_m")}), ["v", "alt"]).select("subject", "kind", "t", "v", "alt", F.col("m1").alias("v_m"), F.col("m2").alias("alt_m"))
+
+
+@query(f"""WITH {R}, c AS (SELECT subject, kind, v, row_number() OVER w AS n, (row_number() OVER w - 1) // 20 AS chunk FROM r WINDOW w AS (PARTITION BY subject, kind ORDER BY t, v)),
+x AS (SELECT *, CAST(floor(v * m + 0.5) AS BIGINT) AS q FROM c, (SELECT unnest([1, 10, 100]) AS m)),
+e AS (SELECT *, row_number() OVER w AS p, q - coalesce(lag(q) OVER w, 0) AS d1 FROM x WINDOW w AS (PARTITION BY subject, kind, chunk, m ORDER BY n)),
+f AS (SELECT *, CASE WHEN p <= 2 THEN d1 ELSE d1 - lag(d1) OVER (PARTITION BY subject, kind, chunk, m ORDER BY n) END AS d2 FROM e),
+s AS (SELECT subject, kind, chunk, m, count(*) AS n, bool_and(q / m::DOUBLE = v) AS exact, bool_and(abs(q / m::DOUBLE - v) <= 0.05) AS good, coalesce(sum(abs(d2)) FILTER (p > 2), 0) < coalesce(sum(abs(d1)) FILTER (p > 2), 0) AS second,
+  sum(length(CAST(d1 AS VARCHAR)) + 1) AS l1, sum(length(CAST(d2 AS VARCHAR)) + 1) AS l2, sum(CAST(floor(q / m::DOUBLE * 100 + 0.5) AS BIGINT))::BIGINT AS total FROM f GROUP BY 1, 2, 3, 4),
+y AS (SELECT *, (CASE WHEN second THEN l2 ELSE l1 END)::BIGINT AS characters, min(CASE WHEN exact THEN m END) OVER (PARTITION BY subject, kind, chunk) AS em FROM s)
+SELECT subject, kind, chunk::INT AS chunk, n, m::BIGINT AS m, CASE WHEN second THEN 2 ELSE 1 END AS o, characters, total FROM y WHERE good QUALIFY row_number() OVER (PARTITION BY subject, kind, chunk ORDER BY characters, m <> em, m) = 1""")
+def compact_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of a stream by the plan of fewest characters that is off by 0.05 at most; total: what they decode to, in hundredths."""
+    x = compact.encode(readings(spark, sf_dir), ["subject", "kind"], "t", {"v": compact.within(0.05)}, 20)
+    x = x.select("*", F.col("v.m").alias("m"), F.col("v.o").alias("o"), (F.length(F.array_join(F.col("v.d").cast("array<string>"), ",")) + 1).cast("long").alias("characters"), F.col("n").alias("points"))
+    back = compact.unpacked(x, ["subject", "kind", "chunk", "points", "m", "o", "characters"], ["t"], ["v"], compact.SAFE)
+    total = F.aggregate("v", F.lit(0).cast("long"), lambda a, b: a + cents(b))
+    return back.select("subject", "kind", "chunk", F.col("points").alias("n"), "m", "o", "characters", total.alias("total"))
+
+
 @query(f"WITH {R} SELECT kind, id, ((row_number() OVER (PARTITION BY kind ORDER BY id) - 1) // 250)::INT AS chunk FROM r")
 def chunk_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings(spark, sf_dir).select("kind", "id", codec.chunk_number(["kind"], "id", 250).alias("chunk"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.clock import DAY_MS, local_day, valid_day
-from paceline.operators import codec
+from paceline.operators import codec, compact
 from paceline.operators.intervals import merge
 
 #: Limits and names of the upload format.
@@ -76,10 +76,10 @@ def records(lines: DataFrame, heads: DataFrame, kinds: dict[str, tuple[str, ...]
         F.when(F.col("k") == "w", name_ok(one("id")) & times & number("act").isNotNull())
         .when(F.col("k") == "d", name_ok(one("id")))
         .when(F.col("k") == "day", valid_day(one("day")) & F.try_parse_json(one("m")).isNotNull())
-        .when(F.col("k") == "ws", name_ok(one("wid")) & one("st").rlike("^[A-Za-z0-9_]{1,60}$") & number("gen").between(0, MAX_EPOCH_MS) & one("t").isNotNull())
+        .when(F.col("k") == "ws", name_ok(one("wid")) & one("st").rlike("^[A-Za-z0-9_]{1,60}$") & number("gen").between(0, MAX_EPOCH_MS) & _good_chunk("t", (), STREAM_COLUMNS))
         .when(F.col("k") == "wd", name_ok(one("wid")) & number("gen").isNotNull() & one("expected").isNotNull())
-        .when(F.col("k") == "hs", one("st").isNotNull() & one("t").isNotNull())
-        .when(F.col("k") == "ev", one("ty").isNotNull() & one("s").isNotNull())
+        .when(F.col("k") == "hs", one("st").isNotNull() & _good_chunk("t", (), ("v", "lo", "hi")))
+        .when(F.col("k") == "ev", one("ty").isNotNull() & _good_chunk("s", ("e",), ("v", "v2", "c"), ("ids", "meta")))
         .when(F.col("k") == "c", one("t").isNotNull() & number("at").between(0, MAX_EPOCH_MS) & one("cu").isin("true", "false"))
     )
     problem = F.when(F.try_parse_json("value").isNull(), "not JSON").when(~F.coalesce(allowed, F.lit(False)), "kind not allowed").when(~F.coalesce(good, F.lit(False)), "bad record")
@@ -93,17 +93,35 @@ def _rows(x: DataFrame, **columns: Column) -> DataFrame:
     return x.select(*(base.get(c, F.lit(None)).cast(_ROW_TYPES[c]).alias(c) for c in ROW))
 
 
-def _decoded(x: DataFrame, time: str, values: tuple[str, ...], keep: list[str]) -> DataFrame:
-    """keep, t and values of chunk records, plain (arrays) or compact (enc = 1)."""
-    plain_schema = f"{time} array<long>, " + ", ".join(f"{v} array<double>" for v in values)
-    column = "struct<m:long,o:int,d:array<long>,x:array<int>,r:array<double>>"
-    packed_schema = ", ".join(f"{v} {column}" for v in (time, *values))
-    compact = F.coalesce(F.get_json_object("value", "$.enc") == "1", F.lit(False))
-    plain = x.filter(~compact).select(*keep, F.from_json("value", plain_schema).alias("p")).select(*keep, "p.*")
-    packed = x.filter(compact).select(*keep, F.from_json("value", packed_schema).alias("p")).select(*keep, "p.*").filter(F.col(time).isNotNull())
-    unpacked = packed.select(*keep, F.transform(codec.column_values(F.col(time)), lambda t: t.cast("long")).alias(time), *(codec.column_values(F.col(v)).alias(v) for v in values))
-    both = plain.unionByName(unpacked).filter(F.size(time) <= MAX_POINTS)
-    return codec.rows_of_chunks(both, keep, time, list(values))
+def _decoded(x: DataFrame, time: str, times: tuple[str, ...], values: tuple[str, ...], keep: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
+    """keep, t, and further times, values and lists of chunk records, plain (arrays) or compact (enc = 1)."""
+    plain_schema = ", ".join([f"{c} array<long>" for c in (time, *times)] + [f"{c} array<double>" for c in values])
+    packed_schema = ", ".join(["n long", *(f"{c} {compact.COLUMN}" for c in (time, *times, *values))])
+    is_compact = F.coalesce(F.get_json_object("value", "$.enc") == "1", F.lit(False))
+    if lists:
+        x = x.withColumn("_l", F.from_json("value", ", ".join(f"{c} array<string>" for c in lists))).select("*", *(F.col(f"_l.{c}").alias(c) for c in lists)).drop("_l")
+    keys = [*keep, *lists]
+    plain = x.filter(~is_compact).select(*keys, F.from_json("value", plain_schema).alias("p")).select(*keys, "p.*")
+    packed = x.filter(is_compact).select(*keys, F.from_json("value", packed_schema).alias("p")).select(*keys, "p.*").filter(F.col(time).isNotNull() & (F.col("n") <= MAX_POINTS))
+    both = plain.unionByName(compact.unpacked(packed, keys, [time, *times], list(values), MAX_EPOCH_MS)).filter(F.size(time) <= MAX_POINTS)
+    return codec.rows_of_chunks(both, keep, time, [*times, *values, *lists])
+
+
+def _good_chunk(time: str, times: tuple[str, ...], values: tuple[str, ...], lists: tuple[str, ...] = ()) -> Column:
+    """Whether the columns of a chunk record fit together and decode."""
+    given = lambda c: F.get_json_object("value", f"$.{c}").isNotNull()
+    columns = (*times, *values)
+    p = F.from_json("value", ", ".join(["n long", *(f"{c} {compact.COLUMN}" for c in (time, *columns))]))
+    q = F.from_json("value", ", ".join(["n long", f"{time} array<long>", *(f"{c} array<long>" for c in times), *(f"{c} array<double>" for c in values), *(f"{c} array<string>" for c in lists)]))
+    packed = p["n"].between(1, MAX_POINTS) & compact.sound(p[time], p["n"], True, MAX_EPOCH_MS)
+    plain = q["n"].isNull() & (F.size(q[time]) <= MAX_POINTS) & F.forall(q[time], lambda t: t.isNotNull() & t.between(0, MAX_EPOCH_MS))
+    for c in columns:
+        packed &= ~given(c) | compact.sound(p[c], p["n"], c in times, MAX_EPOCH_MS)
+        plain &= ~given(c) | (F.size(q[c]) == F.size(q[time]))
+    for c in lists:
+        packed &= ~given(c) | (F.size(q[c]) == p["n"])
+        plain &= ~given(c) | (F.size(q[c]) == F.size(q[time]))
+    return F.coalesce(F.when(F.get_json_object("value", "$.enc") == "1", packed).otherwise(plain), F.lit(False))
 
 
 _HEAD = ["subject", "type", "k", "seq", "batchId", "reconcileId"]
@@ -117,15 +135,10 @@ def rows(good: DataFrame) -> DataFrame:
     day_ms = F.datediff(F.try_to_date(one("day"), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).cast("long") * DAY_MS
     days = _rows(good.filter("k = 'day'"), id=one("day"), s=day_ms, e=day_ms + DAY_MS, extra=F.concat(F.lit('{"m":'), one("m"), F.lit("}")))
     h = good.filter("k = 'hs'").withColumns({"st": one("st"), "u": one("u")})
-    h = _decoded(h, "t", ("v", "lo", "hi"), [*_HEAD, "st", "u"])
+    h = _decoded(h, "t", (), ("v", "lo", "hi"), [*_HEAD, "st", "u"])
     hours = _rows(h, s=F.col("t"), e=F.col("t") + 3_600_000, v=F.col("v"), v2=F.col("lo"), v3=F.col("hi"), u=F.col("u"), agg=F.col("st"))
-    column = "struct<m:long,o:int,d:array<long>,x:array<int>,r:array<double>>"
-    parsed = lambda schema: F.from_json("value", schema)
-    plain = "s array<long>, e array<long>, v array<double>, v2 array<double>, c array<double>, ids array<string>, meta array<string>"
-    e = good.filter("k = 'ev'").select(*_HEAD, *(one(c).alias(c) for c in ("ty", "u", "src", "bid")), (one("enc") == "1").alias("enc"), parsed(plain).alias("p"), parsed(", ".join(f"{c} {column}" for c in ("s", "e", "v", "v2", "c"))).alias("q"))
-    value = lambda c, kind: F.when(F.col("enc"), codec.column_values(F.col(f"q.{c}"))).otherwise(F.col(f"p.{c}").cast("array<double>")).cast(kind).alias(c)
-    e = e.select(*_HEAD, "ty", "u", "src", "bid", value("s", "array<long>"), value("e", "array<long>"), *(value(c, "array<double>") for c in ("v", "v2", "c")), "p.ids", "p.meta")
-    both = codec.rows_of_chunks(e.filter(F.size("s") <= MAX_POINTS), [*_HEAD, "ty", "u", "src", "bid"], "s", ["e", "v", "v2", "c", "ids", "meta"])
+    e = good.filter("k = 'ev'").withColumns({c: one(c) for c in ("ty", "u", "src", "bid")})
+    both = _decoded(e, "s", ("e",), ("v", "v2", "c"), [*_HEAD, "ty", "u", "src", "bid"], ("ids", "meta"))
     events = _rows(both, id=F.col("ids"), s=F.col("t"), e=F.coalesce("e", "t"), v=F.col("v"), v2=F.col("v2"), c=F.col("c"), u=F.col("u"), agg=F.col("ty"), src=F.col("src"), bid=F.col("bid"), extra=F.col("meta")).filter("e >= s")
     return workouts.unionByName(days).unionByName(hours).unionByName(events).withColumn("month", F.date_format(local_day(F.col("s")), "yyyy-MM"))
 
@@ -134,7 +147,7 @@ def stream_points(good: DataFrame) -> DataFrame:
     """subject, wid, stream, gen, batch, unit, t and the value columns of raw streams."""
     one = lambda name: F.get_json_object("value", f"$.{name}")
     x = good.filter("k = 'ws'").select("subject", "value", F.col("batchId").alias("batch"), one("wid").alias("wid"), one("st").alias("stream"), one("gen").try_cast("long").alias("gen"), one("u").alias("unit"))
-    return _decoded(x, "t", STREAM_COLUMNS, ["subject", "wid", "stream", "gen", "batch", "unit"])
+    return _decoded(x, "t", (), STREAM_COLUMNS, ["subject", "wid", "stream", "gen", "batch", "unit"])
 
 
 def marks(good: DataFrame) -> DataFrame:

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.clock import local_day
-from paceline.operators import dedup
-from paceline.sources.batches import ROW_SCHEMA
+from paceline.operators import codec, dedup
+from paceline.sources.batches import ROW_SCHEMA, STREAM_COLUMNS
+
+POINT_KEYS = ("subject string", "wid string", "stream string", "gen long", "batch string", "unit string")
+POINT_SCHEMA = ", ".join([*POINT_KEYS, "t long", *(f"{c} double, {c}_i long, {c}_m int" for c in STREAM_COLUMNS)])
+
+
+#: zstd, and the second version of the format, which stores integers as differences.
+PARQUET = {"compression": "zstd", "parquet.writer.version": "PARQUET_2_0"}
 
 
 def append(df: DataFrame, path: str, partitions: list[str], sort: list[str]) -> None:
     """Append df, sorted within its files; rows of one partition of the table meet before, in tasks of even size."""
     if partitions:
         df = df.hint("rebalance", *partitions)
-    df.sortWithinPartitions(*partitions, *sort).write.mode("append").partitionBy(*partitions).option("compression", "zstd").parquet(path)
+    df.sortWithinPartitions(*partitions, *sort).write.mode("append").partitionBy(*partitions).options(**PARQUET).parquet(path)
 
 
 def replace_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
@@ -38,6 +45,14 @@ def read_rows(spark: SparkSession, store: str, kind: str, start_ms: int | None =
     return x
 
 
+def read_points(spark: SparkSession, store: str, columns: list[str] | None = None) -> DataFrame:
+    """Published points of raw streams as doubles, whatever they are stored as; all value columns, or those that are named."""
+    columns = list(STREAM_COLUMNS) if columns is None else columns
+    rows = published(spark, store, "points", POINT_SCHEMA)
+    keys = [f.split()[0] for f in POINT_KEYS]
+    return codec.restored(rows, columns).select(*keys, "t", *columns)
+
+
 def current_rows(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     """The latest version of each record that is not deleted, whenever it came."""
     x = dedup.without_deleted(rows, deleted, ["subject", "type"])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
 
+from paceline.operators import codec
 from paceline.sources import batches, tables
 
 
@@ -41,7 +42,8 @@ def publish(lines: DataFrame, store: str) -> dict[str, int]:
     good, aside = batches.records(lines, heads)
     good = good.persist()
     append(batches.rows(good), "rows", ["type", "month"], ["s"])
-    append(batches.stream_points(good), "points", ["stream"], ["subject", "wid", "t"])
+    points = batches.stream_points(good)
+    append(codec.stored(points, ["subject", "wid", "stream", "gen", "batch"], list(batches.STREAM_COLUMNS)), "points", ["stream"], ["subject", "wid", "t"])
     append(batches.tombstones(good), "deleted", ["type"], ["id"])
     append(batches.marks(good), "marks", [], ["wid"])
     append(batches.statuses(good), "statuses", [], ["at"])

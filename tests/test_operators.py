@@ -219,14 +219,7 @@ def test_latest_wins_and_deletions(spark):
     assert {(r.metric, r.value) for r in dedup.latest_metrics(maps, ["k"], ["seq"]).collect()} == {("x", 2.0), ("y", 1.0)}
 
 
-def test_codec_round_trip_and_nulls(spark):
-    rng = random.Random(9)
-    data = [(k, p, v) for k in range(12) for p, v in enumerate(rng.randrange(-500, 500) + 40 * i for i in range(30))]
-    x = codec.encode(spark.createDataFrame(data, "k int, pos int, i long"), ["k"])
-    for r in x.select("k", codec.decoded(F.col("d"), F.col("o")).alias("i")).collect():
-        assert r.i == [v for k, _, v in data if k == r.k]
-    chunk = spark.createDataFrame([(1, (10, 1, [5, 5, 5], [1], None))], "k int, c struct<m:long,o:int,d:array<long>,x:array<int>,r:array<double>>")
-    assert [r.v for r in codec.decode_column(chunk, "c", ["k"]).orderBy("pos").collect()] == [0.5, None, 1.0, 1.5]
+def test_scales(spark):
     scale = codec.exact_divisor(spark.createDataFrame([(1, 0.25), (1, 3.0), (2, 1 / 3)], "k int, v double"), ["k"])
     assert {r.k: r.divisor for r in scale.collect()} == {1: 100, 2: None}
 
