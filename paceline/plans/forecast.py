@@ -327,7 +327,7 @@ def confidence(x: DataFrame) -> DataFrame:
     decoupling = 5 * share("n_decoupling", 2)
     fueling = 5 * share("n_fueled", 2)
     near = F.when(F.col("weeks_to_race") <= 6, 10).when(F.col("weeks_to_race") <= 12, 5).otherwise(0)
-    return x.withColumn("confidence", F.floor(sum((F.coalesce(k, F.lit(0)) for k in (race, continuity, long_runs, coverage, prior, max_hr, decoupling, fueling, near)), F.lit(0.0)) + 0.5))
+    return x.withColumn("confidence", F.floor(sum((half_up(F.coalesce(k, F.lit(0)), 1) for k in (race, continuity, long_runs, coverage, prior, max_hr, decoupling, fueling, near)), F.lit(0.0)) + 0.5))
 
 
 def status(weeks: Column, own_data: Column) -> Column:

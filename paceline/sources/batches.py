@@ -67,7 +67,7 @@ def records(lines: DataFrame, heads: DataFrame, kinds: dict[str, tuple[str, ...]
         allowed |= (F.col("type") == t) & F.col("k").isin(*ks)
     x = lines.filter("length(value) > 0").filter(F.coalesce(F.get_json_object("value", "$.kind"), F.lit("")) != "header")
     x = x.join(heads.filter("problem is null").drop("problem", "n"), "path")
-    x = x.withColumn("k", F.get_json_object("value", "$.k"))
+    x = _parsed_chunks(x.withColumn("k", F.get_json_object("value", "$.k")))
     one = lambda name: F.get_json_object("value", f"$.{name}")
     number = lambda name: one(name).try_cast("long")
     name_ok = lambda c: c.rlike("^[0-9A-Za-z_-]{1,64}$")
@@ -76,14 +76,14 @@ def records(lines: DataFrame, heads: DataFrame, kinds: dict[str, tuple[str, ...]
         F.when(F.col("k") == "w", name_ok(one("id")) & times & number("act").isNotNull())
         .when(F.col("k") == "d", name_ok(one("id")))
         .when(F.col("k") == "day", valid_day(one("day")) & F.try_parse_json(one("m")).isNotNull())
-        .when(F.col("k") == "ws", name_ok(one("wid")) & one("st").rlike("^[A-Za-z0-9_]{1,60}$") & number("gen").between(0, MAX_EPOCH_MS) & _good_chunk("t", (), STREAM_COLUMNS))
+        .when(F.col("k") == "ws", name_ok(one("wid")) & one("st").rlike("^[A-Za-z0-9_]{1,60}$") & number("gen").between(0, MAX_EPOCH_MS) & _good_chunk("ws"))
         .when(F.col("k") == "wd", name_ok(one("wid")) & number("gen").isNotNull() & one("expected").isNotNull())
-        .when(F.col("k") == "hs", one("st").isNotNull() & _good_chunk("t", (), ("v", "lo", "hi")))
-        .when(F.col("k") == "ev", one("ty").isNotNull() & _good_chunk("s", ("e",), ("v", "v2", "c"), ("ids", "meta")))
+        .when(F.col("k") == "hs", one("st").isNotNull() & _good_chunk("hs"))
+        .when(F.col("k") == "ev", one("ty").isNotNull() & _good_chunk("ev"))
         .when(F.col("k") == "c", one("t").isNotNull() & number("at").between(0, MAX_EPOCH_MS) & one("cu").isin("true", "false"))
     )
     problem = F.when(F.try_parse_json("value").isNull(), "not JSON").when(~F.coalesce(allowed, F.lit(False)), "kind not allowed").when(~F.coalesce(good, F.lit(False)), "bad record")
-    x = x.withColumn("problem", problem)
+    x = x.withColumn("problem", problem).drop("_keys", "_p", "_q")
     return x.filter("problem is null").drop("problem"), x.filter("problem is not null").select("path", "value", "problem")
 
 
@@ -93,8 +93,9 @@ def _rows(x: DataFrame, **columns: Column) -> DataFrame:
     return x.select(*(base.get(c, F.lit(None)).cast(_ROW_TYPES[c]).alias(c) for c in ROW))
 
 
-def _decoded(x: DataFrame, time: str, times: tuple[str, ...], values: tuple[str, ...], keep: list[str], lists: tuple[str, ...] = ()) -> DataFrame:
-    """keep, t, and further times, values and lists of chunk records, plain (arrays) or compact (enc = 1)."""
+def _decoded(x: DataFrame, kind: str, keep: list[str]) -> DataFrame:
+    """keep, t, and the further columns of a kind of chunk records, plain (arrays) or compact (enc = 1)."""
+    time, times, values, lists = CHUNKS[kind]
     plain_schema = ", ".join([f"{c} array<long>" for c in (time, *times)] + [f"{c} array<double>" for c in values])
     packed_schema = ", ".join(["n long", *(f"{c} {compact.COLUMN}" for c in (time, *times, *values))])
     is_compact = F.coalesce(F.get_json_object("value", "$.enc") == "1", F.lit(False))
@@ -107,21 +108,36 @@ def _decoded(x: DataFrame, time: str, times: tuple[str, ...], values: tuple[str,
     return codec.rows_of_chunks(both, keep, time, [*times, *values, *lists])
 
 
-def _good_chunk(time: str, times: tuple[str, ...], values: tuple[str, ...], lists: tuple[str, ...] = ()) -> Column:
+#: Time, further times, values and lists of each kind of chunk.
+CHUNKS = {"ws": ("t", (), STREAM_COLUMNS, ()), "hs": ("t", (), ("v", "lo", "hi"), ()), "ev": ("s", ("e",), ("v", "v2", "c"), ("ids", "meta"))}
+
+
+def _parsed_chunks(x: DataFrame) -> DataFrame:
+    """x with _keys, _p and _q: the names in a chunk record, and its columns read as compact and as plain ones, each parsed once."""
+    times = sorted({c for t, more, _, _ in CHUNKS.values() for c in (t, *more)})
+    values, lists = (sorted({c for kind in CHUNKS.values() for c in kind[i]}) for i in (2, 3))
+    packed = ", ".join(["n long", *(f"{c} {compact.COLUMN}" for c in (*times, *values))])
+    plain = ", ".join(["n long", *(f"{c} array<long>" for c in times), *(f"{c} array<double>" for c in values), *(f"{c} array<string>" for c in lists)])
+    chunk = F.col("k").isin(*CHUNKS)
+    is_compact = F.get_json_object("value", "$.enc") == "1"
+    return x.withColumns({"_keys": F.when(chunk, F.json_object_keys("value")), "_p": F.when(chunk & is_compact, F.from_json("value", packed)), "_q": F.when(chunk, F.from_json("value", plain))})
+
+
+def _good_chunk(kind: str) -> Column:
     """Whether the columns of a chunk record fit together and decode."""
-    given = lambda c: F.get_json_object("value", f"$.{c}").isNotNull()
-    columns = (*times, *values)
-    p = F.from_json("value", ", ".join(["n long", *(f"{c} {compact.COLUMN}" for c in (time, *columns))]))
-    q = F.from_json("value", ", ".join(["n long", f"{time} array<long>", *(f"{c} array<long>" for c in times), *(f"{c} array<double>" for c in values), *(f"{c} array<string>" for c in lists)]))
-    packed = p["n"].between(1, MAX_POINTS) & compact.sound(p[time], p["n"], True, MAX_EPOCH_MS)
-    plain = q["n"].isNull() & (F.size(q[time]) <= MAX_POINTS) & F.forall(q[time], lambda t: t.isNotNull() & t.between(0, MAX_EPOCH_MS))
-    for c in columns:
-        packed &= ~given(c) | compact.sound(p[c], p["n"], c in times, MAX_EPOCH_MS)
-        plain &= ~given(c) | (F.size(q[c]) == F.size(q[time]))
+    time, times, values, lists = CHUNKS[kind]
+    p, q, n = F.col("_p"), F.col("_q"), F.coalesce("_p.n", F.size(F.col(f"_q.{time}")).cast("long"))
+    present = lambda c: F.array_contains("_keys", c)
+    entries = lambda names, of: F.array(*(F.struct(present(c).alias("given"), of[c].alias("c")) for c in names))
+    sound = lambda whole: lambda e: ~e["given"] | compact.sound(e["c"], n, whole, MAX_EPOCH_MS)
+    packed = n.between(1, MAX_POINTS) & F.forall(F.array(F.struct(F.lit(True).alias("given"), p[time].alias("c")), *(F.struct(present(c).alias("given"), p[c].alias("c")) for c in times)), sound(True)) & F.forall(entries(values, p), sound(False))
+    plain = q["n"].isNull() & (n <= MAX_POINTS) & F.forall(q[time], lambda t: t.isNotNull() & t.between(0, MAX_EPOCH_MS))
+    equal = F.lit(True)
     for c in lists:
-        packed &= ~given(c) | (F.size(q[c]) == p["n"])
-        plain &= ~given(c) | (F.size(q[c]) == F.size(q[time]))
-    return F.coalesce(F.when(F.get_json_object("value", "$.enc") == "1", packed).otherwise(plain), F.lit(False))
+        equal &= ~present(c) | (F.size(q[c]) == n)
+    for c in (*times, *values):
+        plain &= ~present(c) | (F.size(q[c]) == n)
+    return F.coalesce(equal & F.when(p.isNotNull(), packed).otherwise(plain), F.lit(False))
 
 
 _HEAD = ["subject", "type", "k", "seq", "batchId", "reconcileId"]
@@ -135,10 +151,10 @@ def rows(good: DataFrame) -> DataFrame:
     day_ms = F.datediff(F.try_to_date(one("day"), "yyyy-MM-dd"), F.lit("1970-01-01").cast("date")).cast("long") * DAY_MS
     days = _rows(good.filter("k = 'day'"), id=one("day"), s=day_ms, e=day_ms + DAY_MS, extra=F.concat(F.lit('{"m":'), one("m"), F.lit("}")))
     h = good.filter("k = 'hs'").withColumns({"st": one("st"), "u": one("u")})
-    h = _decoded(h, "t", (), ("v", "lo", "hi"), [*_HEAD, "st", "u"])
+    h = _decoded(h, "hs", [*_HEAD, "st", "u"])
     hours = _rows(h, s=F.col("t"), e=F.col("t") + 3_600_000, v=F.col("v"), v2=F.col("lo"), v3=F.col("hi"), u=F.col("u"), agg=F.col("st"))
     e = good.filter("k = 'ev'").withColumns({c: one(c) for c in ("ty", "u", "src", "bid")})
-    both = _decoded(e, "s", ("e",), ("v", "v2", "c"), [*_HEAD, "ty", "u", "src", "bid"], ("ids", "meta"))
+    both = _decoded(e, "ev", [*_HEAD, "ty", "u", "src", "bid"])
     events = _rows(both, id=F.col("ids"), s=F.col("t"), e=F.coalesce("e", "t"), v=F.col("v"), v2=F.col("v2"), c=F.col("c"), u=F.col("u"), agg=F.col("ty"), src=F.col("src"), bid=F.col("bid"), extra=F.col("meta")).filter("e >= s")
     return workouts.unionByName(days).unionByName(hours).unionByName(events).withColumn("month", F.date_format(local_day(F.col("s")), "yyyy-MM"))
 
@@ -147,7 +163,7 @@ def stream_points(good: DataFrame) -> DataFrame:
     """subject, wid, stream, gen, batch, unit, t and the value columns of raw streams."""
     one = lambda name: F.get_json_object("value", f"$.{name}")
     x = good.filter("k = 'ws'").select("subject", "value", F.col("batchId").alias("batch"), one("wid").alias("wid"), one("st").alias("stream"), one("gen").try_cast("long").alias("gen"), one("u").alias("unit"))
-    return _decoded(x, "t", (), STREAM_COLUMNS, ["subject", "wid", "stream", "gen", "batch", "unit"])
+    return _decoded(x, "ws", ["subject", "wid", "stream", "gen", "batch", "unit"])
 
 
 def marks(good: DataFrame) -> DataFrame:
