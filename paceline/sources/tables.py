@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.clock import local_day
 from paceline.operators import codec, dedup
+from paceline.sources import log
 from paceline.sources.batches import ROW_SCHEMA, STREAM_COLUMNS
 
 POINT_KEYS = ("subject string", "wid string", "stream string", "gen long", "batch string", "unit string")
@@ -30,9 +33,15 @@ def replace_partitions(df: DataFrame, path: str, partitions: list[str]) -> None:
 
 
 def published(spark: SparkSession, store: str, name: str, schema: str | None = None) -> DataFrame:
-    """A table of a store: the rows of publications that were completed. One that failed on its way left rows that nobody sees."""
+    """A table of a store: the rows of publications that the store's log holds. One that failed on its way left rows that nobody sees.
+
+    Of rows, a partition that was rewritten counts in its latest form, with what came after.
+    """
     x = spark.read.schema(f"{schema}, publication string") if schema else spark.read
-    return x.parquet(f"{store}/{name}").join(spark.read.schema("publication string").parquet(f"{store}/publications"), "publication", "left_semi").drop("publication")
+    x = x.parquet(f"{store}/{name}").join(log.published(spark, store), "publication")
+    if name == "rows":
+        x = x.join(log.retired(spark, store), ["type", "month"], "left").filter(F.col("by").isNull() | (F.col("number") > F.col("upto")) | (F.col("publication") == F.col("by"))).drop("upto", "by")
+    return x.drop("publication", "number")
 
 
 def read_rows(spark: SparkSession, store: str, kind: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
@@ -69,10 +78,55 @@ def compacted(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return dedup.latest(others, ["subject", "type", dedup.row_key()], ["seq", "batch"]).unionByName(kept.select(others.columns))
 
 
-def fragmented(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
-    """type, month, files of partitions with more files than that."""
-    x = spark.read.parquet(path).select("type", "month", F.col("_metadata.file_path").alias("f")).distinct()
-    return x.groupBy("type", "month").agg(F.count("*").alias("files")).filter(F.col("files") > files)
+def files_of(spark: SparkSession, store: str) -> DataFrame:
+    """type, month, publication, number, path, bytes of the files of rows that count."""
+    x = spark.read.schema(f"{ROW_SCHEMA}, publication string").parquet(f"{store}/rows").select("type", "month", "publication", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).distinct()
+    x = x.join(log.published(spark, store), "publication").join(log.retired(spark, store), ["type", "month"], "left")
+    return x.filter(F.col("by").isNull() | (F.col("number") > F.col("upto")) | (F.col("publication") == F.col("by"))).drop("upto", "by")
+
+
+def fragmented(spark: SparkSession, store: str, files: int = 8, bytes_each: int = 64 << 20) -> DataFrame:
+    """type, month, files, bytes of partitions of rows with more files than that, whose mean size is below bytes_each."""
+    x = files_of(spark, store).groupBy("type", "month").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return x.filter((F.col("files") > files) & (F.col("bytes") < F.col("files") * bytes_each))
+
+
+def compact(spark: SparkSession, store: str, files: int = 8) -> int:
+    """Write fragmented partitions of rows anew, without what is superseded or deleted, and let the log take the new form. How many partitions.
+
+    Readers see the old form or the new one, whenever they began; what is published meanwhile counts beside either. Old files stay for readers
+    that began before, until swept() is asked to remove them. Of two compactions of one partition, the one that ends first counts; the other
+    raises log.Taken and leaves nothing to see.
+    """
+    base, publication = log.latest(spark, store), str(uuid.uuid4())
+    chosen = [r.asDict() for r in fragmented(spark, store, files).select("type", "month").collect()]  # partitions, not rows
+    if not chosen:
+        return 0
+    rows = published(spark, store, "rows", ROW_SCHEMA).join(F.broadcast(spark.createDataFrame(chosen, "type string, month string")), ["type", "month"], "left_semi")
+    whole = compacted(rows, published(spark, store, "deleted")).withColumn("publication", F.lit(publication))
+    append(whole, f"{store}/rows", ["type", "month"], ["s"])
+    entry, number = {"kind": "compact", "publication": publication, "upto": base, "partitions": chosen}, base
+    while True:
+        number += 1
+        try:
+            log.put(spark, store, number, entry)
+            return len(chosen)
+        except log.Taken:
+            own = spark.createDataFrame(chosen, "type string, month string")
+            if not log.entries(spark, store, base).filter("kind = 'compact'").select(F.inline("partitions")).join(own, ["type", "month"], "left_semi").isEmpty():
+                raise
+            number = max(number, log.latest(spark, store))
+
+
+def swept(spark: SparkSession, store: str, before_ms: int) -> list[str]:
+    """Remove files of rows that no longer count and are older than that; these paths. Files of publications under way are younger."""
+    x = spark.read.schema(f"{ROW_SCHEMA}, publication string").parquet(f"{store}/rows")
+    old = x.select(F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("at")).distinct().filter(F.col("at") < before_ms)
+    gone = [r.path for r in old.join(files_of(spark, store).select("path"), "path", "left_anti").toLocalIterator()]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, False)
+    return gone
 
 
 def bounded_json(df: DataFrame, limit: int = 60_000) -> str:

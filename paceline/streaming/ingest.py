@@ -1,8 +1,10 @@
 """Live ingest: a file stream over the landing folder, each micro-batch published once.
 
 A batch that was published before is left out by its id, so files that arrive again change nothing. All rows of a micro-batch carry the id of
-its publication, which is written last, as one row: tables.published() reads what completed publications wrote, so a failure on
-the way leaves nothing to see, and the next run writes all of it anew. Late files need no watermark: versions are settled when rows are read.
+its publication, which the store's log takes last: tables.published() reads what publications in the log wrote, so a failure on
+the way leaves nothing to see, and the next run writes all of it anew. Two writers may publish at once: who finds a number of the log taken
+looks whether the other published one of its batches, and begins anew if so. Late files need no watermark: versions are settled
+when rows are read.
 """
 
 from __future__ import annotations
@@ -12,31 +14,43 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
 from paceline.operators import codec
-from paceline.sources import batches, tables
+from paceline.sources import batches, log, tables
 
 
-def _published(spark: SparkSession, store: str) -> DataFrame | None:
-    try:
-        return tables.published(spark, store, "commits").select("subject", "batchId", F.lit(True).alias("done"))
-    except AnalysisException:  # nothing is published yet
+def _batches_after(spark: SparkSession, store: str, after: int = 0) -> DataFrame | None:
+    """subject, batchId of batches whose publication has a larger number; None if there is no such publication."""
+    found = log.entries(spark, store, after).filter("kind = 'publish'").select("publication")
+    if found.isEmpty():
         return None
+    return spark.read.parquet(f"{store}/commits").join(found, "publication", "left_semi").select("subject", "batchId")
 
 
 def publish(lines: DataFrame, store: str) -> dict[str, int]:
     """Parse whole files, append their rows, points, deletions, marks and batches, and publish these. Counts by outcome."""
-    spark, publication = lines.sparkSession, F.lit(str(uuid.uuid4()))
+    lines = lines.persist()
+    try:
+        while True:
+            counts = _publish_once(lines, store)
+            if counts is not None:
+                return counts
+    finally:
+        lines.unpersist()
+
+
+def _publish_once(lines: DataFrame, store: str) -> dict[str, int] | None:
+    """None if another writer published one of the batches meanwhile; what was written then is not in the log."""
+    spark, publication = lines.sparkSession, str(uuid.uuid4())
+    base = log.latest(spark, store)
 
     def append(df: DataFrame, name: str, partitions: list[str], sort: list[str]) -> None:
-        tables.append(df.withColumn("publication", publication), f"{store}/{name}", partitions, sort)
+        tables.append(df.withColumn("publication", F.lit(publication)), f"{store}/{name}", partitions, sort)
 
-    lines = lines.persist()
     heads = batches.headers(lines)
-    before = _published(spark, store)
+    before = _batches_after(spark, store)
     if before is not None:
-        heads = heads.join(before, ["subject", "batchId"], "left").withColumn("problem", F.when(F.col("done"), "published before").otherwise(F.col("problem"))).drop("done")
+        heads = heads.join(before.withColumn("done", F.lit(True)), ["subject", "batchId"], "left").withColumn("problem", F.when(F.col("done"), "published before").otherwise(F.col("problem"))).drop("done")
     first = F.row_number().over(Window.partitionBy("subject", "batchId").orderBy("path")) == 1
     heads = heads.withColumn("problem", F.coalesce("problem", F.when(~first, "published before"))).persist()
     good, aside = batches.records(lines, heads)
@@ -51,12 +65,23 @@ def publish(lines: DataFrame, store: str) -> dict[str, int]:
     kept = good.groupBy("path").agg(F.count("*").alias("kept"))
     done = heads.join(kept, "path", "left").withColumn("problem", F.coalesce("problem", F.when((F.coalesce("kept", F.lit(0)) == 0) & (F.col("n") > 0), "every record was invalid")))
     done = done.persist()
-    append(done.filter("problem is null").drop("problem"), "commits", [], ["batchId"])
-    append(spark.range(0, 1, 1, 1).select(), "publications", [], ["publication"])
+    own = done.filter("problem is null").drop("problem")
+    append(own, "commits", [], ["batchId"])
     counts = {r["outcome"]: r["n"] for r in done.groupBy(F.coalesce("problem", F.lit("published")).alias("outcome")).agg(F.count("*").alias("n")).collect()}
-    for x in (done, good, heads, lines):
+    number, placed = base, False
+    while not placed:
+        number += 1
+        try:
+            log.put(spark, store, number, {"kind": "publish", "publication": publication})
+            placed = True
+        except log.Taken:
+            others = _batches_after(spark, store, base)
+            if others is not None and not own.join(others, ["subject", "batchId"], "left_semi").isEmpty():
+                break
+            number = max(number, log.latest(spark, store))
+    for x in (done, good, heads):
         x.unpersist()
-    return counts
+    return counts if placed else None
 
 
 def start(spark: SparkSession, landing: str, store: str, checkpoint: str, once: bool = True) -> StreamingQuery:

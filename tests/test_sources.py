@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paceline.operators import dedup
 from paceline.plans import health
-from paceline.sources import batches, tables
+from paceline.sources import batches, log, tables
 from paceline.streaming import ingest
 
 
@@ -53,19 +53,25 @@ def test_a_failed_publication_leaves_nothing_double(spark, tmp_path, monkeypatch
     write(landing, "u1", batches.WORKOUT, [workout("a"), "not json"])
     lines = batches.read_lines(spark, str(landing))
     append = tables.append
-    for broken in ("deleted", "commits", "publications"):
+    put = log.put
+    for broken in ("deleted", "commits", "log"):
         def failing(df, path, *more, broken=broken):
             if path.endswith(f"/{broken}"):
                 raise OSError("lost")
             append(df, path, *more)
 
+        def lost(*_):
+            raise OSError("lost")
+
         monkeypatch.setattr(tables, "append", failing)
+        monkeypatch.setattr(log, "put", lost if broken == "log" else put)
         try:
             ingest.publish(lines, store)
             raise AssertionError
         except OSError:
             pass
     monkeypatch.setattr(tables, "append", append)
+    monkeypatch.setattr(log, "put", put)
     assert ingest.publish(lines, store) == {"published": 1}
     assert ingest.publish(lines, store) == {"published before": 1}
     assert [tables.published(spark, store, t).count() for t in ("rows", "aside", "commits")] == [1, 1, 1]
