@@ -13,8 +13,9 @@ different components that share one of their rarest shingles, as similar sets mu
 shingle, and by what they and a group's medoid differ in where many do. So no pair of a bucket that
 could change the result goes unseen, and no bucket is expanded into all its pairs.
 
-Nulls: a null text is an empty one and links with nothing; rows without a doc_id get the component of their set, if any.
-Ties: rows with one doc_id and different texts are one node, with the set whose digest is least. Empty tables give empty results; further columns are not looked at.
+Nulls: a null text is an empty one and links with nothing. Rows without a doc_id are nodes like others and link their neighbours; they get the
+least doc_id of their component, or null if it has none. Ties: rows with one doc_id and different texts are nodes of their own, each with its
+component. Empty tables give empty results; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -116,8 +117,9 @@ def _sets(k: int, keep: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if keep is not None:
-                at = _place(batch.column("doc_id").to_numpy(), 64 * len(keep))
-                batch = batch.filter(pa.array((keep[at >> 6] >> (at & 63) & 1).astype(bool)))
+                ids = batch.column("doc_id")
+                at = _place(ids.fill_null(0).to_numpy(), 64 * len(keep))
+                batch = batch.filter(pa.array((keep[at >> 6] >> (at & 63) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)))
             data, offsets = bytewise.utf8(batch.column("text"))
             for i, j in bytewise.chunks(offsets):
                 sets = list(bytewise.shingle_sets(bytewise.Words(data, offsets[i : j + 1], lower=True), k))
@@ -132,14 +134,16 @@ def _place(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, set_a, set_b, hashes of the documents that nodes name, and maybe of some others.
+    """node, set_a, set_b, hashes of the documents whose ids nodes name, of those without an id if nodes has a null, and maybe of some others.
 
     Up to MAX_FILTER / 16 nodes, a filter of 16 bits or more a node goes to the scan of the texts; beyond, a join by id does.
     """
-    docs, n = docs.filter("doc_id is not null"), nodes.count()
-    keep = None
+    n, named = nodes.agg(F.count("*"), F.count("node")).first()
+    nodes, nameless = nodes.filter("node is not null"), docs.filter("doc_id is null")
+    docs, keep = docs if named < n else docs.filter("doc_id is not null"), None
     if 16 * n > MAX_FILTER:
         docs = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        docs = docs.unionByName(nameless) if named < n else docs
     else:
         bits = 1 << max(16, (16 * n).bit_length())
 
@@ -327,9 +331,10 @@ def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: D
     """node, root of the nodes that are linked to another."""
     # written first: as a table of known size it can be broadcast, and a hot bucket split, where the two meet
     members = scratch.table(nodes_bands.join(scratch.table(shared, "shared"), "key"), "members")
-    wanted = firsts.select(F.col("doc_id").alias("node"), "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi")
-    sets = _full_sets(docs, members.select("node").distinct(), k).join(wanted, ["node", "set_a", "set_b"], "left_semi").dropDuplicates(["node"])
-    sets = scratch.table(sets.select("node", "hashes"), "sets")
+    wanted = scratch.table(firsts.select("node", "doc_id", "set_a", "set_b").join(members.select("node").distinct(), "node", "left_semi"), "wanted")
+    sets = _full_sets(docs, wanted.select(F.col("doc_id").alias("node")).distinct(), k).withColumnRenamed("node", "_id")
+    sets = sets.join(wanted, (F.col("_id").eqNullSafe(F.col("doc_id"))) & (sets["set_a"] == wanted["set_a"]) & (sets["set_b"] == wanted["set_b"]))
+    sets = scratch.table(sets.select("node", "hashes").dropDuplicates(["node"]), "sets")
     stars = members.filter("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
     roots = scratch.table(components(_confirmed(stars, sets, threshold), scratch), "roots")
 
@@ -337,7 +342,7 @@ def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: D
         """The buckets that hold several components, with what a link must meet."""
         x = members.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         several = x.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("key")
-        return scratch.table(x.join(several, "key", "left_semi").join(firsts.select(F.col("doc_id").alias("node"), "n", "bits"), "node"), "open")
+        return scratch.table(x.join(several, "key", "left_semi").join(firsts.select("node", "n", "bits"), "node"), "open")
 
     left = labelled()
     if left.isEmpty():
@@ -361,18 +366,21 @@ def _roots(docs: DataFrame, firsts: DataFrame, nodes_bands: DataFrame, shared: D
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs (doc_id, text); see the head of the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = materialize(text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>"), "sketches")
-    some = sketches.filter("n > 0 and doc_id is not null")
-    nodes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    firsts = some.join(nodes.select("set_a", "set_b", F.col("node").alias("doc_id")), ["set_a", "set_b", "doc_id"], "left_semi")
-    firsts = firsts.groupBy("doc_id").agg(F.min_by(F.struct("n", "set_a", "set_b", "keys", "bits"), F.struct("set_a", "set_b")).alias("r")).select("doc_id", "r.*")
-    nodes_bands = firsts.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
+    sketches = text_batches(docs).mapInArrow(_sketches(k), "doc_id long, n long, set_a long, set_b long, keys array<long>, bits array<long>")
+    sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    # a set is a node, named by one of its rows
+    some = sketches.filter("n > 0")
+    nodes = some.groupBy("set_a", "set_b").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    firsts = some.withColumnRenamed("row", "node").join(nodes.select("node"), "node", "left_semi")
+    nodes_bands = firsts.select("node", F.explode("keys").alias("key"))
     shared = nodes_bands.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("key", "lo")
     with Scratch(docs.sparkSession) as scratch:
-        roots = materialize(_roots(docs, firsts, nodes_bands, shared, k, threshold, scratch), "roots")
-
-    # copies meet their set's root by digest and salt, so that the copies of one text are spread; other documents are their own nodes
-    copied = nodes.filter("copies > 1").join(roots, "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("of_set"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    found = found.join(copied, ["set_a", "set_b", "salt"], "left").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("of_set", "root", "doc_id").alias("component_id"))
+        roots = _roots(docs, firsts, nodes_bands, shared, k, threshold, scratch)
+        least = roots.join(nodes.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
+        linked = materialize(roots.join(least, "root").select("node", "component"), "roots")
+
+    # copies meet their set's component by digest and salt, so that the copies of one text are spread; other documents are their own nodes
+    copied = nodes.filter("copies > 1").join(linked, "node", "left").select("set_a", "set_b", F.coalesce("component", "least").alias("of_set"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = sketches.select("doc_id", F.col("n").alias("n_shingles"), "set_a", "set_b", "row", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    found = found.join(copied, ["set_a", "set_b", "salt"], "left").join(linked.withColumnRenamed("node", "row"), "row", "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("of_set", "component", "doc_id").alias("component_id"))

@@ -885,6 +885,31 @@ def test_repeated_ids_give_one_answer(spark):
     assert {c for d, _, c in first if d in (2, 4)} == {2}
 
 
+def test_repeated_and_missing_ids_lose_no_link(spark, monkeypatch):
+    """Each row is linked by its own text, whoever shares its id; a component is named by its least id, and one without ids by none."""
+    rng = random.Random(29)
+    texts, ids = [], []
+    for f in range(12):
+        texts += family(rng, 6, 6)
+        ids += [rng.choice([None, 5 * f, 5 * f + 1, rng.randrange(60)]) for _ in range(6)]
+    texts += family(rng, 3, 1) + [prose(rng, 40), None]
+    ids += [None, None, None, 3, 3]
+    sets = [shingles(t, 5) for t in texts]
+    root = components(sets)  # by row
+    least = {}
+    for k, r in enumerate(root):
+        if ids[k] is not None:
+            least[r] = min(ids[k], least.get(r, ids[k]))
+    want = sorted(((ids[k], len(sets[k]), least.get(r)) for k, r in enumerate(root)), key=str)
+    for most in (minhash.MAX_FILTER, 16):
+        monkeypatch.setattr(minhash, "MAX_FILTER", most)
+        assert sorted(map(tuple, minhash.near_duplicates(frame(spark, texts, ids).repartition(3)).collect()), key=str) == want
+    b, c = prose(rng, 60), prose(rng, 60)
+    for a in ("a b c", c, "x " + b, b[:90], prose(rng, 9)):
+        got = sorted(map(tuple, minhash.near_duplicates(frame(spark, [a, b, b + " end", b], [1, 1, 2, 3])).select("doc_id", "component_id").collect()))
+        assert got.count((2, 1)) == got.count((3, 1)) == 1
+
+
 def test_near_duplicate_edge_tables(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, [None, "", " "])).collect()}
