@@ -25,7 +25,8 @@ def distance_from_increments(points: DataFrame, by: list[str], starts: DataFrame
     w = Window.partitionBy(*by).orderBy("t", "v").rowsBetween(Window.unboundedPreceding, 0)
     good = points.filter("v >= 0").join(starts, by)
     run = good.select(*by, F.greatest(F.max("t").over(w), "start").alias("t"), F.sum("v").over(w).alias("d"))
-    return run.unionByName(starts.select(*by, F.col("start").alias("t"), F.lit(0.0).alias("d")))
+    # dealt by key here: a join or window above must not rely on how the two sides happen to be dealt
+    return run.unionByName(starts.select(*by, F.col("start").alias("t"), F.lit(0.0).alias("d"))).repartition(*by)
 
 
 def route_distance(points: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from paceline.operators.intervals import islands
 from paceline.plans import workouts
 from paceline.plans.forecast import CONFIG, Config, distance_class
 from paceline.plans.workouts import KEY
+from paceline.sources.shared import written
 
 #: Fixed values of the durability checks: kilometres, share of goal pace, and what a steady long run is.
 LONG_KM, GOAL_KM, LATE_KM, PACE_SHARE, STEADY_CV, FLAT_GAIN, MILD_TEMP, LAST = 25.0, 20.0, 25, 0.03, 0.08, 10.0, 22.0, 3
@@ -46,7 +47,7 @@ def analysed(w: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFr
 
     runs: subject, wid, reason (why a run is left out, else null), distance_m, moving, hr_coverage, unreliable, decoupling,
     gain_per_km, first_half, second_half (moving seconds). Splits and efforts are those of runs without a reason.
-    Each part is small beside the streams and is written once to spark.checkpoint.dir, so that no plan holds them all.
+    Each part is small beside the streams and is written once to the shared folder (sources.shared), so that no plan holds them all.
     """
     w = w.join(info.select(*KEY), KEY, "left_semi")
     clean, doubt = cleaned_streams(streams, info)
@@ -55,12 +56,12 @@ def analysed(w: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFr
     total = dist.groupBy(*KEY).agg(F.max("d").alias("distance_m"))
     x = w.select(*KEY).join(any_raw, KEY, "left").join(total, KEY, "left")
     reason = F.when(F.col("_raw").isNull(), "no raw data").when(F.col("distance_m").isNull(), "no distance").when(F.col("distance_m") < 1000, "shorter than 1 km")
-    x = x.withColumn("reason", reason).drop("_raw").checkpoint()
+    x = written(x.withColumn("reason", reason).drop("_raw"), "reasons")
     usable = w.join(x.filter("reason is null").select(*KEY), KEY, "left_semi")
     stops = workouts.pauses(events, usable)
     moving = workouts.moving_seconds(usable, stops).drop("paused")
-    splits = run_splits(usable, clean, routes, events, info).checkpoint()
-    efforts = run_efforts(usable, clean, routes, events, lengths or (c.five_k, c.ten_k, c.half, c.marathon)).checkpoint()
+    splits = written(run_splits(usable, clean, routes, events, info), "splits")
+    efforts = written(run_efforts(usable, clean, routes, events, lengths or (c.five_k, c.ten_k, c.half, c.marathon)), "efforts")
 
     readings = workouts.points(clean, "HeartRate").join(usable.select(*KEY, F.col("e").alias("end")), KEY)
     share = selection.heart_rate_coverage(series.weights(readings, KEY, pauses=stops, end="end"), moving, KEY).join(doubt.select(*KEY), KEY, "left_semi")
@@ -72,7 +73,7 @@ def analysed(w: DataFrame, streams: DataFrame, routes: DataFrame, events: DataFr
     halves = series.moving(middle, KEY, stops).select(*KEY, (F.col("moving_ms") / 1000).alias("first_half"))
 
     for part in (moving, share.withColumnRenamed("share", "hr_coverage"), doubt, fall, full, halves):
-        x = x.join(part.checkpoint(), KEY, "left")
+        x = x.join(written(part, "part"), KEY, "left")
     odd = F.coalesce("unreliable", F.lit(False))
     x = x.withColumns({"unreliable": odd, "decoupling": F.when(~odd, F.col("decoupling")), "second_half": F.col("moving") - F.col("first_half")})
     return x.select(*KEY, "reason", "distance_m", "moving", "hr_coverage", "unreliable", "decoupling", "gain_per_km", "first_half", "second_half"), splits, efforts

@@ -62,7 +62,7 @@ def distances(streams: DataFrame, routes: DataFrame, workouts: DataFrame, source
     if source == "distance":
         return from_streams
     from_routes = series.route_distance(routes.join(measured.select(*KEY).distinct(), KEY, "left_anti"), KEY).select(*KEY, "t", "d")
-    return from_streams.unionByName(from_routes)
+    return from_streams.unionByName(from_routes).repartition(*KEY)
 
 
 def totals(measured: DataFrame, workouts: DataFrame) -> DataFrame:
