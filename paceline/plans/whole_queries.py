@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.numbers import half_up
+from paceline.operators import product, rollup
 from paceline.plans import readiness
-from paceline.plans.queries import ORACLES, QUERIES, load, query, up
+from paceline.plans.queries import ORACLES, QUERIES, cents, load, query, readings, up
+from paceline.sources import shared
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -30,6 +32,28 @@ def order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Events as calls of their users, and the sums of the days of a rollup.
+@query(f"""WITH r AS (SELECT user_id AS uid, event_type AS provider, event_id % 7 <> 0 AS ok, epoch_us(ts) // 1000 AS at, CAST(floor(value * 100 + 0.5) AS BIGINT) AS ms, CAST(ts AS DATE) AS day FROM events),
+w AS (SELECT * FROM r WHERE day BETWEEN (SELECT max(day) FROM r) - 39 AND (SELECT max(day) FROM r)),
+k AS (SELECT *, {' '.join(f'(ms > {x})::INT +' for x in product.BUCKETS_MS[:-1])} 0 AS bucket FROM w),
+d AS (SELECT provider, day, count(DISTINCT uid) FILTER (ok) AS active FROM w GROUP BY 1, 2), a AS (SELECT provider, sum(active)::BIGINT AS active_days FROM d GROUP BY 1),
+h AS (SELECT provider, bucket, count(*) AS n FROM k GROUP BY 1, 2), c AS (SELECT provider, bucket, sum(n) OVER (PARTITION BY provider ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY provider) AS total FROM h),
+p AS (SELECT provider, ([{', '.join(map(str, product.BUCKETS_MS))}])[min(bucket) + 1]::BIGINT AS p95 FROM c WHERE seen >= ceil(total * 0.95) GROUP BY 1)
+SELECT w.provider AS key, count(DISTINCT day) AS days, any_value(active_days) AS active_days, count(*) AS calls, count(*) FILTER (ok) AS successes, sum(ms)::BIGINT AS duration_ms, any_value(p95) AS p95 FROM w JOIN a ON a.provider = w.provider JOIN p ON p.provider = w.provider GROUP BY 1""")
+def stored_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last forty days by provider, from a rollup that was written and read again."""
+    r = readings(spark, sf_dir)
+    access = r.select(F.col("subject").alias("uid"), F.col("kind").alias("provider"), (F.col("id") % 7 != 0).alias("ok"), F.col("t").alias("at"), cents(F.col("v")).alias("ms"))
+    steps = ["opened"]
+    users = spark.createDataFrame([], "uid long, deleting boolean, opened long, activated long, provider string, app_version string")
+    events = spark.createDataFrame([], "id long, name string, at long, app_version string, outcome string, duration_ms long")
+    path = f"{shared.new_folder(spark, 'rollup')}/days"
+    rollup.rebuild(users, access, events, steps, path, r.agg(F.max("t")).first()[0])
+    x = rollup.spans(rollup.stored(spark, path), "provider")
+    of = lambda name: F.col("counts")[name]
+    return x.select("key", "days", of("active").alias("active_days"), of("calls").alias("calls"), of("successes").alias("successes"), of("duration_ms").alias("duration_ms"), rollup.percentile(F.col("buckets"), 0.95).cast("long").alias("p95"))
+
+
 def _minutes(km: str, pace: str) -> str:
     return f"(11.03 + 98.46 * exp(-0.0053 * {km}) + 0.387 * {pace} + 0.1 * exp(0.23 * 15))"
 
