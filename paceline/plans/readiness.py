@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from paceline.functions.clock import monday
 from paceline.functions.numbers import half_up
 from paceline.operators import daily, selection
+from paceline.operators.folds import Fold, scan
 from paceline.operators.intervals import longest_gap
 from paceline.plans import forecast as model
 from paceline.plans.analysis import durability, race_efforts
@@ -78,10 +79,15 @@ def _latest(x: DataFrame, *order: Column) -> DataFrame:
     return x.withColumn("_n", F.row_number().over(Window.partitionBy("subject").orderBy(*order))).filter("_n = 1").drop("_n")
 
 
+def past_marathons(runs: DataFrame, w: Windows = WINDOWS) -> DataFrame:
+    """Each case's latest run of marathon length before its day, and before its race."""
+    x = runs.filter(F.col("km").between(*selection.MARATHON_KM) & (F.col("day") >= F.add_months("as_of", -w.lookback_months)) & (F.col("day") < F.col("as_of")) & (F.col("day") < F.col("race_day")))
+    return _latest(x, F.desc("s"), "wid")
+
+
 def prior_marathons(runs: DataFrame, splits: DataFrame, efforts: DataFrame, c: Config = CONFIG, w: Windows = WINDOWS) -> DataFrame:
     """subject, prior_wid, prior_day, prior_end, prior_seconds, representative, streams: the marathon before each case, with a known time."""
-    x = runs.filter(F.col("km").between(*selection.MARATHON_KM) & (F.col("day") >= F.add_months("as_of", -w.lookback_months)) & (F.col("day") < F.col("as_of")) & (F.col("day") < F.col("race_day")))
-    x = _latest(x, F.desc("s"), "wid")
+    x = past_marathons(runs, w)
     best = efforts.filter(F.col("metres") == c.marathon).groupBy(*KEY).agg(F.min("seconds").alias("_best"))
     own = splits.join(x.select(*KEY), KEY, "left_semi").filter(~F.col("partial"))
     slow = own.join(own.groupBy("subject").agg(F.median("pace").alias("_m"), F.count("*").alias("_full")), "subject").groupBy("subject").agg(((F.first("_full") >= 10) & (F.avg((F.col("pace") > 1.5 * F.col("_m")).cast("double")) >= 0.2)).alias("_walked"))
@@ -176,6 +182,64 @@ def mean_mass(mass: DataFrame, anchors: DataFrame, w: Windows = WINDOWS) -> Data
     return x.groupBy("subject").agg(near("as_of").alias("mass_now"), near("earlier_day").alias("mass_then"), near("prior_day").alias("mass_prior"))
 
 
+def with_top(cases: DataFrame, seen: DataFrame) -> DataFrame:
+    """cases, whose case is their subject, with top, the greatest heart rate, and max_hr_source."""
+    peaks = daily.confirmed_max(seen.filter(F.col("day") >= F.date_sub("as_of", 364)).select("subject", F.col("max_hr").cast("double").alias("v")), ["subject"])
+    x = cases.withColumnsRenamed({"subject": "runner", "case": "subject"}).join(peaks, "subject", "left")
+    x = x.withColumn("top", selection.resolved_max_hr(F.col("max_hr").cast("double"), F.col("peak"), F.col("age")))
+    return x.withColumn("max_hr_source", F.when(F.col("max_hr").isNotNull(), "user").when(F.col("peak").isNotNull(), "observed").otherwise("default")).drop("max_hr", "peak")
+
+
+class _Budget(Fold):
+    """Takes runs by class and order: each once, so many of a class, so many in all; a run that is taken counts against no later class."""
+
+    def __init__(self, most: int):
+        self.most, self.taken, self.place, self.n = most, set(), None, 0
+
+    def row(self, place: int, first: float, second: float, wid: object, limit: int, why: str) -> list[tuple]:
+        if place != self.place:
+            self.place, self.n = place, 0
+        if wid in self.taken or self.n >= limit or len(self.taken) >= self.most:
+            return []
+        self.taken.add(wid)
+        self.n += 1
+        return [(len(self.taken), wid, why)]
+
+
+def shortlist(cases: DataFrame, runs: DataFrame, most: int = 72, w: Windows = WINDOWS) -> DataFrame:
+    """case, place, wid, why: which runs of each case are worth reading from their streams, the most valuable first, each with its first reason.
+
+    A run may belong to several classes; its rows, one a class, are dealt by case and taken in one pass over their order.
+    """
+    seen = cut(runs, cases)
+    seen = seen.join(with_top(cases, seen).select("subject", "top"), "subject")
+    prior = past_marathons(seen, w).select("subject", F.col("wid").alias("prior_wid"), F.date_sub("day", 1).alias("prior_end"))
+    block = start_of(F.col("as_of"), w.block)
+    effort = F.col("avg_hr") / F.col("top")
+    race_like = F.col("km").between(4.8, 22.5) & (effort >= 0.85)
+    steady = F.col("km").between(5, 25) & effort.between(0.6, 0.86)
+    old = F.col("day").between(start_of(F.col("as_of"), w.earlier), F.date_sub(block, 1)) & race_like
+    halves = F.when(F.col("km") >= 19.5, 0.0).otherwise(1.0)
+    first = _latest(seen.filter(old), halves, F.desc("s"), "wid").select("subject", F.date_sub("day", 1).alias("earlier_end"))
+    x = seen.join(prior, "subject", "left").join(first, "subject", "left")
+    newest, none = -F.col("s").cast("double"), F.lit(0.0)
+    fastest = F.coalesce(-F.col("km") / F.when(F.col("seconds") > 0, F.col("seconds")), F.lit(0.0))
+    old_first, by_time, chronological = (halves, newest), (newest, none), (F.col("s").cast("double"), none)
+    before = F.col("prior_end")
+    within = lambda end, weeks: in_weeks(F.col(end), weeks)
+    classes = [
+        ("prior marathon", F.col("wid") == F.col("prior_wid"), chronological, most), ("tagged race", F.col("tagged"), chronological, most), ("earlier race candidate", old, old_first, 4), ("steady run (earlier race block)", within("earlier_end", w.fit) & steady, by_time, 6),
+        ("comparison window run (current block)", within("as_of", w.fit) & (F.col("km") >= 8), by_time, 30), ("comparison window run (prior block)", within("prior_end", w.fit) & (F.col("km") >= 8), by_time, 30), ("steady run (prior block)", within("prior_end", w.fit) & steady, by_time, 12),
+        ("steady run (current block)", within("as_of", w.fit) & steady, by_time, 12), ("long run", within("as_of", w.season) & (F.col("km") >= 20), by_time, 12), ("possible max effort", within("as_of", w.block) & (F.col("km") >= 5), (fastest, F.col("s").cast("double")), 8),
+        ("race before prior marathon", within("prior_end", w.earlier) & race_like, old_first, 4), ("long run (prior block)", within("prior_end", w.season) & (F.col("km") >= 20), by_time, 6), ("possible max effort (prior block)", before.isNotNull() & within("prior_end", w.block) & (F.col("km") >= 5), (fastest, F.col("s").cast("double")), 12),
+    ]
+    rows = F.array(*(F.when(F.coalesce(good, F.lit(False)), F.struct(F.lit(k).alias("class"), a.alias("first"), b.alias("second"), F.lit(limit).alias("limit"), F.lit(why).alias("why"))) for k, (why, good, (a, b), limit) in enumerate(classes)))
+    x = x.select("subject", "wid", F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select("subject", "wid", "r.*")
+    kind = dict(runs.dtypes)["wid"]
+    out = scan(x, ["subject"], ["class", "first", "second", "wid", "limit", "why"], f"place int, wid {kind}, why string", lambda: _Budget(most))
+    return out.withColumnRenamed("subject", "case")
+
+
 ESTIMATES = ("race", "training effort", "earlier race", "prior marathon", "training")
 PERSONAL = ESTIMATES[:4]
 
@@ -187,10 +251,7 @@ def forecasts(cases: DataFrame, runs: DataFrame, splits: DataFrame, efforts: Dat
     and no forecast. Cases whose race is more than six weeks away describe present fitness.
     """
     seen = cut(runs, cases)
-    peaks = daily.confirmed_max(seen.filter(F.col("day") >= F.date_sub("as_of", 364)).select("subject", F.col("max_hr").cast("double").alias("v")), ["subject"])
-    x = cases.withColumnsRenamed({"subject": "runner", "case": "subject"}).join(peaks, "subject", "left")
-    x = x.withColumn("top", selection.resolved_max_hr(F.col("max_hr").cast("double"), F.col("peak"), F.col("age")))
-    x = x.withColumn("max_hr_source", F.when(F.col("max_hr").isNotNull(), "user").when(F.col("peak").isNotNull(), "observed").otherwise("default")).drop("max_hr", "peak")
+    x = with_top(cases, seen)
     x = x.withColumn("weeks_to_race", F.datediff("race_day", "as_of") / 7)
     counts = splits.groupBy(F.col("subject").alias("runner"), "wid").agg(F.count("*").alias("n_splits"))
     seen = written(seen.join(x.select("subject", "top"), "subject").join(counts, ["runner", "wid"], "left"), "seen")
