@@ -57,9 +57,3 @@ def normal_cdf(x: Column) -> Column:
 def coefficient_of_variation(x: Column) -> Column:
     """Sample deviation over mean, as an aggregate."""
     return F.when(F.avg(x) != 0, F.stddev_samp(x) / F.avg(x))
-
-
-def percentile_rank_value(values: Column, p: float) -> Column:
-    """The value at place floor((n - 1) * p) of an array, in order; no interpolation."""
-    ordered = F.array_sort(values)
-    return F.when(F.size(values) > 0, F.get(ordered, F.floor((F.size(values) - 1) * p).cast("int")))

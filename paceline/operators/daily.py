@@ -97,3 +97,10 @@ def missing_hours(times: DataFrame, by: list[str], start_ms: int, end_ms: int) -
 def freshness(checks: DataFrame, by: list[str], now_ms: int, stale_ms: int = 86_400_000) -> DataFrame:
     """by, as_of, stale: the oldest check among the types read, and whether any is stale."""
     return checks.groupBy(*by).agg(F.min("checked_at").alias("as_of"), F.max(F.coalesce(now_ms - F.col("checked_at") > stale_ms, F.lit(True))).alias("stale"))
+
+
+def percentile_ranks(rows: DataFrame, by: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """by and a column for each name of shares: the value at place floor((n - 1) * share) of a key's sorted values, without interpolation."""
+    w = Window.partitionBy(*by)
+    x = rows.filter(F.col(column).isNotNull()).withColumns({"_place": F.row_number().over(w.orderBy(column)) - 1, "_n": F.count("*").over(w)})
+    return x.groupBy(*by).agg(*(F.max(F.when(F.col("_place") == F.floor((F.col("_n") - 1) * share), F.col(column))).alias(name) for name, share in shares.items()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions import clock, physics
-from paceline.functions.numbers import coefficient_of_variation, goal_seconds, half_up, pace, percentile_rank_value, tidy
+from paceline.functions.numbers import coefficient_of_variation, goal_seconds, half_up, pace, tidy
 from paceline.operators import codec, compact, daily, dedup, device, intervals, selection, series
 from paceline.plans import health, workouts
 from paceline.plans.queries import DAY, HOUR, ORACLES, QUERIES, R, cents, query, readings, up
@@ -112,8 +112,8 @@ def current_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
     key = F.concat(F.lit("k"), F.floor(F.col("id") / 5))
     x = r.select("subject", F.col("kind").alias("type"), F.when(F.col("id") % 4 > 0, key).alias("id"), F.col("kind").alias("agg"), F.floor(F.col("t") / HOUR).alias("s"), F.when(F.col("id") % 2 == 0, "app").alias("src"), F.col("id").alias("seq"), F.lit("b").alias("batch"), "v")
-    kinds = r.select(F.col("kind").alias("type")).distinct()
-    gone = r.filter("kind = 'error'").select("subject", key.alias("id")).join(kinds)
+    errors = r.filter("kind = 'error'").select("subject", key.alias("id"))
+    gone = x.filter("id is not null").select("subject", "type", "id").distinct().join(errors, ["subject", "id"], "left_semi")
     return tables.current_rows(x, gone).select("subject", "type", dedup.row_key().alias("key"), "seq", "v")
 
 
@@ -201,8 +201,10 @@ def stream_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {U} SELECT subject, list_sort(list(c))[1 + floor((count(*) - 1) * 0.95)::BIGINT] AS p95, list_sort(list(c))[1 + floor((count(*) - 1) * 0.5)::BIGINT] AS p50, {up('stddev_samp(c) / avg(c)', 6)} AS variation FROM u GROUP BY 1""")
 def percentiles_and_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = single(spark, sf_dir).groupBy("subject").agg(F.collect_list("c").alias("all"), coefficient_of_variation(F.col("c")).alias("variation"))
-    return g.select("subject", percentile_rank_value(F.col("all"), 0.95).alias("p95"), percentile_rank_value(F.col("all"), 0.5).alias("p50"), half_up(F.col("variation"), 6).alias("variation"))
+    x = single(spark, sf_dir)
+    variation = x.groupBy("subject").agg(half_up(coefficient_of_variation(F.col("c")), 6).alias("variation"))
+    return daily.percentile_ranks(x, ["subject"], "c", {"p95": 0.95, "p50": 0.5}).join(variation, "subject")
+
 
 
 METRICS = ("sleepAsleepMin", "restingHr", "steps", "walkingHrAvg", "walkingSpeed", "bodyMass", "envAudioLevel", "swimDistanceM", "stairUpSpeed", "other")

@@ -1,6 +1,7 @@
 """Batches from files to rows: replays, bad records, deletions, late versions, generations, and the live path."""
 
 import gzip
+import hashlib
 import json
 import uuid
 
@@ -121,6 +122,13 @@ def test_days_hours_events_and_streams(spark, tmp_path):
     assert batches.raw_complete(points, batches.marks(good)).first().complete is True
 
 
+def test_checksums_are_of_the_files_as_they_are(spark, tmp_path):
+    write(tmp_path, "u", batches.WORKOUT, [workout("a")])
+    write(tmp_path, "v", batches.WORKOUT, [])
+    want = {(p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*.gz")}
+    assert {(r.size, r.sha256) for r in batches.checksums(spark, str(tmp_path)).collect()} == want
+
+
 def test_refused_headers(spark, tmp_path):
     write(tmp_path, "u", batches.DAILY, [], mode="status")
     write(tmp_path, "u", "_unknown", [])
