@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.numbers import half_up
-from paceline.operators import product, rollup
+from paceline.operators import compare, product, rollup
 from paceline.plans import readiness
-from paceline.plans.queries import ORACLES, QUERIES, cents, load, query, readings, up
+from paceline.plans.queries import ORACLES, QUERIES, R, cents, load, query, readings, up
 from paceline.sources import shared
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -99,3 +99,38 @@ def marathon_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     efforts, mass = nothing("subject long, wid long, metres double, seconds double, hr double"), nothing("subject long, day date, kg double")
     x = readiness.backtest(order_runs(spark, sf_dir), splits, efforts, mass)
     return x.select("case", "subject", "race_day", "as_of", half_up(F.col("actual"), 3).alias("actual"), "status", *(half_up(F.col(k), 3).alias(k) for k in ("forecast", "low", "high")), "error_pct", "inside_80", F.col("confidence").cast("long").alias("confidence"))
+
+
+def _pairing(names: str, chained: list[list[str]]) -> str:
+    """The rounds of a comparison as SQL, from x0 (id, side, user, day, level, c_level): for each set of fields that may differ, rows that agree in the others are paired along their order."""
+    out = []
+    for k, agree in enumerate(chained):
+        group = ", ".join(["subject", *agree])
+        joined = " AND ".join(f"a.{g} = b.{g}" for g in ["subject", *agree])
+        kept = " AND ".join({"c_level": "abs(a.level - b.level) <= 0.5"}.get(g, f"a.{g} = b.{g}") for g in agree) or "true"
+        out.append(f"""n{k} AS (SELECT *, row_number() OVER (PARTITION BY side, {group} ORDER BY {names}, id) AS rn FROM x{k}),
+p{k} AS (SELECT a.subject, a.id AS ida, b.id AS idb, a.day AS day0, b.day AS day1, a.hour AS hour0, b.hour AS hour1, a.level AS level0, b.level AS level1 FROM n{k} a JOIN n{k} b ON a.side = 0 AND b.side = 1 AND a.rn = b.rn AND {joined} WHERE {kept}),
+x{k + 1} AS (SELECT * FROM x{k} WHERE NOT EXISTS (SELECT 1 FROM p{k} WHERE x{k}.id IN (ida, idb)))""")
+    return ",\n".join(out)
+
+
+_ROUNDS = _pairing("day, hour, level", [["day", "hour", "c_level"], ["hour", "c_level"], ["day", "c_level"], ["day", "hour"], ["c_level"], ["hour"], ["day"], []])
+
+
+#: Views of each user against clicks, as two versions of one table; levels count as equal within half a unit.
+@query(f"""WITH {R}, v AS (SELECT subject, day - CAST((day - DATE '2024-01-01') % 7 AS INTEGER) AS day, t // 3600000 % 4 AS hour, floor(v / 10) / 4 AS level, kind FROM r WHERE kind IN ('view', 'click')),
+u AS (SELECT subject, day, hour, level, 0 AS side FROM (SELECT subject, day, hour, level FROM v WHERE kind = 'view' EXCEPT ALL SELECT subject, day, hour, level FROM v WHERE kind = 'click') UNION ALL
+  SELECT subject, day, hour, level, 1 FROM (SELECT subject, day, hour, level FROM v WHERE kind = 'click' EXCEPT ALL SELECT subject, day, hour, level FROM v WHERE kind = 'view')),
+g AS (SELECT *, row_number() OVER () AS id, CASE WHEN level - lag(level) OVER (PARTITION BY subject ORDER BY level) <= 0.5 THEN 0 ELSE 1 END AS new FROM u),
+x0 AS MATERIALIZED (SELECT id, side, subject, day, hour, level, sum(new) OVER (PARTITION BY subject ORDER BY level) AS c_level FROM g),
+{_ROUNDS},
+p AS ({' UNION ALL '.join(f'SELECT * FROM p{k}' for k in range(8))}),
+f AS (SELECT subject, 'day' AS field, day0::VARCHAR AS before, day1::VARCHAR AS after FROM p WHERE day0 <> day1 UNION ALL SELECT subject, 'hour', hour0::VARCHAR, hour1::VARCHAR FROM p WHERE hour0 <> hour1 UNION ALL SELECT subject, 'level', level0::VARCHAR, level1::VARCHAR FROM p WHERE abs(level0 - level1) > 0.5)
+SELECT subject, field, before, after, count(*) AS n FROM f GROUP BY 1, 2, 3, 4""")
+def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, before, after of what changed from a user's views to the clicks, as far as rows of both can be paired."""
+    r = readings(spark, sf_dir)
+    week = F.date_sub("day", F.datediff("day", F.lit("2024-01-01").cast("date")) % 7)
+    x = r.select("kind", "subject", week.alias("day"), (F.floor(F.col("t") / 3_600_000) % 4).alias("hour"), (F.floor(F.col("v") / 10) / 4).alias("level"))
+    of = lambda kind: x.filter(F.col("kind") == kind).drop("kind")
+    return compare.field_changes(compare.matched(of("view"), of("click"), ["subject"], tolerance=0.5), ["subject"])
