@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.numbers import half_up
 from paceline.operators import compare, product, rollup
-from paceline.plans import readiness
+from paceline.plans import pages, readiness
 from paceline.plans.queries import ORACLES, QUERIES, R, cents, load, query, readings, up
 from paceline.sources import shared
 
@@ -134,3 +134,55 @@ def changed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = r.select("kind", "subject", week.alias("day"), (F.floor(F.col("t") / 3_600_000) % 4).alias("hour"), (F.floor(F.col("v") / 10) / 4).alias("level"))
     of = lambda kind: x.filter(F.col("kind") == kind).drop("kind")
     return compare.field_changes(compare.matched(of("view"), of("click"), ["subject"], tolerance=0.5), ["subject"])
+
+
+@query("""WITH l AS (SELECT l_orderkey AS wid, (l_linenumber - 1) // 2 AS b, l_linenumber AS line, l_returnflag AS purpose, l_linestatus AS goal, l_quantity AS value FROM lineitem), o AS (SELECT DISTINCT wid FROM l),
+i AS (SELECT wid, 0 AS b, 0 AS s, 'warmup' AS purpose, NULL::INT AS repeats, NULL::VARCHAR AS goal, NULL::DOUBLE AS value FROM o WHERE wid % 2 = 0 UNION ALL SELECT wid, 99, 0, 'cooldown', NULL, 'open', NULL FROM o WHERE wid % 3 = 0
+  UNION ALL SELECT wid, b + 1, 0, 'block', greatest(count(*) % 4, 1)::INT, NULL, NULL FROM l GROUP BY wid, b UNION ALL SELECT wid, b + 1, row_number() OVER (PARTITION BY wid, b ORDER BY line, purpose, goal, value), purpose, NULL, goal, value FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY wid ORDER BY b, s) AS node FROM i)
+SELECT wid, node::INT AS node, CASE WHEN s > 0 THEN node - s END::INT AS parent, CASE WHEN s > 0 THEN 2 ELSE 1 END AS depth, purpose, repeats, goal, value FROM n""")
+def planned_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as steps of a plan, two line numbers a block, kept as JSON and read as a tree."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("wid"), F.floor((F.col("l_linenumber") - 1) / 2).alias("b"), F.struct("l_linenumber", F.col("l_returnflag").alias("purpose"), F.col("l_linestatus").alias("goal"), F.col("l_quantity").alias("value")).alias("step"))
+    blocks = lines.groupBy("wid", "b").agg(F.struct("b", (F.count("*") % 4).cast("int").alias("iterations"), F.sort_array(F.collect_list("step")).alias("steps")).alias("block"))
+    whole = blocks.groupBy("wid").agg(F.sort_array(F.collect_list("block")).alias("blocks"))
+    only = lambda n, name, goal: F.when(F.col("wid") % n == 0, F.struct(F.lit(name).alias("purpose"), F.lit(goal).cast("string").alias("goal"))).alias(name)
+    plan = F.to_json(F.struct(F.lit("custom").alias("kind"), only(2, "warmup", None), "blocks", only(3, "cooldown", "open")))
+    x = pages.plan_steps(whole.select(F.lit("u").alias("subject"), "wid", plan.alias("plan")))
+    return x.select("wid", "node", "parent", "depth", "purpose", "repeats", "goal", "value")
+
+
+#: The readings of a user in ten days as points of a route, as SQL, and pages of them.
+_PAGES = f"""{R}, p AS (SELECT DISTINCT subject, t // 864000000 AS wid, t FROM r), n AS (SELECT *, (row_number() OVER (PARTITION BY subject, wid ORDER BY t) - 1) // 10 + 1 AS page FROM p),
+g AS (SELECT subject, wid, page, count(*) AS points, min(t) AS first, max(t) AS last FROM n GROUP BY 1, 2, 3)"""
+
+
+def _route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = readings(spark, sf_dir)
+    x = r.select("subject", F.floor(F.col("t") / 864_000_000).alias("wid"), "t", (50 + F.col("v") / 1e5).alias("lat"), F.lit(8.0).alias("lon"), F.lit(None).cast("double").alias("alt"))
+    return pages.shown_points(x, full=True)
+
+
+@query(f"WITH {_PAGES} SELECT subject, wid, page, points, first, last, lag(last) OVER w AS after, CASE WHEN lead(last) OVER w IS NOT NULL THEN last END AS next_after FROM g WINDOW w AS (PARTITION BY subject, wid ORDER BY page)")
+def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.pages(_route(spark, sf_dir), 10)
+
+
+@query(f"""WITH {_PAGES} SELECT n.subject, n.wid, n.t, a.last AS after, CASE WHEN c.page IS NOT NULL THEN b.last END AS next_after FROM n JOIN g a ON a.subject = n.subject AND a.wid = n.wid AND a.page = 1 AND n.page = 2
+JOIN g b ON b.subject = n.subject AND b.wid = n.wid AND b.page = 2 LEFT JOIN g c ON c.subject = n.subject AND c.wid = n.wid AND c.page = 3""")
+def route_next_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of the second page of each route, asked for with the cursor of the first."""
+    points = _route(spark, sf_dir)
+    asked = pages.pages(points, 10).filter("page = 1 and next_after is not null").select("subject", "wid", F.col("next_after").alias("after"))
+    return pages.page_after(points, asked, 10).select("subject", "wid", "t", "after", "next_after")
+
+
+@query(f"""WITH {R}, x AS (SELECT subject, t // 864000000 AS wid, t, kind, kind = 'view' AS o, (id % 50)::DOUBLE AS dur FROM r),
+y AS (SELECT *, count(*) FILTER (o) OVER w AS segments, count(*) FILTER (NOT o) OVER w AS listed, row_number() OVER (PARTITION BY subject, wid ORDER BY o, t, kind, dur) AS place FROM x WINDOW w AS (PARTITION BY subject, wid))
+SELECT subject, wid, CASE WHEN NOT o THEN place END::INT AS place, CASE WHEN NOT o THEN {up('(t - wid * 864000000) / 1000.0::DOUBLE', 1)} END AS offset_seconds, CASE WHEN NOT o THEN kind END AS type, CASE WHEN NOT o THEN dur END AS duration_seconds, listed > 5 AS truncated, segments
+FROM y WHERE CASE WHEN listed = 0 THEN place = 1 ELSE NOT o AND place <= 5 END""")
+def event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five events of each user in ten days that are no views."""
+    r = readings(spark, sf_dir).withColumn("wid", F.floor(F.col("t") / 864_000_000))
+    events = r.select("subject", "wid", "t", F.col("kind").alias("type"), (F.col("id") % 50).cast("double").alias("dur"))
+    return pages.listed_events(events, r.select("subject", "wid", (F.col("wid") * 864_000_000).alias("s")).distinct(), most=5, omitted="view")
