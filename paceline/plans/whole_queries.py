@@ -12,7 +12,7 @@ from paceline.functions.numbers import half_up
 from paceline.operators import compare, product, rollup
 from paceline.plans import pages, readiness
 from paceline.plans.queries import ORACLES, QUERIES, R, cents, load, query, readings, up
-from paceline.sources import shared
+from paceline.sources import retire, shared
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -186,3 +186,17 @@ def event_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir).withColumn("wid", F.floor(F.col("t") / 864_000_000))
     events = r.select("subject", "wid", "t", F.col("kind").alias("type"), (F.col("id") % 50).cast("double").alias("dur"))
     return pages.listed_events(events, r.select("subject", "wid", (F.col("wid") * 864_000_000).alias("s")).distinct(), most=5, omitted="view")
+
+
+@query(f"WITH {R} SELECT kind, kind NOT IN ('view', 'click') AS retired, count(*) AS n, sum(id)::BIGINT AS ids FROM r GROUP BY 1")
+def retired_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events stored by kind, of which two kinds are still read: the others are copied, verified and removed. Rows of the store, and of the copies."""
+    store, backup = f"{shared.new_folder(spark, 'store')}/events", shared.new_folder(spark, "backup")
+    readings(spark, sf_dir).select("id", "kind").write.partitionBy("kind").parquet(store)
+    known = ["kind=view", "kind=click"]
+    manifest = retire.back_up(spark, store, known, backup)
+    retire.remove(spark, store, known, manifest)
+    copies = manifest.removesuffix("/manifest") + "/data"
+    rows = lambda path, gone: spark.read.parquet(path).withColumn("retired", F.lit(gone))
+    x = rows(store, False).unionByName(rows(copies, True))
+    return x.groupBy("kind", "retired").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
