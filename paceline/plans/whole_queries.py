@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.numbers import half_up
-from paceline.operators import compare, product, rollup
+from paceline.operators import compare, lifetime, product, rollup
 from paceline.plans import pages, readiness
 from paceline.plans.queries import ORACLES, QUERIES, R, cents, load, query, readings, up
 from paceline.sources import retire, shared
@@ -200,3 +200,35 @@ def retired_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lambda path, gone: spark.read.parquet(path).withColumn("retired", F.lit(gone))
     x = rows(store, False).unionByName(rows(copies, True))
     return x.groupBy("kind", "retired").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query(f"""WITH {R}, w AS (SELECT subject, id // 4 AS id, id AS seq, t, kind, (id % 90 * 60)::DOUBLE AS seconds, CASE id % 3 WHEN 0 THEN id % 500 WHEN 1 THEN id % 500 / 100.0::DOUBLE ELSE 0 END AS climb, 100 + id % 60 AS hr FROM r WHERE kind <> 'error'),
+g AS (SELECT subject, id // 4 AS id, max(id) AS gone FROM r WHERE kind = 'error' GROUP BY 1, 2), l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY subject, id ORDER BY seq DESC) = 1),
+c AS (SELECT l.* FROM l LEFT JOIN g ON g.subject = l.subject AND g.id = l.id WHERE gone IS NULL OR seq > gone),
+a AS (SELECT subject, count(*) AS workouts, sum(seconds) AS training_seconds, sum(climb) AS climbed, sum(hr * seconds / 60) AS beats, count(DISTINCT t // 86400000) AS workout_days, count(DISTINCT kind) AS activities FROM c GROUP BY 1),
+d AS (SELECT subject, count(*) FILTER (kind <> 'view') AS hrv_days, sum(id)::DOUBLE AS steps FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY subject, day ORDER BY id DESC) = 1) GROUP BY 1),
+p AS (SELECT w.subject, w.id, max(w.seq) AS seq FROM w LEFT JOIN g ON g.subject = w.subject AND g.id = w.id WHERE (gone IS NULL OR w.seq > gone) AND w.seq % 7 > 0 GROUP BY 1, 2), q AS (SELECT subject, sum(seq % 7)::BIGINT AS hr_points FROM p GROUP BY 1)
+SELECT d.subject, coalesce(workouts, 0) AS workouts, coalesce(training_seconds, 0) AS training_seconds, coalesce({up('climbed', 2)}, 0) AS climbed_metres, coalesce({up('beats', 2)}, 0) AS beats, coalesce(workout_days, 0) AS workout_days, coalesce(activities, 0) AS activities, steps, hrv_days, coalesce(hr_points, 0) AS hr_points
+FROM d LEFT JOIN a ON a.subject = d.subject LEFT JOIN q ON q.subject = d.subject""")
+def lifetime_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as versions of workouts (four ids each), errors as their deletions, the last event of a day as its row."""
+    r, id4 = readings(spark, sf_dir), F.floor(F.col("id") / 4)
+    climb = F.when(F.col("id") % 3 == 0, F.concat((F.col("id") % 500).cast("string"), F.lit(" m"))).when(F.col("id") % 3 == 1, F.concat((F.col("id") % 500).cast("string"), F.lit(" cm")))
+    w = r.filter("kind <> 'error'").select("subject", id4.alias("id"), F.col("id").alias("seq"), F.col("t").alias("s"), F.col("kind").alias("activity"), (F.col("id") % 90 * 60).cast("double").alias("seconds"), climb.alias("climb"), (100 + F.col("id") % 60).cast("double").alias("hr_avg"))
+    gone = r.filter("kind = 'error'").select("subject", id4.alias("id"), F.col("id").alias("seq"))
+    m = F.map_concat(F.create_map(F.lit("steps"), F.col("id").cast("string")), F.when(F.col("kind") != "view", F.create_map(F.lit("hrv"), F.lit("1"))).otherwise(F.create_map().cast("map<string,string>")))
+    raw = w.select("subject", "id", "seq", (F.col("seq") % 7).alias("hr_points"), F.lit(0).cast("long").alias("gps_points"))
+    x = lifetime.totals(w, gone, r.select("subject", "day", F.col("id").alias("seq"), m.alias("m")), raw)
+    rounded = (half_up(F.col(c), 2).alias(c) for c in ("climbed_metres", "beats"))
+    return x.select("subject", "workouts", "training_seconds", *rounded, "workout_days", "activities", "steps", "hrv_days", "hr_points")
+
+
+@query(f"""WITH {R}, x AS (SELECT subject, kind AS source, t, id, CASE WHEN id % 5 = 0 THEN NULL ELSE floor(v) END AS v, (row_number() OVER (PARTITION BY subject, kind ORDER BY t, id::VARCHAR) - 1) // 20 AS chunk FROM r WHERE id % 5 > 0)
+SELECT subject, source, chunk::INT AS chunk, count(*)::INT AS n, min(t) AS first, max(t) AS last, string_agg(id::VARCHAR, ',' ORDER BY t, id::VARCHAR) AS ids, sum(v * 100)::DOUBLE AS total FROM x GROUP BY 1, 2, 3""")
+def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as samples in percent, by source, twenty a chunk; every fifth has a value that is not finite."""
+    value = F.when(F.col("id") % 5 == 0, F.lit(float("inf"))).otherwise(F.floor("v").cast("double"))
+    none = lambda k: F.lit(None).cast(k)
+    samples = readings(spark, sf_dir).select("subject", F.lit("level").alias("type"), F.lit("%").alias("unit"), none("string").alias("bundle"), F.col("kind").alias("source"), F.col("t").alias("start"), F.col("t").alias("end"), value.alias("value"), none("int").alias("category"), F.col("id").cast("string").alias("id"))
+    total = F.aggregate("value", F.lit(0.0), lambda a, v: a + v)
+    return lifetime.event_chunks(samples, 20).select("subject", "source", "chunk", "n", F.array_min("start").alias("first"), F.array_max("start").alias("last"), F.array_join("ids", ",").alias("ids"), total.alias("total"))
