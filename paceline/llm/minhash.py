@@ -161,14 +161,20 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 def _per_key(edges: DataFrame, key: str, other: str) -> tuple[DataFrame, DataFrame]:
     """The edges with least (of other) and n (edges) of their key, and these of each key.
 
-    A key is dealt into SALTS parts by other: they are aggregated first, and each edge meets the result in its part.
+    Each task sums up its own edges of a key first. A key is dealt into SALTS parts by other, and each edge meets the sum in its part.
     """
     x = edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int"))
-    each = x.groupBy(key, "salt").agg(F.min(other).alias("least"), F.count("*").alias("n"))
-    whole = each.groupBy(key).agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.collect_list("salt").alias("salts"))
+    whole = x.groupBy(key).agg(F.min(other).alias("least"), F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("bits"))
+    whole = whole.select(key, "least", "n", F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("bits", i) == 1).alias("salts"))
     return x.join(whole.select(key, "least", "n", F.explode("salts").alias("salt")), [key, "salt"]).drop("salt"), whole
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each a of the distinct edges (a, b) has one edge and is no b."""
+    ends = edges.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.lit(c == "a").alias("outer")) for c in "ab"))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.bool_or("outer").alias("outer"), F.count("*").alias("n")).filter("outer and n > 1").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of each node of the edges (a, b): the least node that can be reached.
 
@@ -176,17 +182,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Self-loops and repeated edges do no harm. No edges: no rows.
     """
     now = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    while True:
-        before = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if not before[0]:
-            break
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _per_key(both, "a", "b")[0].filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
+        large = _per_key(both, "a", "b")[0].filter("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
         small = _per_key(large, "a", "b")[0]
         small = small.select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         now = scratch.table(small, "edges")
-        if now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first() == before:
-            break
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of a batch that goes to Python.
 ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
+#: Whether Spark removes the shuffle files of a query when it has ended, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
@@ -27,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table and its path; what was shuffled for it goes as soon as it is written. The session's own setting stays as it was."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, True)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path), path
 
 
