@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.operators.dealing import dealt
+
 
 def at(points: DataFrame, probes: DataFrame, by: list[str], x: str, y: str, out: str, clamp: bool = False) -> DataFrame:
     """probes with out: y where x first reaches the probe's x, on a line between the points around it.
@@ -17,7 +19,7 @@ def at(points: DataFrame, probes: DataFrame, by: list[str], x: str, y: str, out:
     # one sort: what came last before a probe, and what comes first after it
     order = f"(PARTITION BY {', '.join(f'`{c}`' for c in by)} ORDER BY `{x}`, _kind)"
     up = Window.partitionBy(*by).orderBy(x, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    z = p.unionByName(q).repartition(*by).withColumn("_at", F.when(F.col("_kind") == 1, F.col(x)))
+    z = dealt(p.unionByName(q), by).withColumn("_at", F.when(F.col("_kind") == 1, F.col(x)))
     z = z.withColumns(
         {
             "_x0": F.last("_at", True).over(up), "_y0": F.last("_hi", True).over(up),

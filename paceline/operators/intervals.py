@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.operators.dealing import dealt
+
 
 def merge(intervals: DataFrame, by: list[str], start: str = "s", end: str = "e") -> DataFrame:
     """The union of the intervals of each key; intervals that touch become one, empty ones go."""
@@ -50,7 +52,7 @@ def overlap_sums(windows: DataFrame, intervals: DataFrame, by: list[str], name:
     key = Window.partitionBy(*by)
     so_far = key.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
     # times count from the first of their key, which keeps the sums small
-    z = probes.unionByName(ends).repartition(*by).withColumn("_from", F.col("_at") - F.min("_at").over(key))
+    z = dealt(probes.unionByName(ends), by).withColumn("_from", F.col("_at") - F.min("_at").over(key))
     covered = F.sum("_sign").over(so_far) * F.col("_from") - F.sum(F.col("_sign") * F.col("_from")).over(so_far)
     z = z.withColumn("_covered", F.col("_side") * covered).filter("_side <> 0")
     return z.groupBy("_row", *keys).agg(F.greatest(F.sum("_covered"), F.lit(0)).alias(name)).drop("_row")

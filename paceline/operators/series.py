@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paceline.functions.numbers import half_up
 from paceline.functions.physics import haversine, in_zone
 from paceline.operators import asof
+from paceline.operators.dealing import dealt
 from paceline.operators.intervals import in_windows, overlap_sums
 
 
@@ -26,7 +27,7 @@ def distance_from_increments(points: DataFrame, by: list[str], starts: DataFrame
     good = points.filter("v >= 0").join(starts, by)
     run = good.select(*by, F.greatest(F.max("t").over(w), "start").alias("t"), F.sum("v").over(w).alias("d"))
     # dealt by key here: a join or window above must not rely on how the two sides happen to be dealt
-    return run.unionByName(starts.select(*by, F.col("start").alias("t"), F.lit(0.0).alias("d"))).repartition(*by)
+    return dealt(run.unionByName(starts.select(*by, F.col("start").alias("t"), F.lit(0.0).alias("d"))), by)
 
 
 def route_distance(points: DataFrame, by: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paceline.functions.numbers import half_up, pace
 from paceline.functions.physics import zone_bounds
 from paceline.operators import asof, dedup, folds, intervals, series
+from paceline.operators.dealing import dealt
 
 KEY = ["subject", "wid"]
 #: Metres of the best efforts that are reported unless others are asked for.
@@ -62,7 +63,7 @@ def distances(streams: DataFrame, routes: DataFrame, workouts: DataFrame, source
     if source == "distance":
         return from_streams
     from_routes = series.route_distance(routes.join(measured.select(*KEY).distinct(), KEY, "left_anti"), KEY).select(*KEY, "t", "d")
-    return from_streams.unionByName(from_routes).repartition(*KEY)
+    return dealt(from_streams.unionByName(from_routes), KEY)
 
 
 def totals(measured: DataFrame, workouts: DataFrame) -> DataFrame:
