@@ -569,8 +569,9 @@ def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_day_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = readings(spark, sf_dir)
     of = lambda kind: r.filter(F.col("kind") == kind).groupBy("subject", "day").agg(F.sum(cents(F.col("v"))).alias("value"))
-    x = device.shared_day_difference(of("view"), of("click"))
-    return x.select("subject", half_up(F.col("median"), 4).alias("median"), half_up(F.col("greatest"), 4).alias("greatest"), "days")
+    x = device.shared_day_difference(of("view"), of("click"), plain=True)
+    rounded = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.col(c)).otherwise(half_up(F.col(c), 4)).alias(c)
+    return x.select("subject", rounded("median"), rounded("greatest"), "days")
 
 
 @query(f"""WITH {R}, o AS (SELECT subject, id, kind, v, row_number() OVER (PARTITION BY subject ORDER BY v DESC, id) AS rn FROM r WHERE kind = 'purchase'),
